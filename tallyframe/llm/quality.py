@@ -140,8 +140,11 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: dict[st
 
 def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that ``judged`` keeps, with the columns of ``docs``."""
-    q = free_name(docs.columns, "quality")
-    return judged(docs, rules, into=q).filter(F.col(q)["kept"]).drop(q)
+    q, row = free_name(docs.columns, "quality"), free_name(docs.columns, "q_row")
+    # A filter moves below projections only where all their fields are deterministic. Here
+    # it would take a copy of every count's expression with it, so a row number holds it up.
+    verdicts = judged(docs, rules, into=q).withColumn(row, F.monotonically_increasing_id())
+    return verdicts.filter(F.col(q)["kept"] & (F.col(row) >= 0)).drop(q, row)
 
 
 def query(docs: DataFrame) -> DataFrame:
