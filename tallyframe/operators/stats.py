@@ -90,12 +90,12 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int, see
     clusters give a null interval.
     """
     w = weight if weight is not None else F.lit(1.0)
-    sums = rows.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.sum(w.cast("double")).alias("c"))
-    k = sums.agg(F.count(F.lit(1)).alias("k"), F.sum("s").alias("ts"), F.sum("c").alias("tc"))
-    numbered = sums.select((F.row_number().over(Window.orderBy(cluster)) - 1).cast("long").alias("j"), "s", "c")
+    sums = rows.filter(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("bs_cluster")).agg(F.sum(F.col(value).cast("double")).alias("bs_s"), F.sum(w.cast("double")).alias("bs_n"))
+    k = sums.agg(F.count(F.lit(1)).alias("k"), F.sum("bs_s").alias("ts"), F.sum("bs_n").alias("tc"))
+    numbered = sums.select((F.row_number().over(Window.orderBy("bs_cluster")) - 1).cast("long").alias("j"), "bs_s", "bs_n")
     slots = rows.sparkSession.range(draws).select(F.col("id").alias("b")).crossJoin(F.broadcast(k)).select("b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("slot"))
     drawn = slots.select("b", (hash_int(F.concat_ws(":", F.lit(str(seed)), "b", "slot")) % F.col("k")).alias("j"))
-    each = drawn.join(numbered, "j").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("r"))
+    each = drawn.join(numbered, "j").groupBy("b").agg((F.sum("bs_s") / F.sum("bs_n")).alias("r"))
     ends = each.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))
     two = F.col("k") >= 2
     return k.crossJoin(ends).select(F.col("k").alias("clusters"), F.round(F.col("ts") / F.col("tc"), 6).alias("estimate"), F.when(two, F.round("lo", 6)).alias("low"), F.when(two, F.round("hi", 6)).alias("high"))
