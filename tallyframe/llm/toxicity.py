@@ -224,9 +224,12 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, limit:
         toxic, words, hits = found["toxic"].to_numpy(float), found["words"].to_numpy(), np.stack(found["hits"].to_numpy())
     else:
         toxic, words, hits = np.zeros(0), np.zeros(0, int), np.zeros((0, voters.n))
-    # Two made-up texts keep both classes present: one without and one with insults.
-    toxic, words = np.append(toxic, [0.0, 1.0]), np.append(words, [100, 100])
-    hits = np.vstack([hits, np.zeros(voters.n), np.where(np.arange(voters.n) < len(lexicon), 1.0, 0.0)])
+    # Where the sample lacks a class, made-up texts stand for it: each insult alone, or none.
+    known = len(lexicon)
+    if not (toxic == 1).any():
+        toxic, words, hits = np.append(toxic, np.ones(known)), np.append(words, np.full(known, 10)), np.vstack([hits, np.eye(voters.n)[:known]])
+    if not (toxic == 0).any():
+        toxic, words, hits = np.append(toxic, np.zeros(2 * known)), np.append(words, np.full(2 * known, 100)), np.vstack([hits, np.zeros((2 * known, voters.n))])
     v = votes(hits, words)
     start = np.clip(toxic, 0.05, 0.95)
     model = fit_label_model(v, start, float(toxic.mean()))
