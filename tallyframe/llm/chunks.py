@@ -1,28 +1,33 @@
 """Tokenising many texts by their distinct chunks, inside a task.
 
-A chunk is a run of ASCII white space (maybe empty) and the run of other characters
-after it. The patterns of the tokenisers here never match across the place before a
-run of white space, so a text's ids are those of its chunks in order. Texts with other
-white space, to which that does not apply, are encoded whole.
+A chunk is a run of ASCII white space (maybe empty) and the run of letters and digits,
+or of neither, after it. The patterns of the tokenisers here never match across the
+place before a run of white space, nor from letters or digits on to other characters,
+so a text's ids are those of its chunks in order. Texts to which that may not apply,
+with other white space or not in composed form, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from array import array
 from collections.abc import Callable
+from unicodedata import is_normalized
 
 import numpy as np
 
 #: Distinct chunks whose ids a worker keeps.
-CACHED_CHUNKS = 700_000
+CACHED_CHUNKS = 900_000
 #: Characters of a text that are split at a time.
 SPAN = 1 << 20
 
-_CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+_CHUNK = re.compile(r"[ \t-\r]*(?:[^\W_]+|[^ \t-\r][^ \t-\r]*)|[ \t-\r]+")
 _BREAK = re.compile(r"(?<=[^ \t-\r])[ \t-\r]")
-#: White space beyond ASCII, and separators that only some libraries count as such.
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: White space beyond ASCII, separators that only some libraries count as such, and the
+#: letter that falls apart in lower case.
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff\u0130]")
 
 
 def _spans(text: str):
@@ -59,11 +64,45 @@ class ChunkEncoder:
         """The ids of a whole text (null: of the empty one) as unsigned 32-bit integers."""
         if not text:
             return np.empty(0, np.uint32)
-        if _OTHER_SPACE.search(text):  # rare, and the search is quick beside the splitting
+        if not text.isascii() and (_OTHER_SPACE.search(text) or not is_normalized("NFC", text)):
             return np.asarray(self.encode_all([text])[0], np.uint32)
         return np.frombuffer(b"".join(map(self._span, _spans(text))), np.uint32)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes
+    for themselves, the others for the letters from 256 on, in order."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(256, 512))
+    return {b: chr(b if b in set(printable) else next(others)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _plain_word(tokenizer_file: str) -> Callable[[str], str | None]:
+    """What the model itself gets of a chunk that is one plain word, as its file says; None
+    for every other chunk or kind of file. Saves the library's walk around the model."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        j = json.load(f)
+    before, normal = j["pre_tokenizer"] or {}, j["normalizer"]
+
+    def letters(word: str) -> str:
+        return word.encode().decode("latin-1").translate(_LETTERS)
+
+    if before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and normal is None:
+        return lambda x: letters(x) if x.isalpha() or (x[0] == " " and x[1:].isalpha()) else None
+    kinds = [n.get("type") for n in (normal or {}).get("normalizers", [])], [p.get("type") for p in before.get("pretokenizers", [])]
+    if kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and "|[\\p{L}]+|" in str(before["pretokenizers"][0]["pattern"].get("Regex")):
+
+        def bare(x: str) -> str | None:
+            word = x.strip(" \t\n\r\x0b\x0c")
+            return letters(word.lower()) if word.isalpha() and max(word) < "\u0370" else None
+
+        return bare
+    return lambda x: None
+
+
 _loaded: dict[str, ChunkEncoder] = {}
 
 
@@ -71,13 +110,28 @@ def library_encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file of the tokenizers library; strings of
     special tokens in a text are ordinary text."""
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        _loaded[path] = ChunkEncoder(lambda xs: [e.ids for e in tokenizer.encode_batch_fast(xs, add_special_tokens=False)])
+        plain, model = _plain_word(path), tokenizer.model
+
+        def encode(chunks: list[str]) -> list[list[int]]:
+            out, rest = [], []
+            for i, chunk in enumerate(chunks):
+                word = plain(chunk)
+                out.append(None if word is None else [t.id for t in model.tokenize(word)])
+                if word is None:
+                    rest.append(i)
+            if rest:
+                for i, e in zip(rest, tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+                    out[i] = e.ids
+            return out
+
+        _loaded[path] = ChunkEncoder(encode)
     return _loaded[path]
 
 
