@@ -125,3 +125,52 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if new.filter("old <> component").isEmpty():
             return nodes
     raise RuntimeError("components did not settle")
+
+
+def window_owner(rows: DataFrame, clip: str, at: str, length: float, stride: float) -> DataFrame:
+    """For each row of a clip the sliding window that owns it: of the windows it lies
+    in, the one where it is farthest from an edge, the earliest of equals. Windows start
+    every ``stride`` from the clip's first row; the last one ends with the clip."""
+    span = rows.groupBy(clip).agg(F.min(at).alias("wo_from"), F.max(at).alias("wo_to"))
+    r = rows.join(span, clip).withColumn("wo_last", F.greatest(F.lit(0), F.ceil((F.col("wo_to") - F.col("wo_from") - length) / stride)).cast("long"))
+    t = F.col(at) - F.col("wo_from")
+    low = F.greatest(F.lit(0), F.ceil((t - length) / stride).cast("long"))
+    ks = F.array_distinct(F.concat(F.sequence(F.least(low, F.col("wo_last")), F.least(F.floor(t / stride).cast("long"), F.col("wo_last"))), F.array("wo_last")))
+    r = r.withColumn("wo_k", ks)
+    begin = lambda k: F.least(k * stride, F.greatest(F.lit(0.0), F.col("wo_to") - F.col("wo_from") - length))
+    scored = F.transform("wo_k", lambda k: F.struct(F.least(t - begin(k), begin(k) + length - t).alias("inside"), (-k).alias("k")))
+    best = F.array_max(F.filter(scored, lambda x: x["inside"] >= 0))
+    return r.withColumn("window", -best["k"]).drop("wo_from", "wo_to", "wo_last", "wo_k")
+
+
+def track_boxes(detections: DataFrame, minimum_iou: float = 0.3, max_gap: int = 2) -> DataFrame:
+    """Tracks of boxes (clip, frame, det, box) through each clip. In each frame the
+    pairs of open tracks and boxes are matched one to one, greatest IoU first, then the
+    older track, then the first box; a track ends after ``max_gap`` frames without a match.
+    Sequential by nature, so a clip is one group; clips are short."""
+    import pandas as pd
+
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(0.0, w) * max(0.0, h)
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+        return both / union if union > 0 else 0.0
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracks, out = {}, []  # track -> (last frame, box)
+        for frame, rows in pdf.sort_values(["frame", "det"]).groupby("frame", sort=True):
+            live = {t: x for t, x in tracks.items() if frame - x[0] <= max_gap + 1}
+            boxes = list(zip(rows["det"], rows["box"], strict=True))
+            pairs = sorted((-iou(x[1], b), t, d, k) for t, x in live.items() for k, (d, b) in enumerate(boxes) if iou(x[1], b) >= minimum_iou)
+            of, used = {}, set()
+            for _, t, _, k in pairs:
+                if k not in of and t not in used:
+                    of[k] = t
+                    used.add(t)
+            for k, (d, b) in enumerate(boxes):
+                t = of.get(k, len(tracks))
+                tracks[t] = (frame, b)
+                out.append((pdf["clip"].iloc[0], frame, d, t))
+        return pd.DataFrame(out, columns=["clip", "frame", "det", "track"])
+
+    return detections.groupBy("clip").applyInPandas(run, "clip long, frame int, det int, track int")

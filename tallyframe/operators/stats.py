@@ -113,3 +113,19 @@ def power_law(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """slope of ln y on ln x over positive values; null for fewer than two distinct x."""
     ok = rows.filter((F.col(x) > 0) & (F.col(y) > 0))
     return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count_distinct(x) >= 2, F.round(F.regr_slope(F.log(y), F.log(x)), 6)).alias("exponent"))
+
+
+def paired_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, draws: int, seed: int) -> DataFrame:
+    """Mean of ``b`` minus mean of ``a`` over rows that have both, with the 95 %
+    interval when clusters are drawn again, one set of draws for both columns."""
+    both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    sums = both.groupBy(F.col(cluster).alias("bs_cluster")).agg(F.sum(F.col(a).cast("double")).alias("bs_a"), F.sum(F.col(b).cast("double")).alias("bs_b"), F.count(F.lit(1)).alias("bs_n"))
+    k = sums.agg(F.count(F.lit(1)).alias("k"), F.sum("bs_a").alias("ta"), F.sum("bs_b").alias("tb"), F.sum("bs_n").alias("tn"))
+    numbered = sums.select((F.row_number().over(Window.orderBy("bs_cluster")) - 1).cast("long").alias("j"), "bs_a", "bs_b", "bs_n")  # one row a cluster
+    slots = rows.sparkSession.range(draws).select(F.col("id").alias("b")).crossJoin(F.broadcast(k)).select("b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("slot"))
+    drawn = slots.select("b", (hash_int(F.concat_ws(":", F.lit(str(seed)), "b", "slot")) % F.col("k")).alias("j"))
+    each = drawn.join(numbered, "j").groupBy("b").agg(((F.sum("bs_b") - F.sum("bs_a")) / F.sum("bs_n")).alias("r"))
+    ends = each.agg(F.percentile("r", F.lit(0.025)).alias("lo"), F.percentile("r", F.lit(0.975)).alias("hi"))
+    two = F.col("k") >= 2
+    return k.crossJoin(ends).select(F.col("k").alias("clusters"), F.col("tn").alias("n"), F.round((F.col("tb") - F.col("ta")) / F.col("tn"), 4).alias("delta"), F.when(two, F.round("lo", 4)).alias("low"), F.when(two, F.round("hi", 4)).alias("high"))
+

@@ -657,3 +657,39 @@ def hourly_windows(spark, d):  # S: tumbling windows, the batch form of streamin
 
     w = windowed(read(spark, d, "events"), "1 hour")
     return w.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", F.round("total", 3).alias("total"))
+
+
+PAIRED_SQL = """r AS (SELECT source, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS a, CASE WHEN doc_id % 11 <> 0 THEN length(replace(text, ' ', '')) END AS b FROM documents)"""
+
+
+@query(f"""WITH {PAIRED_SQL}, c AS (SELECT source, sum(a)::DOUBLE AS sa, sum(b)::DOUBLE AS sb, count(*) AS n FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+k AS (SELECT count(*) AS k, sum(sa) AS ta, sum(sb) AS tb, sum(n) AS tn FROM c), j AS (SELECT row_number() OVER (ORDER BY source) - 1 AS j, sa, sb, n FROM c),
+d AS (SELECT b, ('0x' || substr(sha256('31:' || b || ':' || slot), 1, 8))::BIGINT % k AS j FROM range(200) q(b), k, range(0, (SELECT k FROM k)) s(slot)),
+e AS (SELECT b, (sum(sb) - sum(sa)) / sum(n) AS r FROM d JOIN j USING (j) GROUP BY b)
+SELECT k AS clusters, tn::BIGINT AS n, round((tb - ta) / tn, 4) AS delta, round((SELECT quantile_cont(r, 0.025) FROM e), 4) AS low, round((SELECT quantile_cont(r, 0.975) FROM e), 4) AS high FROM k""")
+def paired_bootstrap(spark, d):  # K06, K09, R9
+    r = read(spark, d, "documents", "doc_id", "source", "n_chars", "text")
+    r = r.select("source", F.when(F.col("doc_id") % 7 != 0, F.col("n_chars")).alias("a"), F.when(F.col("doc_id") % 11 != 0, F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("b"))
+    return K.paired_bootstrap(r, "source", "a", "b", 200, 31)
+
+
+@query("""WITH e AS (SELECT event_id, user_id, (epoch_us(ts) // 1000000)::DOUBLE AS t FROM events), s AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM e GROUP BY 1),
+w AS (SELECT user_id, unnest(range(0, greatest(0, ceil((hi - lo - 172800) / 43200))::BIGINT + 1)) AS k, lo, hi FROM s),
+b AS (SELECT user_id, k, lo + least(k * 43200, greatest(0, hi - lo - 172800)) AS st FROM w),
+c AS (SELECT event_id, k, least(t - st, st + 172800 - t) AS inside FROM e JOIN b ON e.user_id = b.user_id AND t >= st AND t <= st + 172800)
+SELECT event_id, arg_max(k, {'i': inside, 'k': -k}) AS win FROM c GROUP BY 1""")
+def window_ownership(spark, d):  # G08
+    e = read(spark, d, "events", "event_id", "user_id", "ts").withColumn("t", F.expr("unix_micros(cast(ts as timestamp)) div 1000000").cast("double"))
+    return R.window_owner(e, "user_id", "t", 172800.0, 43200.0).select("event_id", F.col("window").alias("win"))
+
+
+@query()
+def box_tracks(spark, d):  # E16: sequential within a clip, no SQL
+    b = boxes(spark, d).dropDuplicates(["id", "det"])
+    return R.track_boxes(b.select(F.col("id").alias("clip"), F.col("det").alias("frame"), F.col("label").cast("int").alias("det"), "box"))
+
+
+@query()
+def alias_mentions(spark, d):  # C20, E13: longest match, no SQL
+    find = T.mentions_udf({"ring": "ring", "small ring": "small ring", "widget": "widget", "red widget": "red widget", "bolt": "bolt"})
+    return read(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.array_join(find("p_name"), "|").alias("labels"))

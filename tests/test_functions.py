@@ -83,3 +83,9 @@ def test_predicates(spark):
     labels, good = F.array(F.lit("run"), F.lit("walk")), F.array(F.lit(0.84994), F.lit(0.84996))
     r = one(spark, a=S.any_of_top(labels, good, F.lit("run")), b=S.any_of_top(labels, good, F.lit("walk")), c=S.enough_moves(F.array(F.lit(1.0)), 0.5, F.lit(0)), d=S.enough_moves(F.array().cast("array<double>"), 0.5, F.lit(0)), e=S.status_fold(F.array(F.lit("verified"), F.lit("failed"), F.lit("blocked"))), f=S.all_substrings(F.array(F.lit("sea"), F.lit("side")), F.lit("by the seaside")))
     assert tuple(r) == (False, True, True, False, "failed", True)
+
+
+def test_mentions_take_the_longest(spark):
+    find = T.mentions_udf({"dog": "dog", "hot dog": "hot dog", "cat": "cat"})
+    df = spark.createDataFrame([("A hot dog, a Dog and concat",), (None,)], "t string").select(find("t"))
+    assert [r[0] for r in df.collect()] == [["hot dog", "dog"], None]

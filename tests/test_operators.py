@@ -108,3 +108,32 @@ def test_grid_gaps_and_baseline(spark):
     assert [tuple(r) for r in R.grid_gaps(g, ["base", "level"], [["base"], ["level"]]).collect()] == [("b", 2)]
     got = {(r.base, r.level): r.delta for r in R.to_baseline(g, ["base"], "level", 1, "v").collect()}
     assert got == {("a", 1): 0.0, ("a", 2): 2.0, ("b", 1): None}
+
+
+def test_window_owner_by_trying_all(spark):
+    rng = random.Random(9)
+    rows = [(c, round(rng.uniform(0, 50), 3)) for c in "ab" for _ in range(40)]
+    got = {(r.c, r.t): r.window for r in R.window_owner(spark.createDataFrame(rows, "c string, t double"), "c", "t", 10.0, 4.0).collect()}
+    for c in "ab":
+        ts = [t for x, t in rows if x == c]
+        lo, hi = min(ts), max(ts)
+        last = max(0, -int(-(hi - lo - 10) // 4))
+        starts = [lo + min(k * 4.0, max(0.0, hi - lo - 10)) for k in range(last + 1)]
+        for t in ts:
+            inside = [(min(t - s, s + 10 - t), -k) for k, s in enumerate(starts) if s - 1e-9 <= t <= s + 10 + 1e-9]
+            best = max(x for x, _ in inside)
+            ties = [-k for x, k in inside if abs(x - best) < 1e-9]
+            assert got[c, t] in ties
+
+
+def test_tracks_follow_boxes_and_gaps(spark):
+    rows = [(1, 0, 0, [0.0, 0.0, 4.0, 4.0]), (1, 0, 1, [10.0, 0.0, 14.0, 4.0]), (1, 1, 0, [10.5, 0.0, 14.5, 4.0]), (1, 2, 0, [0.5, 0.0, 4.5, 4.0]), (1, 9, 0, [0.5, 0.0, 4.5, 4.0])]
+    df = spark.createDataFrame(rows, "clip long, frame int, det int, box array<double>")
+    got = {(r.frame, r.det): r.track for r in R.track_boxes(df).collect()}
+    assert got == {(0, 0): 0, (0, 1): 1, (1, 0): 1, (2, 0): 0, (9, 0): 2}
+
+
+def test_paired_bootstrap_leaves_rows_without_both(spark):
+    rows = [("a", 1.0, 2.0), ("a", None, 9.0), ("b", 2.0, 3.0), ("c", 0.0, 1.0)]
+    got = K.paired_bootstrap(spark.createDataFrame(rows, "c string, a double, b double"), "c", "a", "b", 30, 1).first()
+    assert tuple(got) == (3, 3, 1.0, 1.0, 1.0)
