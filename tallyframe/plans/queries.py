@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions import scores as S
 from tallyframe.functions import text as T
+from tallyframe.operators import contracts as C
+from tallyframe.operators import dataprep as D
 from tallyframe.operators import relational as R
 from tallyframe.operators import stats as K
 
@@ -693,3 +695,45 @@ def box_tracks(spark, d):  # E16: sequential within a clip, no SQL
 def alias_mentions(spark, d):  # C20, E13: longest match, no SQL
     find = T.mentions_udf({"ring": "ring", "small ring": "small ring", "widget": "widget", "red widget": "red widget", "bolt": "bolt"})
     return read(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.array_join(find("p_name"), "|").alias("labels"))
+
+
+@query("""WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS labels, min(o_orderstatus) AS one, list_sort(list_distinct(list(o_orderkey))) AS ids FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN labels = 1 THEN one END AS label, array_to_string(ids, ',') AS ids, labels > 1 AS conflict FROM g""")
+def merge_observations(spark, d):  # F31
+    m = D.merge_observations(read(spark, d, "orders", "o_custkey", "o_orderstatus", "o_orderkey"), "o_custkey", "o_orderstatus", "o_orderkey")
+    return m.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query("""WITH s AS (SELECT user_id, event_type, round(avg(value), 6) AS s FROM events GROUP BY 1, 2)
+SELECT user_id, array_to_string(list_slice(list(event_type ORDER BY s DESC, event_type), 1, 3), ',') AS top FROM s GROUP BY 1""")
+def top_classes(spark, d):  # H07, G04
+    s = read(spark, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("s"))
+    return D.top_classes(s, "user_id", "event_type", "s", 3).withColumn("top", F.array_join("top", ","))
+
+
+@query("""WITH r AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id < 60),
+h AS (SELECT doc_id, source || '/' || lang AS grp, sha256(text) IN (SELECT k FROM r) AS hit FROM documents), g AS (SELECT grp, bool_or(hit) AS gh FROM h GROUP BY 1)
+SELECT doc_id, grp, CASE WHEN hit THEN 'reserved' WHEN gh THEN 'quarantine' WHEN ('0x' || substr(sha256('13:' || grp), 1, 8))::BIGINT % 5 = 0 THEN 'dev' ELSE 'train' END AS role FROM h JOIN g USING (grp)""")
+def leakage_safe(spark, d):  # J03: the texts of some documents are held as reserved
+    t = read(spark, d, "documents", "doc_id", "source", "lang", "text").select("doc_id", F.concat_ws("/", "source", "lang").alias("grp"), F.sha2("text", 256).alias("k"))
+    return D.leakage_safe(t, t.filter("doc_id < 60"), "k", "grp", 13).select("doc_id", "grp", "role")
+
+
+@query("""SELECT l_suppkey % 50 AS base, count(*) AS members, count_if(l_returnflag <> 'A') AS qualified, count(*) = 120 AND count_if(l_returnflag <> 'A') = 120 AS eligible FROM lineitem GROUP BY 1""")
+def qualified_groups(spark, d):  # K16
+    li = read(spark, d, "lineitem", "l_suppkey", "l_returnflag").select((F.col("l_suppkey") % 50).alias("base"), F.when(F.col("l_returnflag") != "A", "qualified").otherwise("excluded").alias("status"))
+    return D.qualified_groups(li, "base", "status", 120)
+
+
+@query("""WITH a AS (SELECT o_custkey, list(o_orderstatus ORDER BY o_orderkey) AS a FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN a[1] = a[2] THEN a[1] WHEN a[3] = a[1] OR a[3] = a[2] THEN a[3] END AS answer,
+       CASE WHEN a[1] = a[2] THEN 'accepted' WHEN a[3] = a[1] OR a[3] = a[2] THEN 'arbitrated' ELSE 'rejected' END AS state FROM a""")
+def arbitration(spark, d):  # M05
+    return D.arbitrate(read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""SELECT c_custkey, c_nationkey, n_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def contract_join(spark, d):  # L01, L08, E17: a key that repeats or a balance out of range fails the query
+    n = C.require_unique(read(spark, d, "nation", "n_nationkey", "n_name"), ["n_nationkey"])
+    c = C.require_range(C.require_unique(read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), ["c_custkey"]), "c_acctbal", -1e5, 1e5)
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name", "c_acctbal")
