@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import archives, bpe, minhash, mpeg, packing, quality, sharding, suffixes, token_files, toxicity
+from tallyframe.llm import archives, bpe, minhash, mpeg, oracle, packing, quality, sharding, suffixes, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_minhash_dedup": oracle.NEAR_DUPLICATES,
+    "op2_suffix_dedup": oracle.REPEATED_STRINGS,
     "op8_arc_to_warc": archives.query_sql(),
     "op10_quality_rules": quality.query_sql(),
 }
