@@ -174,3 +174,18 @@ def track_boxes(detections: DataFrame, minimum_iou: float = 0.3, max_gap: int =
         return pd.DataFrame(out, columns=["clip", "frame", "det", "track"])
 
     return detections.groupBy("clip").applyInPandas(run, "clip long, frame int, det int, track int")
+
+
+def resample_indices(frames: Column, native: float, target: float) -> Column:
+    """0-based frames nearest to a slower clock's ticks, strictly increasing; all
+    frames where the target is no slower."""
+    if target >= native:
+        return F.sequence(F.lit(0).cast("long"), frames.cast("long") - 1)
+    ticks = F.floor((frames - 1) * F.lit(target) / F.lit(native)).cast("long")
+    near = F.transform(F.sequence(F.lit(0).cast("long"), ticks), lambda i: F.bround(i * F.lit(native) / F.lit(target)).cast("long"))
+    return F.array_distinct(F.filter(near, lambda i: i < frames))
+
+
+def alternating_phase(index: Column, seed: int) -> Column:
+    """+1 and -1 in turn, begun by the parity of the seed."""
+    return F.when((index + seed) % 2 == 0, 1).otherwise(-1)

@@ -737,3 +737,33 @@ def contract_join(spark, d):  # L01, L08, E17: a key that repeats or a balance o
     n = C.require_unique(read(spark, d, "nation", "n_nationkey", "n_name"), ["n_nationkey"])
     c = C.require_range(C.require_unique(read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), ["c_custkey"]), "c_acctbal", -1e5, 1e5)
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name", "c_acctbal")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_size / 50.0::DOUBLE AS a, p_retailprice / 2500.0 AS b FROM part)
+SELECT p_partkey, round(least(1.0, greatest(0.0, -ln((exp(-10 * a) + exp(-10 * b)) / 2) / 10)), 6) AS soft, round(0.5 * (a + b) / 2 + 0.5 * least(a, b), 6) AS blend,
+       round(least(1.0, greatest(0.0, 1 - 2.0 * (1 - a))), 6) AS calibrated, round(exp(-a), 6) AS smooth, round_even(p_size / 4.0, 0)::INT AS needed, (a > 0.5)::INT + (b > 0.5)::INT >= 1 AS moves,
+       CASE WHEN a > 0.9 THEN 'failed' WHEN b > 0.9 THEN 'blocked' WHEN a < 0.1 THEN 'not_applicable' ELSE 'verified' END AS state FROM p""")
+def score_formulas(spark, d):  # D05, D07, D08, D09, D11, D18, D21
+    p = read(spark, d, "part", "p_partkey", "p_size", "p_retailprice").withColumns({"a": F.col("p_size") / 50.0, "b": F.col("p_retailprice") / 2500.0})
+    v = F.array("a", "b")
+    none = F.lit("not_applicable")
+    state = F.array(F.when(F.col("a") > 0.9, "failed").when(F.col("a") < 0.1, none).otherwise("verified"), F.when(F.col("b") > 0.9, "blocked").when(F.col("a") < 0.1, none).otherwise("verified"))
+    return p.select("p_partkey", F.round(S.softmin(v, 10.0), 6).alias("soft"), F.round(S.condition_blend(v), 6).alias("blend"), F.round(S.calibrated(F.col("a"), 2.0), 6).alias("calibrated"), F.round(S.discontinuity_score(F.col("a")), 6).alias("smooth"), S.needed_frames(F.col("p_size")).alias("needed"), S.enough_moves(v, 0.5, F.lit(1)).alias("moves"), S.status_fold(state).alias("state"))
+
+
+@query(r"""SELECT p_partkey, lower(trim(trim(regexp_replace('  (The ' || p_name || '!) ', '\s+', ' ', 'g')), ' .,;:!?"''()[]{}')) AS phrase,
+       CASE WHEN p_name LIKE '%ring%' THEN 'unknown' ELSE 'camera' END AS motion, split_part(split_part(lower(p_name), '-', 1), '_', 1) AS label, p_partkey / 2.0::DOUBLE AS rate,
+       CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'clips/' || p_partkey END AS path FROM part""")
+def text_keys(spark, d):  # C02, C17, C26, C29, C30
+    p = read(spark, d, "part", "p_partkey", "p_name")
+    name = F.col("p_name")
+    prompt = F.when(name.contains("ring"), name).otherwise(F.concat(F.lit("the camera pans over "), name))
+    path = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("clips/../"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("clips/"), F.col("p_partkey").cast("string")))
+    return p.select("p_partkey", T.normalize_phrase(F.concat(F.lit("  (The "), name, F.lit("!) "))).alias("phrase"), T.motion_target(prompt).alias("motion"), T.filename_label(F.concat(F.lit("x/"), name)).alias("label"), T.rate(F.concat(F.col("p_partkey").cast("string"), F.lit("/2"))).alias("rate"), T.safe_relative(path).alias("path"))
+
+
+@query("""WITH n AS (SELECT user_id, count(*) AS frames FROM events GROUP BY 1)
+SELECT user_id, array_to_string([x FOR x IN [round_even(i * 24.0 / 10.0, 0)::BIGINT FOR i IN range(0, floor((frames - 1) * 10.0 / 24.0)::BIGINT + 1)] IF x < frames], ',') AS kept, CASE WHEN frames % 2 = 0 THEN 1 ELSE -1 END AS phase FROM n""")
+def resampled_frames(spark, d):  # G16, G17
+    n = read(spark, d, "events", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"))
+    return n.select("user_id", F.array_join(R.resample_indices(F.col("frames"), 24.0, 10.0), ",").alias("kept"), R.alternating_phase(F.col("frames"), 0).alias("phase"))
