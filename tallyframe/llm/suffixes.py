@@ -7,7 +7,7 @@ what is left, distinct segments that share an anchor, is compared through the tr
 
 In a task the segments are split into shards, each shard gets its suffix order and its
 transform, and the transforms are merged by refining their interleave: one step sorts all
-suffixes by one byte more, stably by the byte before each suffix in the order so far. A
+suffixes by two bytes more, stably by the bytes before each suffix in the order so far. A
 step splits the intervals of equal prefixes, and so gives common prefixes and repeated
 intervals; suffixes whose interval holds them alone leave the merge. No suffix is
 compared with another and the union is never sorted again.
@@ -67,19 +67,21 @@ def repeated_intervals(shards: list[np.ndarray], length: int) -> list[tuple[np.n
     begins = np.cumsum([0, *(len(s) for s in shards)])
     place = np.concatenate([o + b for (o, _, _), b in zip(built, begins, strict=False)])
     symbol = np.concatenate([t for _, t, _ in built])
-    longer = np.concatenate([x + b for (_, _, x), b in zip(built, begins, strict=False)])
+    longer = np.concatenate([x + b for (_, _, x), b in zip(built, begins, strict=False)]).astype(np.int32)
+    two, longer_by_two = symbol[longer].astype(np.uint16) << 8 | symbol, longer[longer]
     # The interleave at depth 0: shard after shard, all in one interval.
-    at, interval = np.arange(len(place)), np.zeros(len(place), np.int64)
-    for _ in range(length):
-        byte = symbol[at]
-        step = np.argsort(byte, kind="stable")
-        byte, interval, at = byte[step], interval[step], longer[at[step]]
-        new = np.append(True, (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1]))
+    at, interval = np.arange(len(place), dtype=np.int32), np.zeros(len(place), np.int32)
+    steps = [(symbol, longer)] * (length % 2) + [(two, longer_by_two)] * (length // 2)
+    for before, onward in steps:  # two bytes a step
+        key = before[at]
+        order = np.argsort(key, kind="stable")
+        key, interval, at = key[order], interval[order], onward[at[order]]
+        new = np.append(True, (key[1:] != key[:-1]) | (interval[1:] != interval[:-1]))
         alone = new & np.append(new[1:], True)
         if alone.any():
             keep = ~alone
             new, at = new[keep], at[keep]
-        interval = new.cumsum()
+        interval = new.cumsum(dtype=np.int32)
         if not len(at):
             break
     return interval, place[at]
