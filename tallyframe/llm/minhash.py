@@ -3,9 +3,11 @@ buckets, star-shaped candidates, and links confirmed on the full shingle sets.
 
 One hash of every shingle fills all bins of a signature; an empty bin borrows from the
 first filled bin in a random order of its own. Bands of bins make buckets. In a bucket
-of m documents only the m - 1 pairs with its centre are tried at first. Where these do
-not tie the whole bucket together, the members left outside become centres in turn, so
-no link inside a bucket is lost and the pairs tried stay near the number of members.
+of m documents only the m - 1 pairs with its centre are candidates. Where links do not
+tie a bucket together, its members are compared exactly: prefixes of their sets, rarest
+shingles first, must share a shingle, and a set's shingles that nobody shares bound what
+it can have in common with any other. Near copies that differ too much from all others
+consist of such shingles, so this rest costs few pairs however large the bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from tallyframe.llm.common import bounded_arrow, free_name, written
 from tallyframe.llm.components import connected_components
 from tallyframe.llm.shingles import mix, shingle_set
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 _rng = np.random.default_rng(7)
 #: For each bin, the order in which it asks the others for a value.
 _ASKED = np.array([_rng.permutation(BANDS * ROWS) for _ in range(BANDS * ROWS)])
@@ -89,6 +91,42 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return written(full.mapInArrow(_confirmed(k, percent), "a long, b long"), "linked")
 
 
+def _exploded(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), k).view(np.int64) for t in some.column(2)]
+                lengths = np.array([len(x) for x in sets])
+                ids, roots = (np.repeat(some.column(c).to_numpy(), lengths) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots), pa.array(np.concatenate(sets))], ["id", "root", "h"])
+
+    return run
+
+
+def _rest_pairs(texts: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``texts`` in different components that may be similar enough; no
+    pair that is, is missing."""
+    known = texts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+    each = known.mapInArrow(_exploded(k), "id long, root long, h long")
+    often = each.groupBy("h").agg(F.count("id").alias("f"))
+    sets = each.join(often, "h").groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    n = F.size("s")
+    prefix = n - F.ceil(n * percent / F.lit(100.0)).cast("int") + 1
+    shared = F.size(F.filter("s", lambda x: x["f"] > 1))
+    # Of a set whose unshared shingles alone rule every partner out nothing is left.
+    sets = sets.select("id", "root", n.alias("n"), shared.alias("c"), F.slice("s", 1, prefix).alias("s")).filter(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n"))
+    heads = sets.select("id", "root", "n", "c", F.posexplode(F.filter("s", lambda x: x["f"] > 1)["h"]).alias("i", "h"))
+    mixed = heads.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
+    heads = written(heads.join(mixed, "h", "left_semi"), "heads")
+    x, y = heads.alias("x"), heads.alias("y")
+    # With i shareable shingles of a set before the first common one, c - i can be common.
+    left = F.least(F.col("x.c") - F.col("x.i"), F.col("y.c") - F.col("y.i"))
+    enough = F.lit(100 + percent) * left >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & enough)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``.
 
@@ -96,62 +134,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     ``k``-word shingles; component_id is the smallest id reachable. Texts that are null or
     without words have an empty set and no link. Rows with equal sets are one class from
     the start (copies cost no pairs); rows that share an id count as one document. A row
-    with a null id keeps a null component. At the least similarity of 0.8 a link shares no
-    bucket with probability 1e-5 (1e-8 at 0.85); pairs that share one are all decided.
+    with a null id keeps a null component. A link at a similarity of 0.8 shares no bucket
+    with probability 5e-6 (6e-9 at 0.85); of those that share one none is lost.
     """
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     signed = written(rows.mapInArrow(_signed(k), "id long, n long, digest binary, keys array<long>"), "signed")
     usable = signed.filter("n > 0 and id is not null")
     copies = written(usable.groupBy("digest").agg(F.min("id").alias("first"), F.count("id").alias("m")).filter("m > 1").drop("m"), "copies")
-    classed = signed.join(copies, "digest", "left").select("id", "n", "keys", F.when(F.col("n") > 0, F.coalesce("first", "id")).otherwise(F.col("id")).alias("first"))
-    classed = written(classed.withColumn("keys", F.when(F.col("id") == F.col("first"), F.col("keys"))), "classed")
-
-    bands = classed.filter("keys is not null").select("id", "n", F.explode("keys").alias("key"))
-    buckets = written(bands.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("id").alias("m")).filter("m > 1"), "buckets")
-    members = written(bands.join(buckets, "key").select("key", "id", "n", F.col("c.id").alias("a"), F.col("c.n").alias("na"), "m"), "members")
+    first = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("first", "id")).otherwise(F.col("id"))
+    classed = signed.join(copies, "digest", "left").select("id", "n", "keys", first.alias("first"))
+
+    bands = classed.filter("keys is not null and id = first").select("id", "n", F.explode("keys").alias("key"))
+    sizes = written(bands.groupBy("key").agg(F.count("id").alias("m")).filter("m > 1"), "sizes")
+    shared = written(bands.join(sizes, "key"), "shared")
+    # The centre of a bucket is its member that meets most others in all its buckets: of
+    # copies with changes of their own, the one with the fewest.
+    met = shared.groupBy("id").agg(F.sum("m").alias("met"))
+    placed = shared.join(met, "id")
+    centres = placed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("id"), "n")).alias("c")).select("key", (-F.col("c.id")).alias("a"), F.col("c.n").alias("na"))
+    members = written(shared.join(centres, "key"), "members")
     like = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")  # no similarity exceeds the ratio of sizes
     pairs = members.filter((F.col("id") != F.col("a")) & like).select("a", F.col("id").alias("b")).distinct()
-    wanted = members.select("id").distinct()
-    texts = rows.join(wanted, "id", "left_semi")
+    # The texts of all members are taken out once; the joins below move these alone.
+    texts = written(rows.join(members.select("id").distinct(), "id", "left_semi"), "texts")
     links = _links(pairs, texts, k, percent)
     roots = connected_components(links)
 
-    # Members outside the component of their bucket's centre become centres themselves.
-    rest = members.filter("m > 2")
-    width, last = 1, None
-    tried = written(pairs, "tried")
-    small_texts = None
-    while True:
-        r1, r2 = roots.select("id", "root"), roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-        now = rest.join(r1, "id", "left").join(r2, "a", "left").withColumns({"root": F.coalesce("root", "id"), "ra": F.coalesce("ra", "a")})
-        outside = now.filter("root <> ra").select("key", F.col("id").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))
-        if last is not None:
-            outside = outside.join(last, "key").filter("c > at").drop("at")
-        else:
-            open_keys = written(outside.select("key").distinct(), "open")
-            rest = written(rest.join(open_keys, "key", "left_semi"), "rest")
-        outside = written(outside, "outside")
-        if outside.isEmpty():
-            break
-        centres = outside.groupBy("key").agg(F.slice(F.sort_array(F.collect_set(F.struct("c", "nc", "rc"))), 1, width).alias("cs")) if width > 1 else outside.groupBy("key").agg(F.array(F.min(F.struct("c", "nc", "rc"))).alias("cs"))
-        centres = written(centres, "centres")
-        last = centres.select("key", F.element_at("cs", -1)["c"].alias("at"))
-        now = rest.join(r1, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        more = now.join(centres.select("key", F.explode("cs").alias("c")), "key").filter((F.col("root") != F.col("c.rc")) & (F.lit(100) * F.least("n", "c.nc") >= F.lit(percent) * F.greatest("n", "c.nc")))
-        more = more.select(F.least("id", "c.c").alias("a"), F.greatest("id", "c.c").alias("b")).distinct()
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            if small_texts is None:
-                small_texts = written(rows.join(rest.select("id").distinct(), "id", "left_semi"), "texts")
-            found = _links(more, small_texts, k, percent)
-            tried = tried.unionByName(more)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                roots = connected_components(links)
-    tops = roots.withColumnRenamed("id", "first")
-    lowest = tops.groupBy("root").agg(F.min("first").alias("component_id"))
-    mapped = tops.join(lowest, "root").select("first", "component_id")
+    of = members.filter("m > 2").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    loose = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    rest = members.filter("m > 2").join(loose, "key", "left_semi").select("id").distinct()
+    rest_texts = written(texts.join(rest, "id", "left_semi"), "rest")
+    found = _links(_rest_pairs(rest_texts, roots, k, percent), rest_texts, k, percent)
+    if not found.isEmpty():
+        roots = connected_components(links.unionByName(found))
+    lowest = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    mapped = roots.join(lowest, "root").select(F.col("id").alias("first"), "component_id")
     return classed.join(mapped, "first", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
 
 
