@@ -50,6 +50,25 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n]) if have < width else x[:n]
 
 
+def _strings(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each gram, place of each string's anchor, hash of each string)."""
+    rolling = _Rolling(data)
+    grams = mix(rolling.of(GRAM))
+    order = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
+    return grams, (_least(order, length - GRAM + 1) & _POSITION).astype(np.int64), rolling.of(length)
+
+
+def _segments(grams: np.ndarray, place: np.ndarray, whole: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments of the strings that start at ``at``; a gap there changes the place."""
+    place = place[at]
+    cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    count = np.diff(np.append(cut, len(place)))
+    start, place = at[cut], place[cut]
+    # Two strings cover a segment, as it has fewer strings than a string has bytes.
+    content = mix(whole[start] * np.uint64(0xD6E8FEB86659FD93) + mix(whole[start + count - 1]) + (count + 128 * (place - start)).astype(np.uint64))
+    return grams[place], content, start, count
+
+
 def segments(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, ...]:
     """(anchor, content, start, count) of each segment of the bytes ``data``: 64-bit hashes
     of the anchor and of all bytes of the segment, first string, number of strings."""
@@ -59,22 +78,29 @@ def segments(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, ...]:
         part = data[at : at + step + length - 1]
         if len(part) < length:
             break
-        rolling = _Rolling(part)
-        grams = mix(rolling.of(GRAM))
-        order = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-        place = (_least(order, length - GRAM + 1) & _POSITION).astype(np.int64)
-        start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        count = np.diff(np.append(start, len(place)))
-        whole = rolling.of(length)
-        # Two strings cover a segment, as it has fewer strings than a string has bytes.
-        content = mix(whole[start] * np.uint64(0xD6E8FEB86659FD93) + mix(whole[start + count - 1]) + (count + 128 * (place[start] - start)).astype(np.uint64))
-        out.append((grams[place[start]], content, start + at, count))
+        grams, place, whole = _strings(part, length)
+        anchor, content, start, count = _segments(grams, place, whole, np.arange(len(place)))
+        out.append((anchor, content, start + at, count))
     if not out:
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def joined_segments(texts: list[bytes], length: int = 100) -> tuple[np.ndarray, ...]:
+    """(text, anchor, content, start, count): the ``segments`` of short texts, each of
+    ``length`` bytes or more, together fewer than 2^20, in one pass over all their bytes."""
+    sizes = np.array([len(t) for t in texts])
+    begins = sizes.cumsum() - sizes
+    grams, place, whole = _strings(np.frombuffer(b"".join(texts), np.uint8), length)
+    inside = np.ones(len(place) + length - 1, bool)  # strings over the end of a text are none
+    for back in range(1, length):
+        inside[begins + sizes - back] = False
+    anchor, content, start, count = _segments(grams, place, whole, np.flatnonzero(inside))
+    text = np.searchsorted(begins, start, "right") - 1
+    return text, anchor, content, start - begins[text], count
+
+
 def string_hashes(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of every string of ``length`` bytes."""
     a = mix(_Rolling(data).of(length))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.anchors import segments, string_hashes
+from tallyframe.llm.anchors import joined_segments, segments, string_hashes
 from tallyframe.llm.common import bounded_arrow, free_name, text_or_empty, written
 
 #: A byte that UTF-8 never has ends each segment.
@@ -33,6 +33,8 @@ END = 0xFF
 SHARD, MERGED = 1 << 17, 1 << 20
 #: Segments of one anchor that a task takes; strings of larger groups meet by their hashes.
 GROUP = 2048
+#: Bytes of short texts whose anchors are found in one pass.
+JOINED = 1 << 16
 #: Text digests that a worker remembers, to send the segments of equal texts once.
 REMEMBERED = 1 << 18
 
@@ -129,7 +131,7 @@ def _anchored(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:
-            out, rows = [], 0
+            out, rows, held, size = [], 0, [], 0
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = value.as_py().encode("utf-8", "surrogatepass")
                 if len(data) < length:
@@ -140,15 +142,32 @@ def _anchored(length: int):
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen[digest] = doc
-                anchor, content, start, count = segments(np.frombuffer(data, np.uint8), length)
-                out.append((anchor.view(np.int64), content.view(np.int64), np.full(len(start), doc), start * 256 + count))
-                rows += len(start)
+                if len(data) >= JOINED:
+                    out.append(_columns(np.int64(doc), *segments(np.frombuffer(data, np.uint8), length)))
+                    rows += len(out[-1][0])
+                else:
+                    held.append((doc, data))
+                    size += len(data)
+                    if size >= JOINED:
+                        out.append(_joined(held))
+                        rows += len(out[-1][0])
+                        held, size = [], 0
                 if rows > 100_000:
                     yield _rows(out)
                     out, rows = [], 0
+            if held:
+                out.append(_joined(held))
             if out:
                 yield _rows(out)
 
+    def _joined(held: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        docs, texts = zip(*held, strict=True)
+        text, *rest = joined_segments(list(texts), length)
+        return _columns(np.array(docs, np.int64)[text], *rest)
+
+    def _columns(doc: np.ndarray, anchor: np.ndarray, content: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+        return anchor.view(np.int64), content.view(np.int64), np.broadcast_to(doc, start.shape), start * 256 + count
+
     def _rows(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "s", "doc", "p"])
 

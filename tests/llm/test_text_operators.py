@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyframe.llm import minhash, quality, suffixes, toxicity
+from tallyframe.llm import anchors, minhash, quality, suffixes, toxicity
 from tallyframe.llm.shingles import words
 
 RNG = random.Random(11)
@@ -191,3 +191,12 @@ def test_toxicity_edge_cases(spark, documents):
     with pytest.raises(ValueError):
         toxicity.scored(documents(rows, score=1.0), toxicity.fit(docs, none))
     assert toxicity.toxicity_filter(documents(rows, tx_score=1), toxicity.fit(docs, none)).columns[-1] == "tx_score"
+
+
+def test_joined_segments_are_those_of_each_text():
+    rng = np.random.default_rng(3)
+    texts = [b"a" * n for n in (100, 101, 177, 400)] + [bytes(rng.integers(97, 99, n, dtype=np.uint8)) for n in range(100, 240)]
+    text, *joined = anchors.joined_segments(texts)
+    for k, t in enumerate(texts):
+        each = anchors.segments(np.frombuffer(t, np.uint8))
+        assert all(np.array_equal(x[text == k], y) for x, y in zip(joined, each, strict=True))
