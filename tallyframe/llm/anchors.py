@@ -12,7 +12,8 @@ import numpy as np
 
 from tallyframe.llm.shingles import mix
 
-GRAM = 24
+#: Bytes of an anchor. Long ones seldom stand in two places by chance.
+GRAM = 48
 _POSITION = np.uint64((1 << 20) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -7,10 +7,17 @@ what is left, distinct segments that share an anchor, is compared through the tr
 
 In a task the segments are split into shards, each shard gets its suffix order and its
 transform, and the transforms are merged by refining their interleave: one step sorts all
-suffixes by two bytes more, stably by the bytes before each suffix in the order so far. A
-step splits the intervals of equal prefixes, and so gives common prefixes and repeated
+suffixes by a few bytes more, stably by the bytes before each suffix in the order so far.
+A step splits the intervals of equal prefixes, and so gives common prefixes and repeated
 intervals; suffixes whose interval holds them alone leave the merge. No suffix is
 compared with another and the union is never sorted again.
+
+The segments of an anchor are dealt to shares of bounded size, and a share goes through
+one task. What is first in its share meets the other shares' firsts by a digest.
+
+Collisions: equal segments and equal strings of several shares are told by 128 bits of
+hashes (anchor and content; two hashes), whole texts by MD5. Two different strings among
+n are taken for one with a probability of at most n^2 / 2^129, under 1e-10 for 10^14.
 """
 
 from __future__ import annotations
@@ -25,25 +32,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.anchors import joined_segments, segments, string_hashes
-from tallyframe.llm.common import bounded_arrow, free_name, text_or_empty, written
+from tallyframe.llm.common import bounded_arrow, free_name, partitions, text_or_empty, written
 
 #: A byte that UTF-8 never has ends each segment.
 END = 0xFF
 #: Bytes of a shard, and of the shards merged at a time.
-SHARD, MERGED = 1 << 17, 1 << 20
-#: Segments of one anchor that a task takes; strings of larger groups meet by their hashes.
-GROUP = 2048
+SHARD, MERGED = 1 << 15, 1 << 18
+#: Distinct segments of an anchor in a share. An anchor has as many shares as it needs.
+SHARE = 2048
 #: Bytes of short texts whose anchors are found in one pass.
 JOINED = 1 << 16
 #: Text digests that a worker remembers, to send the segments of equal texts once.
 REMEMBERED = 1 << 18
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The rotations of ``text`` in the order of their first ``depth`` bytes (or more)."""
-    rank, have, n = text.astype(np.int64), 1, len(text)
+def grams(shard: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a shard on, read in a circle, as one number."""
+    v = np.resize(shard, len(shard) + 7).astype(np.uint64)
+    for k in (1, 2, 4):
+        v = v[: len(v) - k] << np.uint64(8 * k) | v[k:]
+    return v
+
+
+def suffix_order(gram: np.ndarray, depth: int) -> np.ndarray:
+    """The rotations of a shard, given its ``grams``, in the order of their first ``depth``
+    bytes (or more), by doubling."""
+    rank, have, n = np.unique(gram, return_inverse=True)[1], 8, len(gram)
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         in_order = rank[order]
         fresh = np.append(0, (in_order[1:] != in_order[:-1]).astype(np.int64)).cumsum()
         if have >= depth or fresh[-1] == n - 1:
@@ -53,40 +69,78 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         rank, have = rank * n + np.roll(rank, -have % n), 2 * have
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix order, transform, where the suffix one byte longer stands) of a shard."""
-    order = suffix_order(text, depth)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    before = order - 1  # -1 is the last rotation
-    return order, text[before], place[before]
+def _symbols(gram: np.ndarray, k: int) -> tuple[int, np.ndarray]:
+    """How many distinct strings of ``k`` bytes there are, and the rank of each place's."""
+    if k <= 2:
+        return 256**k, gram >> np.uint64(64 - 8 * k)
+    distinct, rank = np.unique(gram >> np.uint64(64 - 8 * k), return_inverse=True)
+    return len(distinct), rank
 
 
-def repeated_intervals(shards: list[np.ndarray], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(interval, place in the joined shards) of all suffixes that share their first
-    ``length`` bytes with another; shards are joined in the order given."""
-    built = [transform(s, length) for s in shards]
-    begins = np.cumsum([0, *(len(s) for s in shards)])
-    place = np.concatenate([o + b for (o, _, _), b in zip(built, begins, strict=False)])
-    symbol = np.concatenate([t for _, t, _ in built])
-    longer = np.concatenate([x + b for (_, _, x), b in zip(built, begins, strict=False)]).astype(np.int32)
-    two, longer_by_two = symbol[longer].astype(np.uint16) << 8 | symbol, longer[longer]
+def refined(shards: list[np.ndarray], length: int, widest: int = 8) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, interval, place in the joined shards) after each step of the merge, for all
+    suffixes that share their first ``depth`` bytes with another, in sorted order.
+
+    The transform of a shard holds, for each suffix in order, the bytes before it. A step
+    sorts the interleave of all transforms by the most of these bytes (up to ``widest``)
+    whose distinct values fit 16 bits.
+    """
+    each = [grams(s) for s in shards]
+    joint = np.concatenate(each)
+    begins = np.cumsum([0, *(len(s) for s in shards[:-1])])
+    orders = [suffix_order(g, length) for g in each]
+    start = np.concatenate([o + b for o, b in zip(orders, begins, strict=True)])
+
+    def transform(k: int, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before, longer = [], []  # the suffix k bytes longer: where it starts, where it stands
+        for order, b in zip(orders, begins, strict=True):
+            stands = np.empty(len(order), np.int32)
+            stands[order] = np.arange(b, b + len(order), dtype=np.int32)
+            at = (order - k) % len(order)
+            before.append(at + b)
+            longer.append(stands[at])
+        return symbols[np.concatenate(before)].astype(np.uint16), np.concatenate(longer)
+
+    k = min(widest, 1 << (length.bit_length() - 1))
+    while (found := _symbols(joint, k))[0] > 1 << 16:
+        k //= 2
+    steps, depth = [], 0
+    if length % k:
+        steps += [(w, transform(w, _symbols(joint, w)[1])) for w in (4, 2, 1) if w < k and length % k & w]
+    steps += [(k, transform(k, found[1]))] * (length // k)
     # The interleave at depth 0: shard after shard, all in one interval.
-    at, interval = np.arange(len(place), dtype=np.int32), np.zeros(len(place), np.int32)
-    steps = [(symbol, longer)] * (length % 2) + [(two, longer_by_two)] * (length // 2)
-    for before, onward in steps:  # two bytes a step
+    at, interval = np.arange(len(start), dtype=np.int32), np.zeros(len(start), np.int32)
+    for width, (before, longer) in steps:
         key = before[at]
         order = np.argsort(key, kind="stable")
-        key, interval, at = key[order], interval[order], onward[at[order]]
+        key, interval, at = key[order], interval[order], longer[at[order]]
         new = np.append(True, (key[1:] != key[:-1]) | (interval[1:] != interval[:-1]))
         alone = new & np.append(new[1:], True)
         if alone.any():
             keep = ~alone
             new, at = new[keep], at[keep]
         interval = new.cumsum(dtype=np.int32)
+        depth += width
+        yield depth, interval, start[at]
         if not len(at):
-            break
-    return interval, place[at]
+            return
+
+
+def repeated_intervals(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interval, place in the joined shards) of all suffixes that share their first
+    ``length`` bytes with another; shards are joined in the order given."""
+    for _, interval, place in refined(shards, length):
+        last = interval, place
+    return last
+
+
+def common_prefixes(shards: list[np.ndarray], length: int) -> np.ndarray:
+    """For each place of the joined shards the bytes, ``length`` at most, that its suffix
+    shares with the one it shares most with."""
+    out = np.zeros(sum(map(len, shards)), np.int32)
+    for depth, _, place in refined(shards, length, widest=1):
+        out[place] = depth
+    return out
 
 
 def _later_strings(parts: list[tuple[int, int, bytes]], length: int) -> Iterator[tuple[int, int, int]]:
@@ -175,7 +229,8 @@ def _anchored(length: int):
 
 
 def _cut_out(length: int):
-    """The bytes of the segments that a document's list names; large groups' as hashes."""
+    """The bytes of the segments that a document's list names."""
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,38 +239,42 @@ def _cut_out(length: int):
                 data = value.as_py().encode("utf-8", "surrogatepass")
                 for w in wanted.as_py():
                     start, count = divmod(w["p"], 256)
-                    piece = data[start : start + count + length - 1]
-                    if not w["many"]:
-                        rows.append((w["a"], None, doc, start, piece))
-                    elif len(piece) >= length:
-                        for k, (x, y) in enumerate(zip(*(h.view(np.int64).tolist() for h in string_hashes(np.frombuffer(piece, np.uint8), length)), strict=True)):
-                            rows.append((x, y, doc, start + k, None))
+                    rows.append((w["a"], w["share"], w["shared"], doc, start, data[start : start + count + length - 1]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "b", "doc", "start", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["a", "share", "shared", "doc", "start", "piece"])
 
     return run
 
 
 def _merged(length: int):
-    """Segments sorted by anchor in; runs of strings that stand earlier too out."""
-
-    def flush(parts: list) -> pa.RecordBatch:
-        found = list(zip(*_later_strings(parts, length), strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["doc", "start", "count"])
+    """Segments sorted by anchor and share in. Out: runs of strings that stand earlier in
+    the task too; and of shared anchors every other string, with its digest (x, y)."""
+
+    def flush(parts: list[tuple[int, int, bytes]], shared: list[bool]) -> pa.RecordBatch:
+        runs = [*_later_strings(parts, length)]
+        rows = [(doc, start, count, None, None) for doc, start, count in runs]
+        if any(shared):
+            later = {(doc, start + k) for doc, start, count in runs for k in range(count)}
+            for (doc, start, piece), wide in zip(parts, shared, strict=True):
+                if wide and len(piece) >= length:
+                    x, y = (h.view(np.int64).tolist() for h in string_hashes(np.frombuffer(piece, np.uint8), length))
+                    rows += [(doc, start + k, 1, x[k], y[k]) for k in range(len(x)) if (doc, start + k) not in later]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start", "count", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, last = [], 0, None
+        parts, wide, size, last = [], [], 0, None
         for batch in batches:
-            for a, doc, start, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != last and size >= MERGED:
-                    yield flush(parts)
-                    parts, size = [], 0
-                last = a
+            for a, share, shared, doc, start, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, share) != last and size >= MERGED:
+                    yield flush(parts, wide)
+                    parts, wide, size = [], [], 0
+                last = a, share
                 parts.append((doc, start, piece))
+                wide.append(shared)
                 size += len(piece)
         if parts:
-            yield flush(parts)
+            yield flush(parts, wide)
 
     return run
 
@@ -238,15 +297,17 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     later = later.select("doc", F.expr("p div 256").alias("start"), F.expr("p % 256").alias("count"))
 
     groups = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    wanted = firsts.join(groups, "a").select(F.col("f.doc").alias("doc"), "a", F.col("f.p").alias("p"), (F.col("k") > GROUP).alias("many"))
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "p", "many")).alias("wanted"))  # no more than a text has segments
-    cut = written(docs.join(lists, "doc").select("doc", "text", "wanted").mapInArrow(_cut_out(length), "a long, b long, doc long, start long, piece binary"), "pieces")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few = cut.filter("piece is not null").select("a", "doc", "start", "piece").repartition(n, "a").sortWithinPartitions("a", "doc", "start")
-    inner = few.mapInArrow(_merged(length), "doc long, start long, count long")
-    many = cut.filter("piece is null").select("a", "b", "doc", "start")
-    heads = many.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    outer = many.join(heads, ["a", "b"]).filter(F.struct("doc", "start") != F.col("f")).select("doc", "start", F.lit(1).cast("long").alias("count"))
+    shares = F.ceil(F.col("k") / F.lit(SHARE))
+    wanted = firsts.join(groups, "a").select(F.col("f.doc").alias("doc"), "a", F.col("f.p").alias("p"), F.pmod(F.xxhash64("f"), shares).alias("share"), (shares > 1).alias("shared"))
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "share", "shared", "p")).alias("wanted"))  # no more than a text has segments
+    pieces = docs.join(lists, "doc").select("doc", "text", "wanted").mapInArrow(_cut_out(length), "a long, share long, shared boolean, doc long, start long, piece binary")
+    dealt = pieces.repartition(partitions(spark), "a", "share").sortWithinPartitions("a", "share", "doc", "start")
+    merged = written(dealt.mapInArrow(_merged(length), "doc long, start long, count long, x long, y long"), "runs")
+    inner = merged.filter("x is null").select("doc", "start", "count")
+    # The shares of one anchor have each string once by now, so no string has many rows here.
+    across = merged.filter("x is not null")
+    heads = across.groupBy("x", "y").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    outer = across.join(heads, ["x", "y"]).filter(F.struct("doc", "start") != F.col("f")).select("doc", "start", "count")
     return whole.unionByName(later).unionByName(inner).unionByName(outer)
 
 
@@ -285,34 +346,40 @@ def _kept(length: int, fields: list[str], keep: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 100, keep: bool = True) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100, keep: bool = True, prefix: str = "") -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep``, kept_text,
-    in the struct ``suffix``-free columns of those names.
+    each name after ``prefix``.
 
-    Null texts count as empty; texts shorter than ``length`` stay whole. Null ids come
-    before all others. Rows that share an id are one document: equal rows are treated
-    alike, and ranges removed in one hold for the other, as far as it reaches. A column of
-    ``docs`` with the name of a new one raises ValueError.
+    Null texts count as empty; texts shorter than ``length`` stay whole; a text of any
+    length is worked through whole, a mebibyte at a time. Null ids come before all others.
+    Rows that share an id are one document: equal rows are treated alike, and ranges
+    removed in one hold for the other, as far as it reaches. An empty table gives an empty
+    one. A column of ``docs`` with the name of a new one is replaced, others stay.
     """
-    new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep
-    if clash := set(new) & {c.lower() for c in docs.columns}:
-        raise ValueError(f"documents already have columns {sorted(clash)}")
-    doc, text, runs = (free_name(docs.columns, f"sx_{x}") for x in ("doc", "text", "runs"))
+    new = [prefix + x for x in ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep]
+    names = [c for c in docs.columns if c.lower() not in {x.lower() for x in new}]
+    doc, text, runs = (free_name([*docs.columns, *new], f"sx_{x}") for x in ("doc", "text", "runs"))
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), text: text_or_empty()})
     rows = keyed.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     found = repeated_strings(rows, length).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias(runs)).withColumnRenamed("doc", f"{doc}_r")
-    names = docs.columns
     joined = keyed.join(found, F.col(doc) == F.col(f"{doc}_r"), "left").select(*(f"`{c}`" for c in names), text, runs)
-    schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "kept_sha256": F.lit("")} | ({"kept_text": F.lit("")} if keep else {})).schema
+    kinds = [F.lit(0).cast("long")] * 3 + [F.lit("")] * (1 + keep)
+    schema = docs.select(*(f"`{c}`" for c in names), *(k.alias(x) for k, x in zip(kinds, new, strict=True))).schema
     return joined.mapInArrow(_kept(length, [*names, *new], keep), schema)
 
 
 def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text``, and ``n_chars``, where there
-    is one, counted anew. Every row stays, null texts stay null."""
-    out = without_repeats(docs, length)
-    left = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    swap = {"text": left} | ({"n_chars": F.when(F.col("text").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    is one, counted anew. Every row and every column stays, null texts stay null; other
+    cases as in ``without_repeats``."""
+    prefix = "sx_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    out = without_repeats(docs, length, prefix=prefix)
+    left = F.when(F.col("text").isNotNull(), F.col(f"{prefix}kept_text"))
+    swap = {"text": left}
+    if "n_chars" in docs.columns:
+        swap["n_chars"] = F.when(F.col("text").isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumns(swap).select(*(f"`{c}`" for c in docs.columns))
 
 

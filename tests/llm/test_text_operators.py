@@ -93,30 +93,51 @@ def test_repeated_strings_equal_brute_force(documents):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeated(rows, 100)
 
 
-def test_large_groups_meet_by_hashes(documents, monkeypatch):
-    monkeypatch.setattr(suffixes, "GROUP", 2)
+def test_anchors_of_many_segments_are_dealt_to_shares(documents, monkeypatch):
+    monkeypatch.setattr(suffixes, "SHARE", 2)
+    monkeypatch.setattr(suffixes, "MERGED", 300)
     passage = prose(30)
     rows = [(i, prose(15) + " " + passage + " " + prose(15)) for i in range(12)]
     got = suffixes.query(documents(rows)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeated(rows, 100)
 
 
-def test_interleave_finds_all_repeated_intervals():
+def test_an_anchor_with_thousands_of_segments(documents):
+    """More than two shares of real size: one passage between words of each text's own."""
+    rng = random.Random(5)
+    passage = prose(16, rng)
+    rows = [(i, f"{rng.getrandbits(64):x} {passage} {rng.getrandbits(64):x}") for i in range(5000)]
+    rows[4000:4100] = [(i, rows[i - 3000][1] + " x") for i in range(4000, 4100)]
+    got = suffixes.query(documents(rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeated(rows, 100)
+
+
+def test_common_prefixes_equal_brute_force():
+    rng = np.random.default_rng(8)
+    shards = [rng.integers(97, 99, n).astype(np.uint8) for n in (60, 41, 80)]
+    turns = [bytes(np.roll(s, -k)) * 3 for s in shards for k in range(len(s))]
+    common = lambda a, b: next((i for i in range(20) if a[i] != b[i]), 20)
+    want = [max(common(a, b) for j, b in enumerate(turns) if j != i) for i, a in enumerate(turns)]
+    assert suffixes.common_prefixes(shards, 20).tolist() == want
+
+
+@pytest.mark.parametrize("length", [1, 7, 8, 13, 22])
+def test_interleave_finds_all_repeated_intervals(length):
     rng = np.random.default_rng(1)
-    shards = [rng.integers(97, 99, 400).astype(np.uint8) for _ in range(3)]
-    joined, length = np.concatenate(shards), 7
+    shards = [rng.integers(97, 99, 400).astype(np.uint8) for _ in range(3)] + [np.array([97, 98], np.uint8)]
+    joined = np.concatenate(shards)
     interval, place = suffixes.repeated_intervals(shards, length)
     rotations = {}
     begin = 0
     for s in shards:
         for k in range(len(s)):
-            rotations.setdefault(bytes(np.roll(s, -k)[:length]), set()).add(begin + k)
+            rotations.setdefault(bytes(np.resize(np.roll(s, -k), length)), set()).add(begin + k)
         begin += len(s)
     want = {frozenset(x) for x in rotations.values() if len(x) > 1}
     got = {}
     for i, p in zip(interval.tolist(), place.tolist(), strict=True):
         got.setdefault(i, set()).add(p)
-    assert {frozenset(x) for x in got.values()} == want and len(joined) == 1200
+    assert {frozenset(x) for x in got.values()} == want and len(joined) == 1202
 
 
 def test_texts_without_repeats(documents):
@@ -126,8 +147,20 @@ def test_texts_without_repeats(documents):
     assert out[3].text is None and out[None].text == block
     assert out[2].text == "xtwo" and out[2].n_chars == 4  # the space after the block repeats too
     assert suffixes.query(documents([])).count() == 0
-    with pytest.raises(ValueError):
-        suffixes.without_repeats(documents([(1, "a")], n_spans=1))
+    clash = suffixes.without_repeats(documents([(1, "a")], N_SPANS=7, sx_doc=3)).collect()
+    assert [(r.n_spans, r.sx_doc) for r in clash] == [(0, 3)] and "N_SPANS" not in clash[0]
+    kept = suffixes.dedup_texts(documents(rows, n_spans=7, kept_text="k", sx_kept_text="s"))
+    assert {(r.n_spans, r.kept_text, r.sx_kept_text) for r in kept.collect()} == {(7, "k", "s")}
+
+
+def test_a_very_long_text_without_white_space(documents):
+    """Longer than the step of the anchors; a repeat lies over the step's border."""
+    rng = np.random.default_rng(4)
+    long = bytes(rng.integers(97, 123, (1 << 20) + 5000, dtype=np.uint8)).decode()
+    step = (1 << 20) - 200
+    rows = [(1, long), (2, "<" + long[step - 300 : step + 300] + ">"), (3, long[: step + 77])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.query(documents(rows)).collect()}
+    assert got == {1: (len(long), 0, 0, hashlib.sha256(long.encode()).hexdigest()), 2: (602, 600, 1, hashlib.sha256(b"<>").hexdigest()), 3: (step + 77, step + 77, 1, hashlib.sha256(b"").hexdigest())}
 
 
 def quality_counts(text):
