@@ -4,7 +4,8 @@ A chunk is a run of ASCII white space (maybe empty) and the run of letters and d
 or of neither, after it. The patterns of the tokenisers here never match across the
 place before a run of white space, nor from letters or digits on to other characters,
 so a text's ids are those of its chunks in order. Texts to which that may not apply,
-with other white space or not in composed form, are encoded whole.
+with other white space, not in composed form, or with the string of a special token, are
+given to the library whole.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 
-#: Distinct chunks whose ids a worker keeps.
-CACHED_CHUNKS = 900_000
+#: Distinct chunks whose ids a worker keeps, and the characters of the longest of them.
+CACHED_CHUNKS, LONGEST = 900_000, 256
 #: Characters of a text that are split at a time.
 SPAN = 1 << 20
 
@@ -42,30 +43,35 @@ def _spans(text: str):
 
 
 class ChunkEncoder:
-    """``encode`` turns a list of strings into lists of ids; its results are kept."""
+    """``encode`` turns a list of strings into lists of ids; the ids of chunks are kept.
 
-    def __init__(self, encode: Callable[[list[str]], list], cached: int = CACHED_CHUNKS):
-        self.encode_all, self.cached = encode, cached
+    ``whole`` does the same for texts that are not to be split, those in which ``apart``
+    finds something among them.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[list[str]], list] | None = None, apart: re.Pattern | None = None, cached: int = CACHED_CHUNKS):
+        self.encode_all, self.whole, self.apart, self.cached = encode, whole or encode, apart, cached
         self.known: dict[str, bytes] = {}
 
     def _span(self, text: str) -> bytes:
         chunks = _CHUNK.findall(text)
         new = set(chunks).difference(self.known)
+        long = {}
         if new:
             if len(self.known) + len(new) > self.cached:
                 self.known.clear()
                 new = set(chunks)
             new = list(new)
             for chunk, ids in zip(new, self.encode_all(new), strict=True):
-                self.known[chunk] = array("I", ids).tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+                (self.known if len(chunk) <= LONGEST else long)[chunk] = array("I", ids).tobytes()
+        return b"".join([self.known[c] if c in self.known else long[c] for c in chunks] if long else map(self.known.__getitem__, chunks))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text (null: of the empty one) as unsigned 32-bit integers."""
         if not text:
             return np.empty(0, np.uint32)
-        if not text.isascii() and (_OTHER_SPACE.search(text) or not is_normalized("NFC", text)):
-            return np.asarray(self.encode_all([text])[0], np.uint32)
+        if self.apart and self.apart.search(text) or not text.isascii() and (_OTHER_SPACE.search(text) or not is_normalized("NFC", text)):
+            return np.asarray(self.whole([text])[0], np.uint32)
         return np.frombuffer(b"".join(map(self._span, _spans(text))), np.uint32)
 
 
@@ -107,31 +113,28 @@ _loaded: dict[str, ChunkEncoder] = {}
 
 
 def library_encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a vocabulary file of the tokenizers library; strings of
-    special tokens in a text are ordinary text."""
+    """The worker's encoder for a vocabulary file of the tokenizers library: the ids of
+    ``encode`` without special tokens added. A special token's string in a text is that
+    token, as in the library."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         tokenizer.no_padding()
         tokenizer.no_truncation()
         plain, model = _plain_word(path), tokenizer.model
 
+        def whole(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
         def encode(chunks: list[str]) -> list[list[int]]:
-            out, rest = [], []
-            for i, chunk in enumerate(chunks):
-                word = plain(chunk)
-                out.append(None if word is None else [t.id for t in model.tokenize(word)])
-                if word is None:
-                    rest.append(i)
-            if rest:
-                for i, e in zip(rest, tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
-                    out[i] = e.ids
-            return out
-
-        _loaded[path] = ChunkEncoder(encode)
+            words = [plain(c) for c in chunks]
+            rest = iter(whole([c for c, w in zip(chunks, words, strict=True) if w is None]))
+            return [next(rest) if w is None else [t.id for t in model.tokenize(w)] for w in words]
+
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        _loaded[path] = ChunkEncoder(encode, whole, re.compile("|".join(added), re.IGNORECASE) if added else None)
     return _loaded[path]
 
 
