@@ -32,6 +32,14 @@ BITRATES = {
 }
 RATES = {"1": [44100, 48000, 32000], "2": [22050, 24000, 16000], "2.5": [11025, 12000, 8000]}
 VERSIONS = {0: "2.5", 2: "2", 3: "1"}
+#: Bits of each subband's allocation in Layer II, by the format's table.
+ALLOCATION = {
+    "a": [4] * 11 + [3] * 12 + [2] * 4,
+    "b": [4] * 11 + [3] * 12 + [2] * 7,
+    "c": [4] * 2 + [3] * 6,
+    "d": [4] * 2 + [3] * 10,
+    "low rates": [4] * 4 + [3] * 7 + [2] * 19,
+}
 
 
 @dataclass(frozen=True)
@@ -68,27 +76,56 @@ def header(four: bytes) -> Header | None:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
-    """The format's checksum: polynomial 0x8005, begun at all ones."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The format's checksum of the first ``bits`` (all): polynomial 0x8005, begun at all ones."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    for k in range(8 * len(data) if bits is None else bits):
+        bit = data[k >> 3] >> (7 - (k & 7)) & 1
+        crc = (crc << 1 ^ 0x8005 if crc >> 15 ^ bit else crc << 1) & 0xFFFF
     return crc
 
 
+def _layer2_bits(data: bytes, at: int, h: Header) -> int | None:
+    """How many bits after its checksum a Layer II frame protects: the allocation of all
+    subbands and two bits for each subband and channel that has one."""
+    each = h.kbps // h.channels
+    if h.version != "1":
+        widths = ALLOCATION["low rates"]
+    elif each >= 56 and (h.rate == 48000 or each <= 80):
+        widths = ALLOCATION["a"]
+    elif h.rate != 48000 and each >= 96:
+        widths = ALLOCATION["b"]
+    else:
+        widths = ALLOCATION["c" if h.rate != 32000 else "d"]
+    bound = min(4 * (h.extension + 1), len(widths)) if h.mode == 1 else len(widths)
+    flat = data[at + 6 : at + h.size]
+    value, left = int.from_bytes(flat[:64], "big"), 8 * len(flat[:64])
+    used = chosen = 0
+    for k, width in enumerate(widths):
+        for _ in range(h.channels if k < bound else 1):
+            if used + width > left:
+                return None
+            if value >> (left - used - width) & ((1 << width) - 1):
+                chosen += 1 if k < bound else h.channels
+            used += width
+    return used + 2 * chosen if used + 2 * chosen <= 8 * len(flat) else None
+
+
 def checksum_ok(data: bytes, at: int, h: Header) -> bool | None:
-    """None where the frame has no checksum, or is Layer II, whose extent is not checked."""
-    if not h.protected or h.layer == 2:
+    """Whether a frame has the checksum of the bits it protects; None where it has none."""
+    if not h.protected:
         return None
     if h.layer == 3:
-        covered = data[at + 6 : at + 6 + h.side]
+        bits = 8 * h.side
+    elif h.layer == 2:
+        bits = _layer2_bits(data, at, h)
+        if bits is None:  # more allocated than the frame holds
+            return False
     else:
         bound = 4 * (h.extension + 1) if h.mode == 1 else 32
-        bits = 4 * (h.channels * bound + (32 - bound)) if h.channels == 2 else 128
-        covered = data[at + 6 : at + 6 + bits // 8]
-    return crc16(data[at + 2 : at + 4] + covered) == int.from_bytes(data[at + 4 : at + 6], "big")
+        bits = 4 * (h.channels * bound + (32 - bound))
+    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + -(-bits // 8)]
+    return crc16(covered, 16 + bits) == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 @dataclass
@@ -164,31 +201,52 @@ def _vbr(data: bytes, at: int, h: Header) -> dict | None:
     return None
 
 
+def _tails(data: bytes, at: int) -> dict[int, tuple[str, int, int]]:
+    """Where tags at the end of ``data`` may begin: kind, end, end of the place itself.
+    Audio can hold the same bytes, so a place counts only if the frames lead to it."""
+    out, ends = {}, [len(data)]
+    if len(data) >= at + 128 and data[-128:-125] == b"TAG":
+        ends.append(len(data) - 128)
+        out[ends[-1]] = "id3v1", len(data), len(data)
+    for end in ends:
+        if end >= at + 32 and data[end - 32 : end - 24] == b"APETAGEX":
+            size = int.from_bytes(data[end - 20 : end - 16], "little")
+            begin = end - size - 32 * (data[end - 9] >> 7)
+            if size >= 32 and begin >= at:
+                out[begin] = "ape", end - size, end
+    return out
+
+
+def _ape(data: bytes, p: int, end: int, tags: dict[str, str]) -> None:
+    for _ in range(int.from_bytes(data[end - 16 : end - 12], "little")):
+        n, stop = int.from_bytes(data[p : p + 4], "little"), data.find(b"\0", p + 8, end)
+        if stop < 0:
+            return
+        tags["APE:" + data[p + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
+        p = stop + 1 + n
+
+
 def parse(data: bytes) -> Media:
     """All frames and tags of ``data``. Bytes that are neither are skipped and counted; a
-    frame counts if it is whole and another frame, a tag or the end follows it."""
+    frame counts if it is whole and another frame, a tag or the end follows it. A tag at
+    the end counts where the frames before it end; the same bytes inside a frame are audio."""
     m, at, end = Media(), 0, len(data)
     while data[at : at + 3] == b"ID3" and at + 10 <= end:
         at = _id3v2(data, at, m.tags)
-    if data[end - 128 : end - 125] == b"TAG" and end >= 128:
-        m.tags["id3v1"] = data[end - 125 : end - 95].rstrip(b"\0 ").decode("latin-1")
-        end -= 128
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size = int.from_bytes(data[end - 20 : end - 16], "little")
-        has_header = int.from_bytes(data[end - 12 : end - 8], "little") >> 31
-        p = end - size
-        for _ in range(int.from_bytes(data[end - 16 : end - 12], "little")):
-            n, stop = int.from_bytes(data[p : p + 4], "little"), data.find(b"\0", p + 8)
-            if stop < 0:
-                break
-            m.tags["APE:" + data[p + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
-            p = stop + 1 + n
-        end = max(at, end - size - 32 * has_header)
-    lost = False
+    tails, lost = _tails(data, at), False
     while at < end:
         h = header(data[at : at + 4])
         after = at + h.size if h else 0
-        if h and after <= end and (after == end or header(data[after : after + 4]) or (lost is False and m.headers)):
+        sure = h and after <= end and (after == end or after in tails or header(data[after : after + 4]))
+        if not sure and at in tails:
+            kind, body, after = tails[at]
+            if kind == "ape":
+                _ape(data, body, after, m.tags)
+            else:
+                m.tags["id3v1"] = data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+            at, lost = after, False
+            continue
+        if sure or h and after <= end and not lost and m.headers and not any(at < t < after for t in tails):
             if not m.headers and m.vbr is None and (table := _vbr(data, at, h)):
                 m.vbr = table  # the table's frame plays nothing
             else:
@@ -201,8 +259,9 @@ def parse(data: bytes) -> Media:
         if not lost:
             m.resyncs, lost = m.resyncs + 1, True
         nxt = data.find(b"\xff", at + 1, end)
-        m.junk += (nxt if nxt >= 0 else end) - at
-        at = nxt if nxt >= 0 else end
+        nxt = min([nxt if nxt >= 0 else end, *(t for t in tails if t > at)])
+        m.junk += nxt - at
+        at = nxt
     return m
 
 

@@ -5,6 +5,8 @@ import hashlib
 import os
 import random
 import zlib
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from tallyframe.llm import archives, bpe, mpeg, packing, sharding, token_files
 from tallyframe.llm.chunks import library_encoder, vocabulary_path
 
-TEXTS = ["", "a", "The quick brown fox.", "  two  spaces \n\n lines\t x", "it's WE'LL don't!!\r\n", "日本語 テキスト é ΑΣ Σ", "c² ²3 ½ x_y 12ab", "café  x　y \x1cz İs", "<|endoftext|> <|startoftext|>", "a" * 3000, "word " * 2000, " ", "퟿\U0001f600 ok"]
+TEXTS = ["", "a", "The quick brown fox.", "  two  spaces \n\n lines\t x", "it's WE'LL don't!!\r\n", "日本語 テキスト é ΑΣ Σ", "c² ²3 ½ x_y 12ab", "café  x　y \x1cz İs", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "<|ENDOFTEXT|>x", "İstanbul", "é" * 700 + "x" * 300, "a" * 3000, "word " * 2000, " ", "퟿\U0001f600 ok"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -23,22 +25,36 @@ def test_chunks_encode_as_the_library(name):
 
     path = vocabulary_path(name)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     encoder = library_encoder(path)
     for t in TEXTS:
         assert encoder.encode(t).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sé² \n\t.,3_-́　Σ"), max_size=40))
+@lru_cache
+def plain_tokenizer(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"ab'sé² \n\t.,3_-\u0301\u3000Σİ", "<|endoftext|>"]), max_size=40).map("".join))
 def test_any_text_encodes_as_the_library(text):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = vocabulary_path(name)
+        assert library_encoder(path).encode(text).tolist() == plain_tokenizer(path).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["x", "é", "ab1", "..!"])
+def test_a_very_long_text_without_white_space_encodes_as_the_library(unit):
     from tokenizers import Tokenizer
 
+    text = unit * ((1 << 20) // len(unit) + 50) + " end"
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         path = vocabulary_path(name)
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        assert library_encoder(path).encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+        encoder = library_encoder(path)
+        assert encoder.encode(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert max(map(len, encoder.known)) <= 256
 
 
 @pytest.fixture(scope="module")
@@ -183,6 +199,81 @@ def test_audio_resynchronises_and_checks():
     assert clean.seek(0) == clean.offsets[0] and clean.seek(clean.duration) is None and mpeg.parse(b"").duration == 0
 
 
+def test_tags_inside_audio_are_audio():
+    """Texts whose bytes look like a tag, at every place before the end of the stream."""
+    for mark in (b"APETAGEX", b"TAG", b"ID3", b"\xff\xfb\x90\xc0"):
+        for at in range(0, 190, 2):
+            p = (b"a" * at + mark).ljust(192, b"b")[:192]
+            assert mpeg.stored(mpeg.store(p)) == p, (mark, at)
+    rng = random.Random(9)
+    for n in (64, 1216, 1280, 1344, 5056):
+        for size in (32, 64, 96, 144, 500, 1000, 1500):
+            footer = b"APETAGEX" + (2000).to_bytes(4, "little") + size.to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(3) + bytes([rng.choice([0, 128])]) + bytes(8)
+            for back in range(32, min(n, 400), 3):
+                p = bytearray(rng.randbytes(n))
+                p[n - back : n - back + 32] = footer
+                assert mpeg.stored(mpeg.store(bytes(p))) == bytes(p)
+
+
+def test_tags_after_audio_are_read():
+    frames = mpeg.store(os.urandom(3000))[:-128]
+    item = (5).to_bytes(4, "little") + bytes(4) + b"Title\0hello"
+    footer = b"APETAGEX" + (2000).to_bytes(4, "little") + (32 + len(item)).to_bytes(4, "little") + (1).to_bytes(4, "little") + bytes(3) + b"\x80" + bytes(8)
+    whole = mpeg.parse(frames)
+    for tag in (footer + item + footer, footer + item + footer + b"TAG" + b"song".ljust(125, b"\0")):
+        m = mpeg.parse(frames + tag)
+        assert m.tags["APE:Title"] == "hello" and m.offsets == whole.offsets and m.junk == 0
+        assert m.tags.get("id3v1") == ("song" if tag[-128:-125] == b"TAG" else None)
+        torn = mpeg.parse(frames[:-40] + tag)  # the last frame is cut off
+        assert torn.tags["APE:Title"] == "hello" and torn.offsets == whole.offsets[:-1] and torn.junk > 0
+
+
+def plain_frames(data):
+    """Frame places by the plainest walk: MPEG-1 Layer III at 32 kHz from the first one on."""
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    at, out = 10 + data[9] + 128 * data[8], []
+    while data[at] == 0xFF:
+        out.append(at)
+        at += 144_000 * kbps[data[at + 2] >> 4] // 32_000
+    assert data[at : at + 3] == b"TAG" and at + 128 == len(data)
+    return out[1:]  # the first holds the table
+
+
+def remainder(bits):
+    """The checksum by long division of the bits, 16 zeros after them, all ones before."""
+    value = (int(bits, 2) << 16) ^ (0xFFFF << len(bits))
+    for k in range(len(bits) - 1, -1, -1):
+        if value >> (k + 16) & 1:
+            value ^= 0x18005 << k
+    return value & 0xFFFF
+
+
+@pytest.mark.parametrize("head,tables", [(b"\xff\xfc\x94\x00", [4] * 11 + [3] * 12 + [2] * 4), (b"\xff\xfc\x90\x00", [4] * 11 + [3] * 12 + [2] * 4), (b"\xff\xfc\xd0\x00", [4] * 11 + [3] * 12 + [2] * 7), (b"\xff\xfc\x10\xc0", [4] * 2 + [3] * 6), (b"\xff\xfc\x18\xc0", [4] * 2 + [3] * 10), (b"\xff\xf4\x80\x00", [4] * 4 + [3] * 7 + [2] * 19)])
+def test_layer_two_checksums(head, tables):
+    rng = random.Random(len(tables))
+    h = mpeg.header(head)
+    for joint in (None, 0, 3) if h.channels == 2 else (None,):
+        top = head[:3] + bytes([head[3] | (0x40 | joint << 4 if joint is not None else 0)])
+        bound = len(tables) if joint is None else min(len(tables), 4 * joint + 4)
+        bits, chosen = "", 0
+        for k, width in enumerate(tables):
+            for _ in range(h.channels if k < bound else 1):
+                x = rng.randrange(1 << width) if rng.random() < 0.3 else 0
+                bits += format(x, f"0{width}b")
+                chosen += (x > 0) * (1 if k < bound else h.channels)
+        bits += "".join(rng.choice("01") for _ in range(2 * chosen))
+        crc = remainder("".join(format(b, "08b") for b in top[2:]) + bits)
+        rest = bits + "".join(rng.choice("01") for _ in range(-len(bits) % 8))
+        frame = top + crc.to_bytes(2, "big") + int(rest, 2).to_bytes(len(rest) // 8, "big")
+        assert len(frame) <= h.size
+        frame = frame.ljust(h.size, b"\x55")
+        m = mpeg.parse(frame * 3)
+        assert (len(m.offsets), m.crc_ok, m.crc_bad) == (3, 3, 0)
+        bad = bytearray(frame)
+        bad[6 + (len(bits) - 1) // 8] ^= 1 << (7 - (len(bits) - 1) % 8)
+        assert mpeg.parse(bytes(bad) * 2).crc_bad == 2
+
+
 def test_headers_of_other_layers():
     h = mpeg.header(bytes([0xFF, 0xFD, 0x94, 0x00]))  # MPEG-1 Layer II, 160 kbit/s, 48 kHz
     assert (h.version, h.layer, h.kbps, h.rate, h.size, h.samples) == ("1", 2, 160, 48000, 480, 1152)
@@ -192,13 +283,19 @@ def test_headers_of_other_layers():
 
 
 def test_audio_query(documents):
-    rows = [(1, "héllo"), (2, None), (3, "x" * 64), (4, "y" * 100_000), (5, "héllo"), (None, "n")]
+    rows = [(1, "héllo"), (2, None), (3, "x" * 64), (4, "y" * 100_000), (5, "héllo"), (None, "n"), (6, ("a" * 161 + "APETAGEX").ljust(192, "b"))]
     got = {r.doc_id: r for r in mpeg.query(documents(rows, media="m", mpeg=1)).collect()}
     for i, t in rows:
         data = (t or "").encode()
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        media = mpeg.store(padded)
+        at = plain_frames(media)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        seconds = Fraction(1152 * len(at), 32000)
+        seek = zlib.crc32(np.array(at, "<u8").tobytes())
+        assert r.feature.startswith(f"frames={len(at)};seconds={seconds.numerator}/{seconds.denominator};") and r.feature.endswith(f"vbr=Xing:{len(at)};crc={len(at)}/{len(at)};junk=0;seek={seek:08x}")
     assert tuple(got[1])[1:] == tuple(got[5])[1:]
     assert mpeg.query(documents([])).count() == 0
 
