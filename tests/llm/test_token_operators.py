@@ -1,7 +1,9 @@
 """Tokenisers, token files, packing, BPE, audio, archives and shards: exact round trips."""
 
 import base64
+import gzip
 import hashlib
+import io
 import os
 import random
 import zlib
@@ -305,10 +307,10 @@ def test_arc_versions_and_damage():
         data = archives.arc_file_record(version, "a.arc", "20200102030405") + archives.arc_record(version, "http://x/a b", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\n\r\nhi\n") + b"\n" + archives.arc_record(version, "http://y", "-", "2020", "text/plain", b"")
         records = list(archives.read_arc(data))
         assert [(r.version, r.fields["url"], r.body) for r in records] == [(version, "http://x/a%20b", b"HTTP/1.1 200 OK\r\n\r\nhi\n"), (version, "http://y", b"")]
-        headers, block = next(archives.read_warc(__import__("io").BytesIO(archives.convert(records[0]))))
+        headers, block = next(archives.read_warc(io.BytesIO(archives.convert(records[0], "a.arc"))))
         assert headers["warc-type"] == "response" and headers["warc-date"] == "2020-01-02T03:04:05Z" and block == records[0].body
         assert headers["warc-payload-digest"] == "sha256:" + hashlib.sha256(b"hi\n").hexdigest()
-        assert archives.convert(records[0]) == archives.convert(records[0])
+        assert archives.convert(records[0], "a.arc") == archives.convert(records[0], "a.arc") != archives.convert(records[0], "b.arc")
     assert archives.warc_date("2020") == "2020-01-01T00:00:00Z"
     for bad in (b"http://x - 2020 text/html 50\nshort\n", b"nonsense\nmore", b"no end of line"):
         with pytest.raises(ValueError):
@@ -317,15 +319,36 @@ def test_arc_versions_and_damage():
 
 def test_archive_query(spark):
     big = "<p>é</p>" * 40
-    rows = [(5, "http://a", big), (2, "http://b c", big), (9, None, None), (8, "u", ""), (7, "v", "short"), (6, "w", "short"), (1, "z", "q" * 200_000), (2, "again", big)]
+    rows = [(5, "http://a", big), (2, "http://b c", big), (9, None, None), (8, "u", ""), (7, "v", "short"), (6, "w", "short"), (1, "z", "q" * 3_000_000), (2, "again", big), (3, "filedesc://x.arc", "1 0 anyone\n"), (4, "filedesc://y", "2"), (None, "filedesc://z", big), (None, None, None)]
     got = archives.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     want = []
     for i, _, h in rows:
         data = (h or "").encode()
-        again = h == big and i == 5
+        again = h == big and i != 2
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 2 if again else None))
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
     assert archives.query(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "u", "h", "p", 3)], "page_id long, url string, html string, path string, at int")
+    assert archives.query(clash).count() == 1
+
+
+def test_converted_archives_refer_to_records(spark, tmp_path):
+    big = "<p>same</p>" * 30
+    rows = [(k, f"http://h/{k % 3}", big if k % 2 else f"{k}" * 60) for k in range(40)] + [(5, "http://h/2", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warcs = archives.convert_archives(archives.write_arcs(pages, f"{tmp_path}/arc", version=1), f"{tmp_path}/warc")
+    records = []
+    for r in warcs.collect():
+        with open(r.path, "rb") as f:
+            records += archives.read_warc(io.BytesIO(gzip.decompress(f.read())))
+    by = {h["warc-record-id"]: h for h, _ in records}
+    assert len(by) == len(rows) == warcs.agg({"n": "sum"}).first()[0]  # equal rows have identifiers of their own
+    again = [h for h in by.values() if h["warc-type"] == "revisit"]
+    assert len(again) == 20
+    for h in again:
+        first = by[h["warc-refers-to"]]
+        assert first["warc-type"] == "response" and first["warc-payload-digest"] == h["warc-payload-digest"]
+        assert (first["warc-target-uri"], first["warc-date"]) == (h["warc-refers-to-target-uri"], h["warc-refers-to-date"])
 
 
 def test_shards_have_exact_sizes(documents):
