@@ -18,13 +18,17 @@ from pyspark.sql import functions as F
 from tallyframe.llm.chunks import library_encoder, vocabulary_path
 from tallyframe.llm.common import bounded_arrow, ranked, written
 
+#: About how many pieces of one length a task numbers.
+BUCKET = 50_000
+
 
 def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:
     """Best fit, longest first, over counts: (length, first rank, how many, first
     sequence, offset), a run of pieces each.
 
-    Sequences with the same room left stand in runs; a length fills whole runs of the
-    least room that fits, splits the last, and opens new sequences for the rest.
+    Sequences with the same room left stand in runs; a length fills the run of the least
+    room that fits, sequence by sequence, splits the last run, and opens new sequences for
+    the rest: what best fit does piece by piece.
     """
     out, runs, mask, opened = [], {}, 0, 0
 
@@ -38,31 +42,30 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int,
         if not 0 < length <= room:
             raise ValueError(f"a piece of {length} does not fit {room}")
         rank, todo = 0, histogram[length]
-        while todo and (fits := mask >> length):
-            left = length + (fits & -fits).bit_length() - 1
-            first, n = runs[left].pop()
-            take = min(n, todo)
-            if take < n:
-                runs[left].append((first + take, n - take))
-            elif not runs[left]:
-                del runs[left]
-                mask &= ~(1 << left)
-            out.append((length, rank, take, first, room - left))
-            put(left - length, first, take)
-            rank, todo = rank + take, todo - take
-        if todo:
-            each = room // length  # new sequences take as many of this length as fit
-            whole, over = divmod(todo, each)
+        while todo:
+            if fits := mask >> length:
+                left = length + (fits & -fits).bit_length() - 1
+                first, n = runs[left].pop()
+                if not runs[left]:
+                    del runs[left]
+                    mask &= ~(1 << left)
+            else:
+                left, first, n = room, opened, todo  # new sequences, as many as it takes
+            # One sequence is filled as far as the length goes before the next is begun.
+            each = left // length
+            whole, over = divmod(min(todo, n * each), each)
             for k in range(each):
-                n = whole + (k < over)
-                if n:
-                    out.append((length, rank, n, opened, k * length))
-                    rank += n
-            put(room - each * length, opened, whole)
-            if over:
-                put(room - over * length, opened + whole, 1)
-            # The extra piece of each offset k < over stands in the one further sequence.
-            opened += whole + (over > 0)
+                many = whole + (k < over)
+                if many:
+                    out.append((length, rank, many, first, room - left + k * length))
+                    rank, todo = rank + many, todo - many
+            used = whole + (over > 0)
+            put(left - each * length, first, whole)
+            put(left - over * length, first + whole, used - whole)
+            if fits:
+                put(left, first + used, n - used)
+            else:
+                opened += used
     return out
 
 
@@ -79,7 +82,8 @@ def packed(pieces: DataFrame, room: int, order: list[str], length: str = "length
     slots = table.select("*", F.explode(F.expr(f"sequence(pk_from, least(pk_from + {step - 1}, pk_n - 1))")).alias("pk_k"))
     slots = slots.select("pk_length", (F.col("pk_rank") + F.col("pk_k")).alias("pk_place"), (F.col("pk_first") + F.col("pk_k")).alias("sequence_id"), F.col("pk_offset").alias("offset"))
     spread = F.xxhash64(*order)
-    numbered = ranked(pieces, [length], [spread, *(F.col(c) for c in order)], F.shiftright(spread, 24), 64, "pk_own")
+    buckets = max(64, -(-max(counts.values(), default=0) // BUCKET))
+    numbered = ranked(pieces, [length], [spread, *(F.col(c) for c in order)], F.shiftright(spread, 24), buckets, "pk_own")
     return numbered.join(slots, (F.col(length) == F.col("pk_length")) & (F.col("pk_own") == F.col("pk_place"))).drop("pk_own", "pk_length", "pk_place")
 
 
