@@ -18,6 +18,10 @@ from pyspark.sql.window import Window
 from tallyframe.llm.common import free_name, ranked, text_or_empty, written
 
 
+#: About how many rows a task permutes.
+PARTITION = 100_000
+
+
 def _uniform(*key: Column) -> Column:
     """A double in [0, 1) from a 64-bit hash."""
     return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") / F.lit(float(2**53))
@@ -46,8 +50,9 @@ def hypergeometric(u: Column, pool: Column, good: Column, draws: Column) -> Colu
     """How many of ``draws`` rows, drawn without replacement from ``pool`` rows of which
     ``good`` count, are good: the inverse of the distribution at ``u`` (longs, null-free).
 
-    The search starts at the mode and takes one value above and one below at a time;
-    eight standard deviations and twelve values hold all but 1e-15 of the mass.
+    The search starts at the mode and takes one value above and one below at a time over
+    eight standard deviations and twelve values. What lies beyond them, 1e-15 of the mass
+    and so less than a double's rounding, counts as the last value reached.
     """
 
     def search(v: Column) -> Column:
@@ -73,7 +78,7 @@ def hypergeometric(u: Column, pool: Column, good: Column, draws: Column) -> Colu
             at = F.when(s["at"] >= 0, s["at"]).when(after < 0, x + 1).when(after - p_down < 0, y - 1).otherwise(F.lit(-1.0))
             return state(after - p_down, F.least(x + 1, v["most"]), p_up, F.greatest(y - 1, v["least"]), p_down, at)
 
-        end = lambda s: F.when(s["at"] >= 0, s["at"]).otherwise(mode).cast("long")
+        end = lambda s: F.when(s["at"] >= 0, s["at"]).otherwise(s["up"]).cast("long")
         return F.aggregate(F.sequence(F.lit(0), v["steps"]), begin, step, end)
 
     known = F.struct(u.alias("u"), pool.cast("double").alias("pool"), good.cast("double").alias("good"), draws.cast("double").alias("draws"))
@@ -105,48 +110,49 @@ def communication_matrix(counts: DataFrame, shards: int, partitions: int, seed:
 
     ``counts`` has (part, n). Drawn in two levels, groups of partitions first and then
     the partitions of each group in parallel, so no task draws more than about
-    sqrt(partitions) rows of the matrix. At most ``partitions`` rows.
+    sqrt(partitions) rows of the matrix. It has ``partitions`` rows.
     """
     wide = max(1, math.isqrt(partitions))
     groups = -(-partitions // wide)
-    all_parts = counts.sparkSession.range(0, partitions, 1, 1).select(F.col("id").cast("int").alias("part"))
-    full = all_parts.join(F.broadcast(counts), "part", "left").select("part", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.expr(f"cast(part div {wide} as int)").alias("g"))
+    all_parts = counts.sparkSession.range(partitions).select(F.col("id").cast("int").alias("part"))
+    full = all_parts.join(counts, "part", "left").select("part", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.expr(f"cast(part div {wide} as int)").alias("g"))
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["n"])
     by_group = full.groupBy("g").agg(in_order(F.struct("part", "n")).alias("sizes"), F.sum("n").alias("n"))
     top = by_group.agg(in_order(F.struct("g", "n")).alias("sizes"), F.sum("n").alias("total"))
     even = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.expr(f"total div {shards}") + F.when(j.cast("long") < F.col("total") % shards, F.lit(1)).otherwise(F.lit(0)))
     rooms = top.withColumn("room", even).select(F.posexplode(_matrix(F.col("sizes"), F.col("room"), shards, F.lit(seed))).alias("g", "room"))
-    parts = by_group.join(F.broadcast(rooms), "g").repartition(groups, "g")
+    parts = by_group.join(rooms, "g").repartition(groups, "g")
     rows = parts.select("g", F.posexplode(_matrix(F.col("sizes"), F.col("room"), shards, F.struct(F.lit(seed + 1), F.col("g")))).alias("k", "row"))
     ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.slice("row", 1, j), F.lit(0).cast("long"), lambda a, b: a + b))
     return rows.select((F.col("g") * wide + F.col("k")).cast("int").alias("part"), ends.alias("ends"))
 
 
-def hypergeometric_shuffle(docs: DataFrame, shards: int = 24, key: str = "doc_id", partitions: int = 256, seed: int = 20240607) -> DataFrame:
+def hypergeometric_shuffle(docs: DataFrame, shards: int = 24, partitions: int | None = None, seed: int = 20240607) -> DataFrame:
     """``docs`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in its shard).
 
     Shard sizes differ by one at most; given ``seed`` the result depends on the rows
     only, not on how Spark has split them. ``partitions`` virtual partitions hold about
-    equal numbers of rows; take more where a partition is too large to sort in a task.
-    A row is dealt by the hash of ``key`` and ordered by the hash of all its columns:
-    rows with null keys or equal keys are dealt like any other, wholly equal rows are
-    interchangeable, an empty table gives an empty one. Columns named shard or slot
-    raise ValueError; other names cannot clash.
+    equal numbers of rows; unless given, as many as hold ``PARTITION`` rows each.
+    A row is dealt and ordered by hashes of all its columns: rows with null or equal ids
+    are dealt like any other, wholly equal rows are interchangeable, texts of any length
+    are hashed whole, an empty table gives an empty one. Columns named shard or slot are
+    replaced, as by ``withColumn``; other names cannot clash.
     """
-    if {"shard", "slot"} & {c.lower() for c in docs.columns}:
-        raise ValueError("documents already have a column shard or slot")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("shard", "slot")))
+    rows = docs.count()
+    partitions = partitions or max(256, -(-rows // PARTITION))
     part, place, ends, mix = (free_name(docs.columns, x) for x in ("hg_part", "hg_place", "hg_ends", "hg_mix"))
     every = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
-    dealt = docs.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{key}`")), F.lit(partitions)).cast("int"))
+    dealt = docs.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), *every), F.lit(partitions)).cast("int"))
     counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n")).withColumnRenamed(part, "part")
     matrix = communication_matrix(counts, shards, partitions, seed).withColumnsRenamed({"part": f"{part}_m", "ends": ends})
     permuted = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + 2), *every), *every)
     sent = dealt.withColumn(place, F.row_number().over(permuted).cast("long") - 1)
-    sent = sent.join(F.broadcast(matrix), F.col(part) == F.col(f"{part}_m"))
+    sent = sent.join(matrix, F.col(part) == F.col(f"{part}_m"))
     sent = sent.withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(place))).cast("int"))
     sent = written(sent.drop(part, f"{part}_m", place, ends), "sharding")
     sent = sent.withColumn(mix, F.xxhash64(F.lit(seed + 3), *every))
-    return ranked(sent, ["shard"], [F.col(mix), *every], F.shiftright(mix, 20), 32, "slot").select(*(f"`{c}`" for c in docs.columns), "shard", "slot")
+    return ranked(sent, ["shard"], [F.col(mix), *every], F.shiftright(mix, 20), max(32, -(-rows // (shards * PARTITION))), "slot").select(*(f"`{c}`" for c in docs.columns), "shard", "slot")
 
 
 def query(docs: DataFrame) -> DataFrame:

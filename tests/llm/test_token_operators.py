@@ -157,13 +157,30 @@ def test_plan_fills_every_sequence_without_gaps(counts):
     assert -(-total // 32) <= n <= sum(counts.values()) and n <= 2 * -(-total // 32) + 1
 
 
+def plain_best_fit(counts, room):
+    left = []
+    for length in sorted((k for k, n in counts.items() for _ in range(n)), reverse=True):
+        fits = [x for x in left if x >= length]
+        if fits:
+            left.remove(min(fits))
+        left.append((min(fits) if fits else room) - length)
+    return len(left)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 32), st.integers(0, 12), max_size=12))
+def test_plan_is_best_fit_piece_by_piece(counts):
+    assert check_plan(counts, 32) == plain_best_fit(counts, 32)
+    assert check_plan({10: 2, 3: 2, 2: 3}, 16) == plain_best_fit({10: 2, 3: 2, 2: 3}, 16) == 2
+
+
 def test_plan_refuses_what_does_not_fit():
     with pytest.raises(ValueError):
         packing.plan({33: 1}, 32)
 
 
-def test_packing_query(documents):
-    rows = [(i, "word " * (37 * i % 900)) for i in range(60)] + [(100, "tok " * 7000), (101, None), (None, "x"), (5, "same"), (5, "same")]
+def test_packing_query_equals_brute_force(documents):
+    rows = [(i, "word " * (37 * i % 900)) for i in range(60)] + [(100, "tok " * 7000), (101, None), (102, "a <|endoftext|> b"), (None, "x"), (5, "same"), (5, "same")]
     got = packing.query(documents(rows, length=1, offset=2)).collect()
     by = {}
     for r in got:
@@ -174,8 +191,15 @@ def test_packing_query(documents):
             assert offset == end
             end += length
         assert end <= 2048
-    long = sorted((r.piece, r.start, r.length) for r in got if r.doc_id == 100)
-    assert all(n == 2048 for _, _, n in long[1:]) and long[0][2] <= 2048 and [s for _, s, _ in long] == [0, *np.cumsum([n for _, _, n in long])[:-1]]
+    t, want, counts = plain_tokenizer(vocabulary_path("byte_bpe_50k.json")), [], {}
+    for i, text in rows:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            want.append((i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            counts[b - a] = counts.get(b - a, 0) + 1
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, want))
+    assert len(by) == plain_best_fit(counts, 2048)
     assert packing.query(documents([])).count() == 0
 
 
@@ -365,11 +389,44 @@ def test_shards_have_exact_sizes(documents):
     assert by[4] == (8 + 6, zlib.crc32(b"text 4"))
     again = sharding.query(docs.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    with pytest.raises(ValueError):
-        sharding.hypergeometric_shuffle(documents(rows, shard=1))
+    clash = sharding.hypergeometric_shuffle(documents(rows, Shard=77))
+    assert "Shard" not in clash.columns and clash.filter("shard = 77").count() == 0 and clash.count() == len(rows)
     assert sharding.query(documents([])).count() == 0
 
 
+def test_matrix_has_the_law_of_a_uniform_permutation(spark):
+    """Cells of a small matrix over many seeds against the exact multivariate law."""
+    from math import comb
+
+    sizes, draws = [3, 2, 1], {}
+    counts = spark.createDataFrame(list(enumerate(sizes)), "part int, n long")
+    rows = sharding.communication_matrix(counts, 2, 3, 1).collect()
+    assert sorted((r.part, r.ends[-1]) for r in rows) == list(enumerate(sizes)) and sum(r.ends[0] for r in rows) == 3
+    from pyspark.sql import functions as F
+
+    # The same expression for many keys at once: two shards of three rows.
+    long = lambda *x: F.array(*(F.lit(i).cast("long") for i in x))
+    got = spark.range(6000).select(sharding._matrix(long(*sizes), long(3, 3), 2, F.col("id")).alias("m")).collect()
+    for r in got:
+        assert [sum(x) for x in r.m] == sizes and [sum(x) for x in zip(*r.m, strict=True)] == [3, 3]
+        key = tuple(x[0] for x in r.m)
+        draws[key] = draws.get(key, 0) + 1
+    law = {(a, b, c): comb(3, a) * comb(2, b) * comb(1, c) / comb(6, 3) for a in range(4) for b in range(3) for c in range(2) if a + b + c == 3}
+    assert set(draws) == set(law)
+    chi = sum((draws[k] - 6000 * p) ** 2 / (6000 * p) for k, p in law.items())
+    assert chi < 27.9  # 0.999 quantile at nine degrees, more than there are
+
+
+def test_shuffle_is_uniform(documents):
+    """Where a row lands does not depend on where it came from."""
+    from pyspark.sql import functions as F
+
+    docs = documents([(i, str(i)) for i in range(4800)])
+    cells = sharding.hypergeometric_shuffle(docs, shards=8, partitions=6, seed=3).groupBy((F.col("doc_id") % 12).alias("k"), "shard").count().collect()
+    chi = sum((r["count"] - 50) ** 2 / 50 for r in cells)
+    assert len(cells) == 96 and chi < 127  # 0.999 quantile at 77 degrees is 121.1
+
+
 def test_hypergeometric_law(spark):
     from pyspark.sql import functions as F
 
