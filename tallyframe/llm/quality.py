@@ -127,11 +127,11 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: dict[st
     (neither the base test nor a rule of the table fails).
 
     Null, empty and blank texts have no words: they fail the base test. Repeated rows
-    are judged alike, an empty table gives an empty one, and other columns stay
-    untouched whatever their names (one named as ``into`` raises ValueError).
+    are judged alike, texts of any length are judged whole, an empty table gives an empty
+    one, and other columns stay untouched whatever their names (one named as ``into`` is
+    replaced, as by ``withColumn``).
     """
-    if into.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"documents have a column {into}; name another by into=")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == into.lower()))
     a, c = counted(docs, stop_words)
     failed = (c["n_words"] < 20) | (F.lit(100) * c["n_repeat_words"] > F.lit(30) * c["n_words"])
     verdict = F.struct(*(x.alias(k) for k, x in c.items()), failed.alias("base_failed"), (~failed & compile_rules(rules, c)).alias("kept"))

@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
 Many voters look at a text: words of a lexicon, words and word beginnings found among
-labelled texts, and patterns of the whole text. A generative label model estimates how
-accurate each voter is and which of them vote together, and gives each text of a bounded
-sample a posterior. A linear classifier trained on these posteriors scores any text.
+labelled texts, and patterns (an insult at someone, in capitals, twice in a sentence,
+several or none in the text, many for its length). A generative label model, begun at the
+sample's labels, estimates how accurate each voter is and which of them vote together, and
+gives each text of a bounded sample a posterior. A linear classifier trained on these
+posteriors, not on the labels, scores any text.
 """
 
 from __future__ import annotations
@@ -18,11 +20,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_arrow, text_or_empty
+from tallyframe.llm.common import bounded_arrow, free_name, text_or_empty
 from tallyframe.llm.shingles import shingle_set
 
 #: Insults that vote from the start, whatever the labels say. Fixed values.
 LEXICON = "idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile dumb jerk".split()
+#: Patterns around an insult, which stands for ``{}``. Fixed values.
+PATTERNS = {
+    "at someone": r"\b(?:you|your|youre|you're|du|ihr|tu|vous|toi|eres|usted)\b\W+(?:\w+\W+){{0,3}}?(?:{})",
+    "twice": r"\b(?:{})\b[^.!?\n]{{0,200}}\b(?:{})",
+    "shouted": r"(?:{})\w*\W*!",
+}
 #: Most labelled rows that the fit looks at, and most voters found among them.
 MAX_LABELLED, MAX_FOUND = 8000, 96
 #: Letters of the word beginnings that may become voters.
@@ -44,29 +52,40 @@ class Voters:
     def __post_init__(self) -> None:
         self.place = {w: i for i, w in enumerate(self.words)}
         self.stem_place = {s: len(self.words) + i for i, s in enumerate(self.stems)}
-        self.n = len(self.words) + len(self.stems)
+        self.terms = len(self.words) + len(self.stems)
+        any_of = "|".join(re.escape(t) for t in sorted({*self.words, *self.stems}, key=lambda t: (-len(t), t)))
+        self.patterns = [re.compile(p.format(any_of, any_of), re.IGNORECASE) for p in PATTERNS.values()] if any_of else []
+        self.capitals = self.terms + len(self.patterns)
+        self.n = self.capitals + 1
 
     def hits(self, text: str) -> tuple[np.ndarray, int]:
-        """How often each voter's word or beginning stands in ``text``, and its words."""
-        words = _WORD.findall(text.lower())
+        """How often each voter's word or beginning stands in ``text``, whether each pattern
+        does, and the number of words."""
+        lower = text.lower()
+        words = _WORD.findall(lower)
         out = np.zeros(self.n)
         distinct = set(words)
-        for w in distinct & self.place.keys():
+        found = distinct & self.place.keys()
+        for w in found:
             out[self.place[w]] += words.count(w)
-        if self.stem_place:
-            for k in {len(s) for s in self.stems}:
-                for w in distinct:
-                    if (i := self.stem_place.get(w[:k])) is not None and len(w) > k:
-                        out[i] += words.count(w)
+        for k in {len(s) for s in self.stems}:
+            for w in distinct:
+                if (i := self.stem_place.get(w[:k])) is not None and len(w) > k:
+                    out[i] += words.count(w)
+                    found.add(w)
+        if found:  # no pattern stands without one
+            for k, p in enumerate(self.patterns):
+                out[self.terms + k] = p.search(text) is not None
+            out[self.capitals] = any(re.search(rf"\b{re.escape(w.upper())}\b", text) is not None for w in found)
         return out, len(words)
 
 
-def votes(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Votes of all voters, 1 toxic, 0 clean, -1 none: each word or beginning that stands
-    in the text says toxic; texts without any say clean; texts with several of them, or
-    with many for their length, say toxic once more."""
+def votes(hits: np.ndarray, words: np.ndarray, terms: int) -> np.ndarray:
+    """Votes of all voters, 1 toxic, 0 clean, -1 none: each word, beginning or pattern that
+    stands in the text says toxic; texts without any of the ``terms`` say clean; texts with
+    several of them, or with many for their length, say toxic once more."""
     some = np.where(hits > 0, 1, -1).astype(np.int8)
-    total = hits.sum(axis=1)
+    total = hits[:, :terms].sum(axis=1)
     none = np.where(total == 0, 0, -1)
     several = np.where(total >= 2, 1, -1)
     dense = np.where(total * 50 >= np.maximum(words, 1), 1, -1)
@@ -131,8 +150,8 @@ def fit_label_model(v: np.ndarray, start: np.ndarray, prior: float, rounds: int
     return model
 
 
-def features(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    total, kinds = hits.sum(axis=1), (hits > 0).sum(axis=1)
+def features(hits: np.ndarray, words: np.ndarray, terms: int) -> np.ndarray:
+    total, kinds = hits[:, :terms].sum(axis=1), (hits[:, :terms] > 0).sum(axis=1)
     share = total / np.maximum(words, 1)
     return np.column_stack([np.ones(len(words)), total > 0, np.log1p(total), np.log1p(kinds), np.minimum(share * 20, 1.0), np.log1p(words) / 10, np.log1p(hits)])
 
@@ -163,7 +182,7 @@ class Model:
         if not texts:
             return np.empty(0)
         hits, words = zip(*(self.voters.hits(t) for t in texts), strict=True)
-        return 1 / (1 + np.exp(-np.clip(features(np.array(hits), np.array(words)) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(features(np.array(hits), np.array(words), self.voters.terms) @ self.weights, -30, 30)))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +249,10 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, limit:
         toxic, words, hits = np.append(toxic, np.ones(known)), np.append(words, np.full(known, 10)), np.vstack([hits, np.eye(voters.n)[:known]])
     if not (toxic == 0).any():
         toxic, words, hits = np.append(toxic, np.zeros(2 * known)), np.append(words, np.full(2 * known, 100)), np.vstack([hits, np.zeros((2 * known, voters.n))])
-    v = votes(hits, words)
-    start = np.clip(toxic, 0.05, 0.95)
-    model = fit_label_model(v, start, float(toxic.mean()))
-    return Model(voters, fit_linear(features(hits, words), model.posterior(v)), model)
+    v = votes(hits, words, voters.terms)
+    # Begun at the voters' majority instead, the model takes texts with one vote for clean.
+    model = fit_label_model(v, np.clip(toxic, 0.05, 0.95), float(toxic.mean()))
+    return Model(voters, fit_linear(features(hits, words, voters.terms), model.posterior(v)), model)
 
 
 def _hits(voters: Voters):
@@ -247,27 +266,25 @@ def _hits(voters: Voters):
 
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """``docs`` with ``score``. It depends on the text alone; null texts count as empty,
-    repeated rows score alike, an empty table gives an empty one. A column named
-    ``score`` already there raises ValueError."""
-    if score.lower() in (c.lower() for c in docs.columns):
-        raise ValueError(f"documents have a column {score}")
+    texts of any length are read whole, repeated rows score alike, an empty table gives an
+    empty one. A column named ``score`` already there is replaced, as by ``withColumn``."""
     bounded_arrow(docs.sparkSession)
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != score.lower()]
+    rows = docs.select(*(f"`{c}`" for c in names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(texts), pa.float64())], [*names, score])
 
-    return docs.select(*(f"`{c}`" for c in names), text_or_empty().alias("tx_text")).mapInArrow(run, docs.withColumn(score, F.lit(0.0)).schema)
+    with_text = docs.select(*(f"`{c}`" for c in names), text_or_empty().alias(free_name(names, "tx_text")))
+    return with_text.mapInArrow(run, rows.withColumn(score, F.lit(0.0)).schema)
 
 
 def toxicity_filter(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The documents with a score under ``threshold``."""
-    name = "tx_score"
-    while name in docs.columns:
-        name += "_"
-    return scored(docs, model, name).filter(F.col(name) < threshold).drop(name)
+    """The documents with a score under ``threshold``; all their columns stay."""
+    name = free_name(docs.columns, "tx_score")
+    return scored(docs, model, name).filter(F.col(f"`{name}`") < threshold).drop(name)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

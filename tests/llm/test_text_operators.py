@@ -1,6 +1,7 @@
 """MinHash, repeated strings, quality rules and toxicity against brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -188,8 +189,7 @@ def test_quality_table_decides(documents):
     rows = [(1, clean), (2, " ".join(x + "%%%" for x in clean.split())), (3, prose(60).upper()), (4, None)]
     kept = quality.quality_filter(documents(rows, quality=7, q_words="w"))
     assert [r.doc_id for r in kept.collect()] == [1] and kept.columns[-2:] == ["quality", "q_words"]
-    with pytest.raises(ValueError):
-        quality.judged(documents(rows, quality=7))
+    assert [c for c in quality.judged(documents(rows, Quality=7)).columns if c.lower() == "quality"] == ["quality"]
     assert quality.query(documents([])).count() == 0
 
 
@@ -221,9 +221,40 @@ def test_toxicity_edge_cases(spark, documents):
     by = {(r.doc_id, r.predicted) for r in got}
     assert {(1, 0), (2, 0), (None, 1), (4, 0), (4, 1)} == by
     assert toxicity.query(documents([]), none).count() == 0
-    with pytest.raises(ValueError):
-        toxicity.scored(documents(rows, score=1.0), toxicity.fit(docs, none))
-    assert toxicity.toxicity_filter(documents(rows, tx_score=1), toxicity.fit(docs, none)).columns[-1] == "tx_score"
+    model = toxicity.fit(docs, none)
+    clash = toxicity.scored(documents(rows, SCORE=9.0, tx_text="t"), model).collect()
+    assert max(r.score for r in clash) <= 1 and "SCORE" not in clash[0] and clash[0].tx_text == "t"
+    kept = toxicity.toxicity_filter(documents(rows, TX_SCORE=1, tx_text=2), model)
+    assert kept.columns[-2:] == ["TX_SCORE", "tx_text"] and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    """Votes drawn from known accuracies: the posterior beats any voter, copies of a voter
+    join one clique and do not count twice."""
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.25
+    hit, false = [0.8, 0.7, 0.6, 0.7], [0.03, 0.05, 0.02, 0.1]
+    says = [np.where(rng.random(4000) < np.where(truth, h, f), 1, -1) for h, f in zip(hit, false, strict=True)]
+    v = np.column_stack([*says, says[3]]).astype(np.int8)
+    start = np.where((v == 1).any(axis=1), 0.9, 0.05)
+    model = toxicity.fit_label_model(v, start, 0.3)
+    assert [3, 4] in model.cliques and abs(model.prior - 0.25) < 0.03
+    for k, (h, f) in enumerate(zip(hit[:3], false[:3], strict=True)):
+        clean, toxic = model.table[0][k][0], model.table[1][k][0]
+        assert abs(toxic - h) < 0.06 and abs(clean - f) < 0.03
+    right = ((model.posterior(v) >= 0.5) == truth).mean()
+    assert right > max(((s == 1) == truth).mean() for s in says)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables")
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    out = toxicity.query(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
+    toxic = [r for r in out if r.toxic == 1]
+    clean = [r for r in out if r.toxic == 0]
+    assert len(toxic) > 100 and sum(r.predicted for r in toxic) >= 0.85 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
 
 
 def test_joined_segments_are_those_of_each_text():
