@@ -1,5 +1,11 @@
 """The corpus pipeline: quality rules, toxicity, near-duplicates, repeated passages and
-packing, each over all that the stage before it kept."""
+packing, each over all that the stage before it kept.
+
+Every stage takes tables with null ids and texts, empty, blank and very long texts, equal
+ids, repeated rows and further columns of any names, and empty tables. A null or blank
+text fails the quality rules. Copies that share an id are one document. All stages but the
+last hand on every column as it is, only ``text`` and ``n_chars`` change where passages go.
+"""
 
 from __future__ import annotations
 

@@ -113,8 +113,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> Dat
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``keep`` also ids (binary,
     little-endian unsigned 32-bit) and decoded (binary), for every whole text.
 
-    A null text counts as empty. Null ids and repeated rows give a row each; other
-    columns are not carried.
+    A null text counts as empty, one of any length is encoded whole. Null ids and repeated
+    rows give a row each, an empty table an empty one; other columns are not carried.
     """
     bounded_arrow(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded binary" * keep

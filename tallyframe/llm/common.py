@@ -19,17 +19,31 @@ ARROW_BATCH_BYTES = 32 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (local tests) a folder of this machine is made and set.
+    Only where it is unset and Spark runs on this machine alone (tests) a folder of this
+    machine is made and set; on a cluster that raises ValueError.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tallyframe-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallyframe/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tallyframe/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all tables and files that this application has in the shared folder. For use
+    once the results are stored: DataFrames of this subpackage read from there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_arrow(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session by bytes, not only by rows."""
+    """Bounds the Arrow batches of this session by bytes, not only by rows. The setting stays:
+    it is read when a query runs, and that is after the operator has returned."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)).rstrip("bB") or 0) > ARROW_BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 

@@ -134,7 +134,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     ``k``-word shingles; component_id is the smallest id reachable. Texts that are null or
     without words have an empty set and no link. Rows with equal sets are one class from
     the start (copies cost no pairs); rows that share an id count as one document. A row
-    with a null id keeps a null component. A link at a similarity of 0.8 shares no bucket
+    with a null id keeps a null component. Texts of any length are read whole, an empty
+    table gives an empty one, columns besides the two named are not read. A link at a similarity of 0.8 shares no bucket
     with probability 5e-6 (6e-9 at 0.85); of those that share one none is lost.
     """
     bounded_arrow(docs.sparkSession)

@@ -320,7 +320,10 @@ def feature(m: Media) -> str:
 
 def with_media(docs: DataFrame, media: str = "media") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as UTF-8 (null: empty), zero bytes up to a
-    positive multiple of 64 after it, as a stream in a binary column."""
+    positive multiple of 64 after it, as a stream in a binary column.
+
+    Null, equal and repeated ids give a row each, equal texts equal streams, a text of any
+    length one stream, an empty table an empty one; other columns are not carried."""
     bounded_arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

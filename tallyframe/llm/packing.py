@@ -114,8 +114,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataFr
 
 def best_fit(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, room: int = 2048) -> DataFrame:
     """Every piece of ``docs`` in its place: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset. Null ids and repeated rows are packed like any other; an empty
-    table gives an empty one; columns besides doc_id and text are not carried."""
+    sequence_id, offset. Null ids, equal ids and repeated rows are packed like any other,
+    texts of any length are cut into as many pieces as they need; an empty table gives an empty one; columns besides doc_id and text are not carried."""
     pieces = written(pieces_of(docs, tokenizer or vocabulary_path("byte_bpe_50k.json"), end_id, room), "pieces")
     return packed(pieces, room, ["doc_id", "piece", "ids_crc32"])
 

@@ -30,7 +30,8 @@ _TRAILER = struct.Struct("<QQQQQ8s")
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """The store of a path or URI that every executor reaches, and the path in it."""
+    """The store of a path or URI that every executor reaches, and the path in it. A path
+    without a scheme, or with ``file``, is on a disk that all machines mount."""
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -140,7 +141,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, files:
     (null ids first, equal ids by text) and returns the manifest (file, path, n_docs,
     n_tokens, start).
 
-    A text that is null counts as empty. A task writes a file of its own name and the
+    A text that is null counts as empty, one of any length is encoded whole, an empty table
+    gives no file. A task writes a file of its own name and the
     manifest lists the files of the tasks that ended well, so a lost executor leaves no
     wrong file behind. Columns besides doc_id and text are not written.
     """

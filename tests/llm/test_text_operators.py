@@ -62,6 +62,17 @@ def test_near_duplicates_equal_brute_force(documents, k, percent):
     assert {r.id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_duplicates_of_very_long_texts(documents):
+    long = prose(150_000)
+    w = long.split()
+    for k in range(0, 150_000, 100):
+        w[k] = "changed"
+    rows = [(5, long), (3, " ".join(w)), (2, prose(150_000)), (8, long + " x")]
+    got = minhash.query(documents(rows)).collect()
+    want = {i: c for i, (_, c) in components(rows, 3, 85).items()}
+    assert {r.doc_id: r.component_id for r in got} == want == {2: 2, 3: 3, 5: 3, 8: 3}
+
+
 def test_near_duplicates_of_nothing_and_null_ids(documents):
     assert minhash.query(documents([])).count() == 0
     got = minhash.query(documents([(None, "a b c d"), (3, "a b c d"), (None, None)])).collect()
@@ -179,7 +190,7 @@ def quality_counts(text):
 
 def test_quality_counts_equal_brute_force(documents):
     rep = prose(12)
-    rows = [*corpus(), (200, "\n".join([rep] * 3)), (201, prose(50) + "\n" + rep + " x " + rep), (202, "a %% b\n\n#c|d　e"), (203, "the of and " * 10)]
+    rows = [*corpus(), (200, "\n".join([rep] * 3)), (201, prose(50) + "\n" + rep + " x " + rep), (202, "a %% b\n\n#c|d　e"), (203, "the of and " * 10), (204, prose(60_000)), (205, "x" * 2_000_000)]
     got = [(r.doc_id, tuple(r)[1:7]) for r in quality.query(documents(rows)).collect()]
     assert sorted(got) == sorted((i, quality_counts(t)) for i, t in rows)
 

@@ -82,7 +82,7 @@ def test_segment_tree_merges_as_the_library(reference_bpe):
 
 def test_bpe_query(spark, documents, reference_bpe):
     rows = [*enumerate(TEXTS), (98, None), (None, "x y"), (3, TEXTS[3])]
-    got = bpe.query(documents(rows, ids=1)).collect()
+    got = bpe.query(documents(rows, ids=1, n_tokens=2, DECODED="d")).collect()
     _, whole = reference_bpe
     want = []
     for i, t in rows:
@@ -121,7 +121,7 @@ def test_token_files_round_trip(documents):
 
     rows = [(7, "second doc"), (3, TEXTS[2]), (5, None), (None, "no id"), (9, "word " * 4000), (3, TEXTS[2])]
     t = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
-    got = sorted(token_files.query(documents(rows, start=1)).collect(), key=lambda r: r.start)
+    got = sorted(token_files.query(documents(rows, start=1, file=2, path="p", n_tokens=3)).collect(), key=lambda r: r.start)
     at = 0
     for r, (i, text) in zip(got, sorted(rows, key=lambda r: -1 if r[0] is None else r[0]), strict=True):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
