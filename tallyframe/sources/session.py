@@ -8,10 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir``, and only where that is
-    unset (local runs) a folder of this machine."""
+    """The shared folder for checkpoints: ``spark.checkpoint.dir``. Only where that is unset
+    and Spark runs on this machine alone, a folder of this machine; else ValueError."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tallyframe-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
