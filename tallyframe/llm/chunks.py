@@ -45,11 +45,11 @@ def _spans(text: str):
 class ChunkEncoder:
     """``encode`` turns a list of strings into lists of ids; the ids of chunks are kept.
 
-    ``whole`` does the same for texts that are not to be split, those in which ``apart``
-    finds something among them.
+    ``whole`` does the same for texts that are not to be split, those that ``apart`` tells
+    among them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[list[str]], list] | None = None, apart: re.Pattern | None = None, cached: int = CACHED_CHUNKS):
+    def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[list[str]], list] | None = None, apart: Callable[[str], bool] = lambda text: False, cached: int = CACHED_CHUNKS):
         self.encode_all, self.whole, self.apart, self.cached = encode, whole or encode, apart, cached
         self.known: dict[str, bytes] = {}
 
@@ -70,7 +70,7 @@ class ChunkEncoder:
         """The ids of a whole text (null: of the empty one) as unsigned 32-bit integers."""
         if not text:
             return np.empty(0, np.uint32)
-        if self.apart and self.apart.search(text) or not text.isascii() and (_OTHER_SPACE.search(text) or not is_normalized("NFC", text)):
+        if self.apart(text) or not text.isascii() and (_OTHER_SPACE.search(text) or not is_normalized("NFC", text)):
             return np.asarray(self.whole([text])[0], np.uint32)
         return np.frombuffer(b"".join(map(self._span, _spans(text))), np.uint32)
 
@@ -133,8 +133,14 @@ def library_encoder(path: str) -> ChunkEncoder:
             rest = iter(whole([c for c, w in zip(chunks, words, strict=True) if w is None]))
             return [next(rest) if w is None else [t.id for t in model.tokenize(w)] for w in words]
 
-        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
-        _loaded[path] = ChunkEncoder(encode, whole, re.compile("|".join(added), re.IGNORECASE) if added else None)
+        added = tokenizer.get_added_tokens_decoder().values()
+        exact = [t.content for t in added if not t.normalized]
+        loose = [t.content.lower() for t in added if t.normalized]  # looked for after normalising
+
+        def apart(text: str) -> bool:
+            return any(x in text for x in exact) or bool(loose) and any(x in text.lower() for x in loose)
+
+        _loaded[path] = ChunkEncoder(encode, whole, apart)
     return _loaded[path]
 
 
