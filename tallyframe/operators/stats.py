@@ -112,7 +112,7 @@ def set_prf1(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
 def power_law(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """slope of ln y on ln x over positive values; null for fewer than two distinct x."""
     ok = rows.filter((F.col(x) > 0) & (F.col(y) > 0))
-    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count_distinct(x) >= 2, F.round(F.regr_slope(F.log(y), F.log(x)), 6)).alias("exponent"))
+    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(F.count_distinct(x) >= 2, F.regr_slope(F.log(y), F.log(x))).alias("exponent"))
 
 
 def paired_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, draws: int, seed: int) -> DataFrame:

@@ -6,8 +6,6 @@ operator ids stand in the comments.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,25 +16,8 @@ from tallyframe.operators import contracts as C
 from tallyframe.operators import dataprep as D
 from tallyframe.operators import relational as R
 from tallyframe.operators import stats as K
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/{name}.parquet")
-    return t.select(*columns) if columns else t
-
+from tallyframe.plans import reports, semantic  # noqa: F401 - they register their queries
+from tallyframe.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
 # ---- pairs: prompt = brand, model = line number mod 4 ------------------------------------
 
@@ -76,7 +57,7 @@ def pairs_tie_margin(spark, d):  # K02, G12
 SELECT split, count(*) AS total, count(score_a - score_b) AS valid,
        round(avg(CASE WHEN (CASE WHEN abs(score_a - score_b) <= margin THEN 0.5 WHEN score_a > score_b THEN 1.0 ELSE 0.0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM pairs, best GROUP BY split""")
-def pairs_accuracy(spark, d):  # K01, D12, E02: the margin of the dev split on both splits
+def pairs_accuracy(spark, d):  # K01, D12: the margin of the dev split on both splits
     p = scored_pairs(spark, d)
     margin = K.tie_margin(p.filter("split = 'dev'")).select("margin")  # one row
     return K.pair_accuracy(p.crossJoin(F.broadcast(margin)), ["split"], F.col("margin"))
@@ -146,13 +127,13 @@ def status_counts(spark, d):  # F19
     return scored_orders(spark, d).groupBy("o_orderpriority", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH c AS (SELECT o_custkey, round(avg(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END), 2) AS a, round(avg(CASE WHEN o_orderpriority LIKE '2%' THEN o_totalprice END), 2) AS b,
-                       round(avg(CASE WHEN o_orderpriority LIKE '3%' THEN o_totalprice END), 2) AS c, round(avg(CASE WHEN o_orderpriority LIKE '4%' THEN o_totalprice END), 2) AS d FROM orders GROUP BY o_custkey)
+@query("""WITH c AS (SELECT o_custkey, avg(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice END) AS a, avg(CASE WHEN o_orderpriority LIKE '2%' THEN o_totalprice END) AS b,
+                       avg(CASE WHEN o_orderpriority LIKE '3%' THEN o_totalprice END) AS c, avg(CASE WHEN o_orderpriority LIKE '4%' THEN o_totalprice END) AS d FROM orders GROUP BY o_custkey)
 SELECT (SELECT count(*) FROM c) AS planned, count(*) AS complete, round(avg(a), 2) AS origin_base, round(avg(b), 2) AS origin_cf, round(avg(c), 2) AS repair_base, round(avg(d), 2) AS repair_cf
 FROM c WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL""")
 def four_cell_means(spark, d):  # F28, E06: only rows with all four cells enter the means
     o = read(spark, d, "orders", "o_custkey", "o_orderpriority", "o_totalprice")
-    cells = {n: F.round(F.avg(F.when(F.col("o_orderpriority").startswith(str(i + 1)), F.col("o_totalprice"))), 2) for i, n in enumerate(("origin_base", "origin_cf", "repair_base", "repair_cf"))}
+    cells = {n: F.avg(F.when(F.col("o_orderpriority").startswith(str(i + 1)), F.col("o_totalprice"))) for i, n in enumerate(("origin_base", "origin_cf", "repair_base", "repair_cf"))}
     per = o.groupBy("o_custkey").agg(*(c.alias(n) for n, c in cells.items()))
     whole = F.col("origin_base").isNotNull() & F.col("origin_cf").isNotNull() & F.col("repair_base").isNotNull() & F.col("repair_cf").isNotNull()
     return per.agg(F.count(F.lit(1)).alias("planned"), F.count_if(whole).alias("complete"), *(F.round(F.avg(F.when(whole, F.col(n))), 2).alias(n) for n in cells))
@@ -179,9 +160,9 @@ def macro_mean(spark, d):  # null if a stratum is empty
 @query("""SELECT coalesce(o_orderpriority, 'all') AS priority, coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(avg(o_totalprice), 2) AS mean
 FROM orders GROUP BY GROUPING SETS ((), (o_orderpriority), (o_orderstatus), (o_orderpriority, o_orderstatus))""")
 def grouping_report(spark, d):  # F22
-    read(spark, d, "orders").createOrReplaceTempView("tf_orders")
-    return spark.sql("""SELECT coalesce(o_orderpriority, 'all') AS priority, coalesce(o_orderstatus, 'all') AS status, count(*) AS n, round(avg(o_totalprice), 2) AS mean
-        FROM tf_orders GROUP BY GROUPING SETS ((), (o_orderpriority), (o_orderstatus), (o_orderpriority, o_orderstatus))""")
+    o, p, t = read(spark, d, "orders", "o_orderpriority", "o_orderstatus", "o_totalprice"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    sets = o.groupingSets([[], [p], [t], [p, t]], p, t).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    return sets.select(F.coalesce(p, F.lit("all")).alias("priority"), F.coalesce(t, F.lit("all")).alias("status"), "n", "mean")
 
 
 @query("""SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.05), 4) AS q05, round(quantile_cont(c_acctbal, 0.25), 4) AS q25, round(quantile_cont(c_acctbal, 0.5), 4) AS q50,
@@ -203,7 +184,7 @@ def level_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {GRID_SQL}
 SELECT a.base, a.family, a.level, round(a.score - b.score, 3) AS delta FROM g a LEFT JOIN g b ON a.base = b.base AND a.level = b.level AND b.family = 'N'""")
-def paired_delta(spark, d):  # E05, E03
+def paired_delta(spark, d):  # E05
     out = R.to_baseline(level_grid(spark, d), ["base", "level"], "family", "N", "score")
     return out.select("base", "family", "level", F.round("delta", 3).alias("delta"))
 
@@ -296,7 +277,7 @@ def condition_blend(spark, d):  # D07, D06, E19
 
 @query("""WITH a AS (SELECT vec_id, label, list_sum(embedding::DOUBLE[]) AS ref, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 4))) AS cand FROM embeddings)
 SELECT label, count(*) AS rows, count_if(abs(cand - ref) <= greatest(1e-6, 0.01 * abs(ref))) AS passed, bool_and(abs(cand - ref) <= greatest(1e-6, 0.01 * abs(ref))) AS gate FROM a GROUP BY label""")
-def agreement_gate(spark, d):  # F27, E17, L08
+def agreement_gate(spark, d):  # F27, L08
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     e = read(spark, d, "embeddings").select("label", total(F.transform("embedding", lambda x: x.cast("double"))).alias("ref"), total(F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("cand"))
     ok = F.abs(F.col("cand") - F.col("ref")) <= F.greatest(F.lit(1e-6), 0.01 * F.abs("ref"))
@@ -422,35 +403,82 @@ def lag_scaling(spark, d):  # E15
 # ---- text and data preparation -----------------------------------------------------------------
 
 
-@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS n FROM documents),
-w AS (SELECT doc_id, n, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS words FROM t)
-SELECT doc_id, words::INT AS words, length(n)::INT AS chars, len(regexp_extract_all(lower(n), '[a-z0-9]+'))::INT AS tokens,
-       CASE WHEN words <= 14 THEN '0-14' WHEN words <= 49 THEN '15-49' WHEN words <= 99 THEN '50-99' WHEN words <= 200 THEN '100-200' WHEN words <= 400 THEN '201-400' ELSE '401+' END AS bucket FROM w""")
+@query(r"""WITH t AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS n FROM documents),
+w AS (SELECT doc_id, text, n, CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS words FROM t)
+SELECT doc_id, words::INT AS words, length(text)::INT AS chars, len(regexp_extract_all(lower(n), '[a-z0-9]+'))::INT AS tokens,
+       CASE WHEN words <= 14 THEN '1-14' WHEN words <= 49 THEN '15-49' WHEN words <= 99 THEN '50-99' WHEN words <= 200 THEN '100-200' WHEN words <= 400 THEN '201-400' ELSE '401+' END AS bucket FROM w""")
 def text_lengths(spark, d):  # C01, C03, C04, C05
     t = F.col("text")
     words = T.word_count(t)
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", words.alias("words"), T.char_count(t).alias("chars"), F.size(T.phrase_tokens(t)).alias("tokens"), T.length_bucket(words).alias("bucket"))
 
 
-STEM_SQL = """CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ves' AND length(w) > 4 THEN left(w, length(w) - 3) || 'f'
- WHEN w LIKE '%ing' AND length(w) > 5 THEN CASE WHEN w[length(w) - 3] = w[length(w) - 4] THEN left(w, length(w) - 4) ELSE left(w, length(w) - 3) END
- WHEN w LIKE '%es' AND NOT w LIKE '%ses' AND length(w) > 3 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND NOT w LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"""
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def stem_sql(w: str) -> str:
+    special = " ".join(f"WHEN {w} = '{a}' THEN '{b}'" for a, b in T.IRREGULAR.items())
+    return f"""(CASE {special} WHEN {w} IN ({_quoted(T.SINGULAR_S)}) THEN {w}
+ WHEN {w} LIKE '%ies' AND length({w}) > 4 THEN left({w}, length({w}) - 3) || 'y' WHEN {w} LIKE '%ves' AND length({w}) > 4 THEN left({w}, length({w}) - 3) || 'f'
+ WHEN {w} LIKE '%ing' AND length({w}) > 5 THEN CASE WHEN length({w}) > 6 AND substr({w}, length({w}) - 3, 1) = substr({w}, length({w}) - 4, 1) AND substr({w}, length({w}) - 3, 1) NOT IN ('a', 'e', 'i', 'o', 'u') THEN left({w}, length({w}) - 4) ELSE left({w}, length({w}) - 3) END
+ WHEN {w} LIKE '%es' AND NOT {w} LIKE '%ses' AND length({w}) > 3 THEN left({w}, length({w}) - 2) WHEN {w} LIKE '%s' AND NOT {w} LIKE '%ss' AND length({w}) > 3 THEN left({w}, length({w}) - 1) ELSE {w} END)"""
+
 
+#: Words that the made-up prose seldom has, beside those it has.
+STEM_WORDS = "people buses bus circus knives analysis adding seeing running boxes houses ponies glass thing falling leaves scarves business".split()
 
-@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents WHERE lang = 'en'),
-s AS (SELECT w, {STEM_SQL} AS stem FROM t WHERE w NOT IN ('people', 'men', 'women', 'children', 'feet', 'teeth', 'mice', 'geese', 'bus', 'gas', 'lens', 'glass', 'grass', 'dress', 'class', 'boss', 'tennis', 'canvas'))
+
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents UNION ALL SELECT unnest([{_quoted(STEM_WORDS)}])),
+s AS (SELECT w, {stem_sql('w')} AS stem FROM t)
 SELECT stem, count(*) AS n, count(DISTINCT w) AS forms FROM s GROUP BY stem""")
 def stem_tokens(spark, d):  # C06
-    t = read(spark, d, "documents", "lang", "text").filter("lang = 'en'").select(F.explode(T.phrase_tokens(F.col("text"))).alias("w"))
-    t = t.groupBy("w").agg(F.count(F.lit(1)).alias("k")).filter(~F.col("w").isin([*T.IRREGULAR, *T.SINGULAR_S]))
+    t = read(spark, d, "documents", "text").select(F.explode(T.phrase_tokens(F.col("text"))).alias("w"))
+    t = t.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
+    t = t.unionByName(spark.createDataFrame([(w, 1) for w in STEM_WORDS], "w string, k long"))
     return t.select("w", "k", T.stem(F.col("w")).alias("stem")).groupBy("stem").agg(F.sum("k").alias("n"), F.count_distinct("w").alias("forms"))
 
 
-@query()
-def span_support(spark, d):  # C07, C08: the ladder of a name's words in the part's type and name
+SPAN_SQL = f"""
+s AS (SELECT *, lower(trim(regexp_replace(prompt, '\\s+', ' ', 'g'))) AS pn, lower(trim(trim(regexp_replace(phrase, '\\s+', ' ', 'g')), ' .,;:!?"''()[]{{}}')) AS qn FROM q),
+z AS (SELECT *, list_transform(regexp_extract_all(pn, '[a-z0-9]+'), lambda w: {stem_sql('w')}) AS ps, list_transform(regexp_extract_all(qn, '[a-z0-9]+'), lambda w: {stem_sql('w')}) AS qs FROM s),
+y AS (SELECT *, len(list_filter(qs, lambda x: list_contains(ps, x))) AS have FROM z),
+support AS (SELECT *, CASE WHEN qn = '' THEN 'none' WHEN regexp_matches(' ' || pn || ' ', '[^a-z0-9]' || regexp_escape(qn) || '[^a-z0-9]') THEN 'exact' WHEN len(qs) = 0 THEN 'none'
+       WHEN contains(' ' || array_to_string(ps, ' ') || ' ', ' ' || array_to_string(qs, ' ') || ' ') THEN 'morph' WHEN have = len(qs) THEN 'tokens'
+       WHEN list_contains(ps, qs[-1]) AND have * 5 >= len(qs) * 3 THEN 'partial' ELSE 'none' END AS support FROM y)"""
+
+
+@query(f"""WITH q AS (SELECT p_partkey, k, p_type || ' and the ' || p_name AS prompt, CASE k WHEN 0 THEN p_name WHEN 1 THEN p_type || 's' WHEN 2 THEN p_name || ' ' || p_type WHEN 3 THEN 'big ' || p_type || 's and ' || p_name ELSE '(' || substr(p_name, 1, 3) || ')' END AS phrase FROM part, range(5) AS r(k)),
+{SPAN_SQL}
+SELECT p_partkey, k::INT AS k, support FROM support""")
+def span_support(spark, d):  # C07: the ladder of several phrases in a part's type and name
     p = read(spark, d, "part", "p_partkey", "p_name", "p_type")
-    text = F.concat_ws(" ", F.col("p_type"), F.lit("and the"), F.col("p_name"))
-    return p.select("p_partkey", T.span_support(text, F.col("p_name")).alias("name"), T.span_support(text, F.concat(F.col("p_type"), F.lit("s"))).alias("kind"), T.canonical_entity(F.concat(F.lit("the "), F.col("p_name"))).alias("entity"))
+    name, kind = F.col("p_name"), F.col("p_type")
+    phrases = F.array(name, F.concat(kind, F.lit("s")), F.concat_ws(" ", name, kind), F.concat(F.lit("big "), kind, F.lit("s and "), name), F.concat(F.lit("("), F.substring(name, 1, 3), F.lit(")")))
+    rows = p.select("p_partkey", F.concat_ws(" and the ", kind, name).alias("prompt"), F.posexplode(phrases).alias("k", "phrase"))
+    return rows.select("p_partkey", "k", T.span_support(F.col("prompt"), F.col("phrase")).alias("support"))
+
+
+NAMES = ("(the %s)", "these two %s benches", "a stack of %s", "holding %s", "both the", "a pair of children near the %s", "%s")
+
+
+@query(f"""WITH q AS (SELECT p_partkey, k, lower(trim(trim(replace([{_quoted(NAMES)}][k + 1], '%s', p_name)), ' .,;:!?"''()[]{{}}')) AS q FROM part, range({len(NAMES)}) AS r(k)),
+b AS (SELECT *, string_split(regexp_replace(q, '^(?:(?:{'|'.join(T.DETERMINERS)})(?: |$))+', ''), ' ') AS ws FROM q),
+h AS (SELECT *, ws[1:greatest(1, coalesce(list_min(list_filter([CASE WHEN ws[i] IN ({_quoted(T.HEAD_CUTS)}) THEN i - 1 END FOR i IN range(1, len(ws) + 1)], lambda x: x IS NOT NULL)), len(ws)))] AS hs FROM b)
+SELECT p_partkey, k::INT AS k, CASE WHEN ws = [''] THEN q ELSE array_to_string(list_append(ws[1:-2], {stem_sql('ws[-1]')}), ' ') END AS entity,
+       CASE WHEN ws = [''] THEN q ELSE array_to_string(list_append(hs[1:-2], {stem_sql('hs[-1]')}), ' ') END AS head FROM h""")
+def entity_names(spark, d):  # C08, C09
+    p = read(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.posexplode(F.array(*(F.replace(F.lit(n), F.lit("%s"), F.col("p_name")) for n in NAMES))).alias("k", "q"))
+    return p.select("p_partkey", "k", T.canonical_entity(F.col("q")).alias("entity"), T.head_noun(F.col("q")).alias("head"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(role || ' .' ORDER BY turn) AS items FROM conversations GROUP BY 1)
+SELECT conv_id, len(items)::INT - len(list_distinct(items))::INT AS dropped, array_to_string([x FOR x, i IN items IF list_position(items, x) = i], '|') AS kept FROM c""")
+def distinct_in_order(spark, d):  # C10
+    items = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(x["role"], F.lit("  .")))
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(items.alias("items"))
+    kept, dropped = T.dedup_in_order(F.col("items"))
+    return c.select("conv_id", dropped.alias("dropped"), F.array_join(kept, "|").alias("kept"))
 
 
 @query(r"""SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 24) AS id, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT % 5 AS bucket FROM documents""")
@@ -491,7 +519,7 @@ def dedupe_exact(spark, d):  # I05, I07: combined before the shuffle, so a frequ
 @query("""WITH r AS (SELECT sha256(text) AS key, quality AS label, doc_id FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT key, count(DISTINCT label) AS labels, min(doc_id) AS doc_id FROM r GROUP BY key)
 SELECT g.key, g.doc_id, r.label FROM g JOIN r USING (key, doc_id) WHERE g.labels = 1""")
-def dedupe_conflict(spark, d):  # I06, F31, E03
+def dedupe_conflict(spark, d):  # I06, F31
     r = read(spark, d, "documents", "doc_id", "text").join(read(spark, d, "labels", "doc_id", "quality"), "doc_id").select(F.sha2("text", 256).alias("key"), F.col("quality").alias("label"), "doc_id")
     return R.conflict_free(r, "key", "label", "doc_id")
 
@@ -526,12 +554,15 @@ def hash_roles(spark, d):  # H03
     return g.withColumn("rank", k).withColumn("role", F.when(F.col("rank") <= 5, "dev").when(F.col("rank") <= 12, "probe").otherwise("train"))
 
 
-@query("""WITH u AS (SELECT o_custkey AS id, 0 AS pri, o_orderkey AS seq, o_orderstatus AS v FROM orders WHERE o_orderpriority LIKE '1%' UNION ALL SELECT o_custkey, 1, o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority LIKE '2%')
+@query("""WITH u AS (SELECT o_custkey AS id, left(o_orderpriority, 1)::INT AS pri, o_orderkey AS seq, o_orderstatus AS v FROM orders)
 SELECT id, pri, seq, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pri DESC, seq) AS rn FROM u) WHERE rn = 1""")
-def upsert(spark, d):  # I01, I02
+def upsert(spark, d):  # I01, I02: five sources, one of each priority; the last overrides
     o = read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
-    part = lambda p, n: o.filter(F.col("o_orderpriority").startswith(p)).select(F.col("o_custkey").alias("id"), F.lit(n).alias("pri"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("v"))
-    return R.upsert(part("1", 0).unionByName(part("2", 1)), "id", "pri", "seq")
+    part = lambda p: o.filter(F.col("o_orderpriority").startswith(str(p))).select(F.col("o_custkey").alias("id"), F.lit(p).alias("pri"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("v"))
+    every = part(1)
+    for p in (2, 3, 4, 5):
+        every = every.unionByName(part(p))
+    return R.upsert(every, "id", "pri", "seq")
 
 
 @query("""SELECT 'missing' AS side, c_custkey AS id FROM customer ANTI JOIN orders ON o_custkey = c_custkey
@@ -647,7 +678,7 @@ def matrix_plan(spark, d):  # M01
 
 @query("""WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)
 SELECT p_partkey, (row_number() OVER (ORDER BY k, p_brand))::INT AS place FROM r WHERE k <= 3""")
-def round_robin_manifest(spark, d):  # A18, H10: at most three of each brand, brands in turn
+def round_robin_manifest(spark, d):  # A18: at most three of each brand, brands in turn
     k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     r = read(spark, d, "part", "p_brand", "p_partkey").withColumn("k", k)
     return r.filter("k <= 3").select("p_partkey", F.row_number().over(Window.orderBy("k", "p_brand")).alias("place"))
@@ -711,12 +742,12 @@ def top_classes(spark, d):  # H07, G04
     return D.top_classes(s, "user_id", "event_type", "s", 3).withColumn("top", F.array_join("top", ","))
 
 
-@query("""WITH r AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE doc_id < 60),
+@query("""WITH r AS (SELECT DISTINCT sha256(text) AS k FROM documents WHERE source = 'src3'),
 h AS (SELECT doc_id, source || '/' || lang AS grp, sha256(text) IN (SELECT k FROM r) AS hit FROM documents), g AS (SELECT grp, bool_or(hit) AS gh FROM h GROUP BY 1)
 SELECT doc_id, grp, CASE WHEN hit THEN 'reserved' WHEN gh THEN 'quarantine' WHEN ('0x' || substr(sha256('13:' || grp), 1, 8))::BIGINT % 5 = 0 THEN 'dev' ELSE 'train' END AS role FROM h JOIN g USING (grp)""")
-def leakage_safe(spark, d):  # J03: the texts of some documents are held as reserved
-    t = read(spark, d, "documents", "doc_id", "source", "lang", "text").select("doc_id", F.concat_ws("/", "source", "lang").alias("grp"), F.sha2("text", 256).alias("k"))
-    return D.leakage_safe(t, t.filter("doc_id < 60"), "k", "grp", 13).select("doc_id", "grp", "role")
+def leakage_safe(spark, d):  # J03: the texts of one source are held as reserved
+    t = read(spark, d, "documents", "doc_id", "source", "lang", "text").select("doc_id", "source", F.concat_ws("/", "source", "lang").alias("grp"), F.sha2("text", 256).alias("k"))
+    return D.leakage_safe(t, t.filter("source = 'src3'"), "k", "grp", 13).select("doc_id", "grp", "role")
 
 
 @query("""SELECT l_suppkey % 50 AS base, count(*) AS members, count_if(l_returnflag <> 'A') AS qualified, count(*) = 120 AND count_if(l_returnflag <> 'A') = 120 AS eligible FROM lineitem GROUP BY 1""")
@@ -733,7 +764,7 @@ def arbitration(spark, d):  # M05
 
 
 @query("""SELECT c_custkey, c_nationkey, n_name, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey""")
-def contract_join(spark, d):  # L01, L08, E17: a key that repeats or a balance out of range fails the query
+def contract_join(spark, d):  # L01, L08: a key that repeats or a balance out of range fails the query
     n = C.require_unique(read(spark, d, "nation", "n_nationkey", "n_name"), ["n_nationkey"])
     c = C.require_range(C.require_unique(read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal"), ["c_custkey"]), "c_acctbal", -1e5, 1e5)
     return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_name", "c_acctbal")
@@ -752,14 +783,29 @@ def score_formulas(spark, d):  # D05, D07, D08, D09, D11, D18, D21
 
 
 @query(r"""SELECT p_partkey, lower(trim(trim(regexp_replace('  (The ' || p_name || '!) ', '\s+', ' ', 'g')), ' .,;:!?"''()[]{}')) AS phrase,
-       CASE WHEN p_name LIKE '%ring%' THEN 'unknown' ELSE 'camera' END AS motion, split_part(split_part(lower(p_name), '-', 1), '_', 1) AS label, p_partkey / 2.0::DOUBLE AS rate,
+       split_part(split_part(lower(p_name), '-', 1), '_', 1) AS label, p_partkey / 2.0::DOUBLE AS rate,
        CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE 'clips/' || p_partkey END AS path FROM part""")
-def text_keys(spark, d):  # C02, C17, C26, C29, C30
+def text_keys(spark, d):  # C02, C17, C29, C30
     p = read(spark, d, "part", "p_partkey", "p_name")
     name = F.col("p_name")
-    prompt = F.when(name.contains("ring"), name).otherwise(F.concat(F.lit("the camera pans over "), name))
     path = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("clips/../"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit("clips/"), F.col("p_partkey").cast("string")))
-    return p.select("p_partkey", T.normalize_phrase(F.concat(F.lit("  (The "), name, F.lit("!) "))).alias("phrase"), T.motion_target(prompt).alias("motion"), T.filename_label(F.concat(F.lit("x/"), name)).alias("label"), T.rate(F.concat(F.col("p_partkey").cast("string"), F.lit("/2"))).alias("rate"), T.safe_relative(path).alias("path"))
+    return p.select("p_partkey", T.normalize_phrase(F.concat(F.lit("  (The "), name, F.lit("!) "))).alias("phrase"), T.filename_label(F.concat(F.lit("x/"), name)).alias("label"), T.rate(F.concat(F.col("p_partkey").cast("string"), F.lit("/2"))).alias("rate"), T.safe_relative(path).alias("path"))
+
+
+PROMPTS = ("the camera pans over %s", "a dog near the %s is slowly running", "camera movement, a bird flying", "%s in high action", "the pan of %s", "camera %s", "someone climbing a %s", "a car and %s", "a cat %s\n jumps")
+
+
+def _motion_sql() -> str:
+    has = lambda patterns: " OR ".join(f"regexp_matches(q, '{p}', 'i')" for p in patterns)
+    return f"""WITH p AS (SELECT p_partkey, k, replace([{', '.join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in PROMPTS)}][k + 1], '%s', p_name) AS q FROM part, range({len(PROMPTS)}) AS r(k)),
+m AS (SELECT p_partkey, k, {has(T.CAMERA_MOTION)} AS c, {has(T.SUBJECT_MOTION)} AS s, {has(T.ANY_MOTION)} AS g FROM p)
+SELECT p_partkey, k::INT AS k, CASE WHEN c AND s THEN 'both' WHEN c THEN 'camera' WHEN s THEN 'subject' WHEN g THEN 'generic' ELSE 'unknown' END AS motion FROM m"""
+
+
+@query(_motion_sql())
+def motion_targets(spark, d):  # C26
+    p = read(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.posexplode(F.array(*(F.replace(F.lit(n), F.lit("%s"), F.col("p_name")) for n in PROMPTS))).alias("k", "q"))
+    return p.select("p_partkey", "k", T.motion_target(F.col("q")).alias("motion"))
 
 
 @query("""WITH n AS (SELECT user_id, count(*) AS frames FROM events GROUP BY 1)

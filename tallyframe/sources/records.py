@@ -8,11 +8,12 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from tallyframe.functions.text import normalize_phrase, normalize_space
+from tallyframe.operators.contracts import require_unique
 
 #: Names of dimensions that mean the same. Fixed values.
 DIMENSION_ALIASES = {"dynamics_degree": "dynamic_degree", "objects": "multiple_objects", "action": "human_action", "spatial": "spatial_relationship"}
 #: Directions of relation predicates. Fixed values.
-DIRECTIONS = {"left of": "left", "to the left of": "left", "right of": "right", "to the right of": "right", "above": "above", "over": "above", "below": "below", "under": "below", "beneath": "below", "underneath": "below"}
+DIRECTIONS = {"left of": "left", "to the left of": "left", "on the left of": "left", "right of": "right", "to the right of": "right", "on the right of": "right", "above": "above", "below": "below", "under": "below", "underneath": "below", "beneath": "below"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -37,17 +38,21 @@ def manifest(rows: DataFrame) -> DataFrame:
 
 
 def with_metadata(videos: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Metadata joined by file name; videos without any stay."""
+    """Metadata joined by file name; videos without any stay, a name that has metadata
+    twice fails the query."""
     name = F.element_at(F.split("video", "/"), -1)
+    metadata = require_unique(metadata, ["name"])
     return videos.withColumn("_name", name).join(metadata.withColumnRenamed("name", "_name"), "_name", "left").drop("_name")
 
 
 def numbered_videos(paths: DataFrame) -> DataFrame:
-    """``video_NNN.mp4`` only, in order of the number; any other mp4 fails the query."""
+    """``video_NNN.mp4`` only, in order of the number; any other mp4, or a number that
+    stands twice, fails the query."""
     base = F.element_at(F.split("path", "/"), -1)
     number = F.regexp_extract(base, r"^video_(\d{3,})\.mp4$", 1)
     strict = F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.concat(F.lit("unexpected file "), base)))
-    return paths.filter(F.lower(base).endswith(".mp4")).withColumn("number", strict).orderBy("number", base)
+    numbered = paths.filter(F.lower(base).endswith(".mp4")).withColumn("number", strict)
+    return require_unique(numbered, ["number"]).orderBy("number", base)
 
 
 def relation_edges(images: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def region_phrases(images: DataFrame) -> DataFrame:
 
 def tagged_captions(rows: DataFrame) -> DataFrame:
     """``[/EN#chain/type phrase]`` captions as plain text and mentions."""
-    tag = r"\[/EN#(\d+)/([^\s\]]+) ([^\]]*)\]"
+    tag = r"\[/EN#([^/\s]+)/([^\s]+) ([^\]]+)\]"
     parts = {n: F.regexp_extract_all("caption", F.lit(tag), F.lit(i)) for i, n in ((1, "chain"), (2, "kind"), (3, "phrase"))}
     mentions = F.transform(F.arrays_zip(*(c.alias(n) for n, c in parts.items())), lambda m: F.struct(m["chain"].alias("chain"), m["kind"].alias("kind"), m["phrase"].alias("phrase"), (m["chain"] != "0").alias("positioned")))
     return rows.withColumns({"text": normalize_space(F.regexp_replace("caption", tag, "$3")), "mentions": mentions})

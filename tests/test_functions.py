@@ -27,7 +27,7 @@ def test_text_normalisers(spark):
     assert (r.blank, r.words, r.relaxed, r.label, r.key) == (0, 3, "well known frame", "playing flute", "déjà vu x")
 
 
-@pytest.mark.parametrize("word,stem", [("people", "person"), ("bus", "bus"), ("ponies", "pony"), ("leaves", "leaf"), ("running", "run"), ("walking", "walk"), ("boxes", "box"), ("houses", "house"), ("glass", "glass"), ("cats", "cat")])
+@pytest.mark.parametrize("word,stem", [("people", "person"), ("bus", "bus"), ("ponies", "pony"), ("leaves", "leaf"), ("running", "run"), ("walking", "walk"), ("boxes", "box"), ("houses", "house"), ("horses", "horse"), ("adding", "add"), ("seeing", "see"), ("falling", "fal"), ("circus", "circus"), ("knives", "knife"), ("analysis", "analysis"), ("boss", "boss"), ("wings", "wing"), ("string", "str"), ("ring", "ring"), ("eggs", "egg"), ("toes", "to"), ("indices", "index"), ("glass", "glass"), ("cats", "cat")])
 def test_stem(spark, word, stem):
     assert one(spark, s=T.stem(F.lit(word))).s == stem
 
@@ -38,15 +38,36 @@ def test_span_support_ladder(spark):
     assert tuple(got) == ("exact", "morph", "tokens", "partial", "none")
 
 
+@pytest.mark.parametrize("prompt,phrase,support", [("a red-ball", "red ball", "morph"), ("two (dogs)", "(dogs)", "exact"), ("a catalog", "cat", "none"), ("x", " ,. ", "none"), ("a+b is c", "a+b", "exact"), ("été 2", "été", "exact"), ("people run", "a person", "none"), ("two people running", "people run", "morph")])
+def test_span_support_of_odd_phrases(spark, prompt, phrase, support):
+    assert one(spark, s=T.span_support(F.lit(prompt), F.lit(phrase))).s == support
+
+
+def test_names_and_heads(spark):
+    cases = [("two wooden benches", "wooden bench", "wooden bench"), ("a man in a blue shirt", "man in a blue shirt", "man"), ("the", "the", "the"), ("A pair", "a pair", "a pair"), ("holding hands", "holding hand", "hold"), ("", "", ""), ("a stack of books", "stack of book", "stack")]
+    got = spark.createDataFrame([(c[0],) for c in cases], "t string").select("t", T.canonical_entity(F.col("t")).alias("e"), T.head_noun(F.col("t")).alias("h")).collect()
+    assert [tuple(r) for r in got] == cases
+    kept, gone = T.dedup_in_order(F.array(*map(F.lit, ("The  dog", " the dog.", "", "cat", "!?"))))
+    assert tuple(one(spark, k=kept, n=gone)) == (["The dog", "cat"], 3)
+    assert one(spark, r=T.normalize_relation(F.lit(" Left "))).r == "on the left of" and one(spark, r=T.normalize_relation(F.lit(None).cast("string"))).r is None
+    with pytest.raises(Exception, match="unsupported spatial relationship"):
+        one(spark, r=T.normalize_relation(F.lit("over")))
+
+
+@pytest.mark.parametrize("prompt,target", [("The camera pans as a dog runs", "both"), ("camera", "unknown"), ("slow zoom", "camera"), ("a cat sniffing", "subject"), ("Someone Climbing", "subject"), ("dynamic colours", "generic"), (None, "unknown"), ("a cat\njumps", "unknown")])
+def test_motion_targets(spark, prompt, target):
+    assert one(spark, m=T.motion_target(F.lit(prompt).cast("string"))).m == target
+
+
 def test_bucket_edges_and_rates(spark):
     got = spark.createDataFrame([(14,), (15,), (400,), (401,)], "n int").select(T.length_bucket(F.col("n"))).collect()
-    assert [r[0] for r in got] == ["0-14", "15-49", "201-400", "401+"]
+    assert [r[0] for r in got] == ["1-14", "15-49", "201-400", "401+"]
     r = one(spark, a=T.rate(F.lit("15/2")), b=T.rate(F.lit("24")), c=T.rate(F.lit("1/0")), d=T.rate(F.lit("x")))
     assert tuple(r) == (7.5, 24.0, None, None)
 
 
 def test_paths_and_targets(spark):
-    r = one(spark, a=T.safe_relative(F.lit("a/b")), b=T.safe_relative(F.lit("/a")), c=T.safe_relative(F.lit("a/../b")), d=T.motion_target(F.lit("The camera pans as he runs")), e=T.rewrite_aliases(F.lit("a motor bike and bike"), [("bike", "bicycle"), ("motor bike", "motorcycle")]))
+    r = one(spark, a=T.safe_relative(F.lit("a/b")), b=T.safe_relative(F.lit("/a")), c=T.safe_relative(F.lit("a/../b")), d=T.motion_target(F.lit("The camera pans as a man runs")), e=T.rewrite_aliases(F.lit("a motor bike and bike"), [("bike", "bicycle"), ("motor bike", "motorcycle")]))
     assert tuple(r) == ("a/b", None, None, "both", "a motorcycle and bicycle")
 
 

@@ -26,14 +26,18 @@ def test_numbered_videos(spark):
     assert [r.number for r in R.numbered_videos(p).collect()] == [2, 10]
     with pytest.raises(Exception, match="unexpected file"):
         R.numbered_videos(spark.createDataFrame([("d/clip.mp4",)], "path string")).collect()
+    with pytest.raises(Exception, match="duplicate key"):
+        R.numbered_videos(spark.createDataFrame([("d/video_001.mp4",), ("e/video_001.mp4",)], "path string")).collect()
 
 
 def test_edges_and_captions(spark):
     img = spark.createDataFrame([(1, [("dog", "under", "table"), ("dog", "beneath", "table"), ("a", "over", "a"), ("a", "eats", "b"), (None, "over", "b")])], "image_id int, relationships array<struct<subject:string,predicate:string,object:string>>")
     assert [tuple(r) for r in R.relation_edges(img).collect()] == [(1, "dog", "below", "table", 0)]
-    cap = spark.createDataFrame([("[/EN#12/people A man] sees [/EN#0/other it] .",)], "caption string")
+    sides = spark.createDataFrame([(1, [("a", "on the left of", "b"), ("a", "over", "c")])], "image_id int, relationships array<struct<subject:string,predicate:string,object:string>>")
+    assert [r.direction for r in R.relation_edges(sides).collect()] == ["left"]
+    cap = spark.createDataFrame([("[/EN#c12/people/other A man] sees [/EN#0/other it] .",)], "caption string")
     r = R.tagged_captions(cap).first()
-    assert r.text == "A man sees it ." and [(m.chain, m.phrase, m.positioned) for m in r.mentions] == [("12", "A man", True), ("0", "it", False)]
+    assert r.text == "A man sees it ." and [(m.chain, m.phrase, m.positioned) for m in r.mentions] == [("c12", "A man", True), ("0", "it", False)]
     ph = spark.createDataFrame([(1, [" The Dog. ", "!"]), (2, ["?"])], "image_id int, phrases array<string>")
     assert [tuple(r) for r in R.region_phrases(ph).collect()] == [(1, ["the dog"])]
 
@@ -51,3 +55,5 @@ def test_prompts_shards_and_artifacts(spark, tmp_path):
     v = spark.createDataFrame([("d/a.mp4",), ("d/b.mp4",)], "video string")
     m = spark.createDataFrame([("a.mp4", 7)], "name string, fps int")
     assert sorted((r.video, r.fps) for r in R.with_metadata(v, m).collect()) == [("d/a.mp4", 7), ("d/b.mp4", None)]
+    with pytest.raises(Exception, match="duplicate key"):
+        R.with_metadata(v, m.unionByName(m)).collect()
