@@ -43,3 +43,26 @@ def closure(scanned: int, retained: int, quarantined: int, filtered: int = 0) ->
     """What was read is what was kept, set aside or filtered."""
     if scanned != retained + quarantined + filtered:
         raise ValueError(f"{scanned} rows read, {retained} kept, {quarantined} set aside, {filtered} filtered")
+
+
+def same_identity(results: DataFrame, inputs: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``results``, if they have each key of ``inputs`` exactly once and equal
+    ``fields``; null equals null."""
+    asked = inputs.select(*keys, *(F.col(f).alias(f"id_{f}") for f in fields))
+    both = strict_join(results, asked, keys)
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"id_{f}"))
+    return require(both, same, F.concat(F.lit("identity changed: "), F.to_json(F.struct(*keys)))).select(*results.columns)
+
+
+def reviewed(rows: DataFrame, review: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The rows that ``review`` names; a review without its row, named twice, or with
+    other ``fields`` than the row, fails the query."""
+    named = require_unique(review, keys).select(*keys, *(F.col(f).alias(f"rv_{f}") for f in fields))
+    have = rows.withColumn("rv_there", F.lit(1))
+    both = named.join(require_unique(have, keys), keys, "left")
+    same = F.col("rv_there").isNotNull()
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"rv_{f}"))
+    return require(both, same, F.concat(F.lit("review of other content: "), F.to_json(F.struct(*keys)))).select(*rows.columns)

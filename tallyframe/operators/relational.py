@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyframe.sources.session import ensure_checkpoint_dir
+
 
 def pair_scores(pairs: DataFrame, scores: DataFrame, uid: str = "uid", score: str = "score") -> DataFrame:
     """Scores of both sides of each pair; a missing side stays, as null."""
@@ -189,3 +191,71 @@ def resample_indices(frames: Column, native: float, target: float) -> Column:
 def alternating_phase(index: Column, seed: int) -> Column:
     """+1 and -1 in turn, begun by the parity of the seed."""
     return F.when((index + seed) % 2 == 0, 1).otherwise(-1)
+
+
+def measured_drops(rows: DataFrame, clean: str, subject: str, background: str, least: float) -> DataFrame:
+    """Both drops relative to ``clean``, their ratio, and whether a row is measured or
+    why not: a score is missing, the subject does not drop, or by less than ``least``."""
+    c, s, b = F.col(clean), F.col(subject), F.col(background)
+    sd, bd = (c - s) / c, (c - b) / c
+    state = F.when(c.isNull() | s.isNull() | b.isNull(), "unsupported_or_failed").when(sd <= 0, "sensitivity_failed").when(sd < least, f"subject_drop_below_{least}").otherwise("measured")
+    return rows.withColumns({"subject_drop": sd, "background_drop": bd, "state": state, "ratio": F.try_divide(bd, sd)})
+
+
+def reciprocal(labels: DataFrame, by: list[str], a: str, b: str, label: str) -> DataFrame:
+    """Each label with whether it and that of the swapped pair add up to one."""
+    back = labels.select(*by, F.col(a).alias(b), F.col(b).alias(a), F.col(label).alias("rp_back"))
+    ok = F.coalesce(F.abs(F.col(label) + F.col("rp_back") - 1) < 1e-8, F.lit(False))
+    return labels.join(back, [*by, a, b], "left").select(*labels.columns, ok.alias("reciprocal"))
+
+
+def fixed_windows(frames: Column, share: float = 0.25) -> Column:
+    """Start, middle and end windows of a share of the frames (halves to even), as an
+    array of (width, position, first); none where three do not fit."""
+    w = F.bround(F.lit(share) * frames).cast("long")
+    at = lambda name, first: F.struct(w.alias("width"), F.lit(name).alias("position"), first.cast("long").alias("first"))
+    every = F.array(at("start", F.lit(0)), at("middle", F.floor((frames - w) / 2)), at("end", frames - w))
+    return F.when((w > 0) & (3 * w <= frames), every)
+
+
+def equal_windows(frames: Column, windows: Column) -> Column:
+    """``windows`` neighbouring windows of about equal length, as an array of (i, first,
+    weight), the weight being the length."""
+    edge = lambda i: F.floor(i * frames / windows).cast("long")
+    return F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.struct(i.alias("i"), edge(i).alias("first"), (edge(i + 1) - edge(i)).alias("weight")))
+
+
+def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
+    """(shard, place) by the row's number in the order of a unique column; sorting
+    by place, then shard, restores it. Numbers come from counts of sorted partitions."""
+    part, local = F.spark_partition_id(), F.row_number().over(Window.partitionBy("rr_part").orderBy(order))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of the order, numbered by their least value, so that equal plans are not needed.
+    ranged = rows.repartitionByRange(n, order).withColumn("rr_part", part)
+    sizes = ranged.groupBy("rr_part").agg(F.count(F.lit(1)).alias("rr_n"))
+    earlier = Window.orderBy("rr_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = sizes.select("rr_part", F.coalesce(F.sum("rr_n").over(earlier), F.lit(0)).alias("rr_before"))
+    i = F.col("rr_before") + F.col("rr_i") - 1
+    out = ranged.withColumn("rr_i", local).join(F.broadcast(before), "rr_part")  # one row a range
+    return out.select(*rows.columns, (i % shards).cast("int").alias("shard"), F.floor(i / shards).alias("place"))
+
+
+def alias_closure(rows: DataFrame, alias: str, target: str) -> DataFrame:
+    """(alias, canonical) by following ``target`` until there is none. Each round
+    doubles the steps, so chains of any length take logarithmic rounds; an alias that leads
+    into a cycle fails the query."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = rows.select(F.col(alias).alias("a"), F.coalesce(target, alias).alias("to")).checkpoint()
+    n = at.count()
+    for k in range(64):
+        nxt = at.select(F.col("a").alias("to"), F.col("to").alias("over"))
+        step = at.join(nxt, "to", "left").select("a", F.coalesce("over", "to").alias("to"), (F.coalesce("over", "to") != F.col("to")).alias("moved")).checkpoint()
+        at = step.select("a", "to")
+        if step.filter("moved").isEmpty():
+            break
+        if n < 2**k:  # more steps than there are aliases: a cycle
+            raise ValueError("aliases form a cycle")
+    ends = rows.select(F.col(alias).alias("to"), F.col(target).isNull().alias("end"))
+    checked = at.join(ends, "to", "left").withColumn("ok", F.when(F.coalesce("end", F.lit(True)), True).otherwise(F.raise_error(F.lit("aliases form a cycle"))))
+    return checked.filter("ok").select(F.col("a").alias(alias), F.col("to").alias("canonical"))

@@ -16,7 +16,6 @@ from tallyframe.operators import contracts as C
 from tallyframe.operators import dataprep as D
 from tallyframe.operators import relational as R
 from tallyframe.operators import stats as K
-from tallyframe.plans import reports, semantic  # noqa: F401 - they register their queries
 from tallyframe.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
 # ---- pairs: prompt = brand, model = line number mod 4 ------------------------------------
@@ -813,3 +812,6 @@ SELECT user_id, array_to_string([x FOR x IN [round_even(i * 24.0 / 10.0, 0)::BIG
 def resampled_frames(spark, d):  # G16, G17
     n = read(spark, d, "events", "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("frames"))
     return n.select("user_id", F.array_join(R.resample_indices(F.col("frames"), 24.0, 10.0), ",").alias("kept"), R.alternating_phase(F.col("frames"), 0).alias("phase"))
+
+
+from tallyframe.plans import reports, semantic  # noqa: E402, F401 - they register queries too, over tables made here
