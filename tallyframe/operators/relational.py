@@ -225,18 +225,28 @@ def equal_windows(frames: Column, windows: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.struct(i.alias("i"), edge(i).alias("first"), (edge(i + 1) - edge(i)).alias("weight")))
 
 
+def cumulated(rows: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``rows`` with the sum of each column over all rows before, under the new name given;
+    ``order`` tells rows apart. No task sees more than a range of the order: a range's sums
+    are added up apart, one row a range."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, as a second run could cut the ranges elsewhere.
+    ranged = rows.repartitionByRange(n, *order).withColumn("cu_part", F.spark_partition_id()).checkpoint()
+    totals = ranged.groupBy("cu_part").agg(*(F.sum(c).alias(f"cu_{new}") for c, new in sums.items()))
+    earlier = Window.orderBy("cu_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("cu_part", *(F.coalesce(F.sum(f"cu_{new}").over(earlier), F.lit(0)).alias(f"cu_{new}") for new in sums.values()))
+    before = Window.partitionBy("cu_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({new: F.coalesce(F.sum(c).over(before), F.lit(0)) for c, new in sums.items()})
+    both = local.join(F.broadcast(totals), "cu_part")  # at most a row a shuffle partition
+    return both.select(*rows.columns, *((F.col(new) + F.col(f"cu_{new}")).alias(new) for new in sums.values()))
+
+
 def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
     """(shard, place) by the row's number in the order of a unique column; sorting
-    by place, then shard, restores it. Numbers come from counts of sorted partitions."""
-    part, local = F.spark_partition_id(), F.row_number().over(Window.partitionBy("rr_part").orderBy(order))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges of the order, numbered by their least value, so that equal plans are not needed.
-    ranged = rows.repartitionByRange(n, order).withColumn("rr_part", part)
-    sizes = ranged.groupBy("rr_part").agg(F.count(F.lit(1)).alias("rr_n"))
-    earlier = Window.orderBy("rr_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = sizes.select("rr_part", F.coalesce(F.sum("rr_n").over(earlier), F.lit(0)).alias("rr_before"))
-    i = F.col("rr_before") + F.col("rr_i") - 1
-    out = ranged.withColumn("rr_i", local).join(F.broadcast(before), "rr_part")  # one row a range
+    by place, then shard, restores it."""
+    i = F.col("rr_i")
+    out = cumulated(rows.withColumn("rr_one", F.lit(1).cast("long")), [order], {"rr_one": "rr_i"})
     return out.select(*rows.columns, (i % shards).cast("int").alias("shard"), F.floor(i / shards).alias("place"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.scores import outcome
 from tallyframe.functions.text import hash_int
+from tallyframe.operators.relational import cumulated
 
 
 def coverage_summary(rows: DataFrame, by: list[str], score: str = "score", digits: int = 6) -> DataFrame:
@@ -35,11 +36,10 @@ def tie_margin(pairs: DataFrame) -> DataFrame:
     by = d.groupBy("m").agg(F.count_if(F.col("label") == 0.5).alias("ties"), F.count_if(((F.col("d") > 0) & (F.col("label") == 1.0)) | ((F.col("d") < 0) & (F.col("label") == 0.0))).alias("signs"), F.count(F.lit(1)).alias("n"))
     zero = pairs.sparkSession.createDataFrame([(0.0, 0, 0, 0)], "m double, ties long, signs long, n long")
     by = by.unionByName(zero).groupBy("m").agg(F.sum("ties").alias("ties"), F.sum("signs").alias("signs"), F.sum("n").alias("n"))
-    upto = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)  # one row a distinct difference
-    beyond = Window.orderBy("m").rowsBetween(1, Window.unboundedFollowing)
-    right = F.sum("ties").over(upto) + F.coalesce(F.sum("signs").over(beyond), F.lit(0))
-    tried = by.select("m", right.alias("right"), F.sum("n").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    best = tried.agg(F.min_by("m", F.struct(-F.col("right"), "m")).alias("margin"), F.max("right").alias("right"), F.first("n").alias("n"))
+    total = by.agg(F.sum("signs").alias("all_signs"), F.sum("n").alias("all_n"))
+    tried = cumulated(by, ["m"], {"ties": "ties_before", "signs": "signs_before"}).crossJoin(F.broadcast(total))  # one row
+    right = F.col("ties_before") + F.col("ties") + F.col("all_signs") - F.col("signs_before") - F.col("signs")
+    best = tried.withColumn("right", right).agg(F.min_by("m", F.struct(-F.col("right"), "m")).alias("margin"), F.max("right").alias("right"), F.first("all_n").alias("n"))
     return best.select(F.round("margin", 9).alias("margin"), F.round(F.col("right") / F.col("n"), 6).alias("dev_accuracy"))
 
 
@@ -77,11 +77,18 @@ def auc_half_ties(rows: DataFrame, positive: Column, value: str) -> DataFrame:
     """probability that a positive's value exceeds a negative's, ties half, from
     counts per distinct value."""
     by = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = by.select("p", "q", below.alias("below"))
+    at = cumulated(by, [value], {"q": "below"})
     return at.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
+def mid_rank(rows: DataFrame, column: str, rank: str) -> DataFrame:
+    """``rows`` with the rank of a value, ties at the middle, from counts per distinct
+    value; rows with a null value go."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("mr_n"))
+    at = cumulated(counts, [column], {"mr_n": "mr_before"})
+    return rows.join(at.select(column, (F.col("mr_before") + (F.col("mr_n") + 1) / 2.0).alias(rank)), column)
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int, seed: int, weight: Column | None = None) -> DataFrame:
     """95 % interval of a ratio of sums when whole clusters are drawn again.
 

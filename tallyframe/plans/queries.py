@@ -628,8 +628,7 @@ r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2
 SELECT round(corr(ra, rn), 5) AS spearman FROM r""")
 def spearman_levels(spark, d):  # ranks from counts per distinct value, ties at the middle
     b = read(spark, d, "orders", "o_custkey", "o_totalprice").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("a"), F.count(F.lit(1)).alias("n"))
-    mid = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    return b.select(mid("a").alias("ra"), mid("n").alias("rn")).agg(F.round(F.corr("ra", "rn"), 5).alias("spearman"))
+    return K.mid_rank(K.mid_rank(b, "a", "ra"), "n", "rn").agg(F.round(F.corr("ra", "rn"), 5).alias("spearman"))
 
 
 # ---- boxes: frame = order, detection = line ------------------------------------------------------
