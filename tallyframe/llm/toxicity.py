@@ -250,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, limit:
     if not (toxic == 0).any():
         toxic, words, hits = np.append(toxic, np.zeros(2 * known)), np.append(words, np.full(2 * known, 100)), np.vstack([hits, np.zeros((2 * known, voters.n))])
     v = votes(hits, words, voters.terms)
-    # Begun at the voters' majority instead, the model takes texts with one vote for clean.
+    # Begun at the voters' majority instead, it finds fewer of the toxic texts held out.
     model = fit_label_model(v, np.clip(toxic, 0.05, 0.95), float(toxic.mean()))
     return Model(voters, fit_linear(features(hits, words, voters.terms), model.posterior(v)), model)
 
