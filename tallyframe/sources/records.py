@@ -26,6 +26,23 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def read_jsonl_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Like ``read_jsonl``, but a file that is not there has no rows."""
+    return read_jsonl(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_projected(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Only these columns of a Parquet table; a table without rows fails the query."""
+    rows = spark.read.parquet(path).select(*columns)
+    n = rows.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit(f"no rows in {path}"))).alias("_n"))
+    return rows.join(F.broadcast(n), F.col("_n") > 0).drop("_n")  # one row
+
+
 def manifest(rows: DataFrame) -> DataFrame:
     """(video, prompt, dimensions) rows with canonical dimensions and a derived id.
     An id that stands twice fails the query."""
@@ -102,11 +119,67 @@ def canonical_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*(f"`{c}`" for c in sorted(rows.columns)))).alias("value"))
 
 
+def content_digest(rows: DataFrame, each: int = 10_000) -> str:
+    """The SHA-256 of a table, whatever its order or split: of the digests of groups of rows
+    by the beginning of their own digests, about ``each`` rows a group."""
+    hashes = canonical_json(rows).select(F.sha2("value", 256).alias("h"))
+    digits, n = 0, rows.count()
+    while n > each * 16**digits:
+        digits += 1
+    top = hashes.groupBy(F.left("h", F.lit(digits)).alias("g")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    while digits > 3:  # levels of 4,096 groups, so that no list is long
+        digits -= 3
+        top = top.groupBy(F.left("g", F.lit(digits)).alias("g")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")
+    return top.agg(F.sha2(F.concat(F.lit(f"{n}:"), whole), 256).alias("h")).first()["h"]
+
+
 def write_content_addressed(rows: DataFrame, folder: str, kind: str) -> str:
-    """Writes the rows under the hash of what they are, whatever their order or split,
-    and returns the path. Equal rows give the same path; writing them again changes nothing."""
-    lines = canonical_json(rows)
-    digest = lines.agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "value"))), 256).alias("h")).first()["h"]
-    path = f"{folder.rstrip('/')}/{kind}-{digest}"
-    lines.write.mode("overwrite").text(path)
+    """Writes the rows under the SHA-256 of what they are and returns the path. Equal
+    rows give the same path, and what is complete there is not written again."""
+    path = f"{folder.rstrip('/')}/{kind}-{content_digest(rows)}"
+    if not exists(rows.sparkSession, f"{path}/_SUCCESS"):
+        canonical_json(rows).write.mode("overwrite").text(path)  # over a write that did not end
     return path
+
+
+def write_once(rows: DataFrame, path: str) -> None:
+    """Writes JSON lines to a fresh place. Equal rows may be written again, which does
+    nothing; other rows raise ValueError."""
+    if not exists(rows.sparkSession, path):
+        canonical_json(rows).write.text(path)
+        return
+    there = rows.sparkSession.read.schema(rows.schema).json(path, mode="FAILFAST")
+    if content_digest(there) != content_digest(rows):
+        raise ValueError(f"{path} holds other rows")
+
+
+def write_results(rows: DataFrame, folder: str, first: tuple[str, ...] = ("id", "status", "score")) -> None:
+    """``rows`` with a struct ``metric`` spread into columns (a name that is there
+    already raises ValueError), as results.jsonl with everything and results.csv with the
+    scalars, ``first`` leading, and summary.json. Nothing is written over."""
+    out = rows
+    if "metric" in rows.columns:
+        inner = rows.schema["metric"].dataType.names
+        if clash := sorted(set(inner) & set(rows.columns)):
+            raise ValueError(f"metric has columns {clash} that rows have too")
+        out = rows.select(*(c for c in rows.columns if c != "metric"), "metric.*")
+    scalar = [c for c, kind in out.dtypes if not kind.startswith(("array", "map", "struct", "variant"))]
+    order = [c for c in first if c in scalar] + [c for c in scalar if c not in first]
+    canonical_json(out).write.text(f"{folder}/results.jsonl")
+    out.select(*order).write.csv(f"{folder}/results.csv", header=True)
+    n = F.count(F.lit(1))
+    good = F.count_if(F.col("status") == "succeeded")
+    out.agg(n.alias("requested"), good.alias("succeeded"), (n == good).alias("complete")).coalesce(1).write.json(f"{folder}/summary.json")
+
+
+def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str, task: str) -> DataFrame:
+    """Candidates and quarantined rows of each ``task`` in folders of their own, sorted
+    within files by ``sample_id``, and the inventory (kind, task, n), which is written too."""
+    counts = None
+    for kind, rows in (("candidates", candidates), ("quarantine", quarantine)):
+        rows.repartition(task).sortWithinPartitions(task, "sample_id").write.partitionBy(task).json(f"{folder}/{kind}")
+        n = rows.groupBy(task).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), task, "n")
+        counts = n if counts is None else counts.unionByName(n)
+    counts.coalesce(1).write.json(f"{folder}/inventory")
+    return counts

@@ -57,3 +57,26 @@ def test_prompts_shards_and_artifacts(spark, tmp_path):
     assert sorted((r.video, r.fps) for r in R.with_metadata(v, m).collect()) == [("d/a.mp4", 7), ("d/b.mp4", None)]
     with pytest.raises(Exception, match="duplicate key"):
         R.with_metadata(v, m.unionByName(m)).collect()
+
+
+def test_sinks_write_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "succeeded", 0.5, (7, [1])), (2, "failed", None, (8, []))], "id int, status string, score double, metric struct<fps:int,frames:array<int>>")
+    R.write_results(rows, f"{tmp_path}/out")
+    assert R.read_csv(spark, f"{tmp_path}/out/results.csv", "id int, status string, score double, fps int").count() == 2
+    assert spark.read.json(f"{tmp_path}/out/summary.json").first().asDict() == {"complete": False, "requested": 2, "succeeded": 1}
+    with pytest.raises(Exception, match="already exists"):
+        R.write_results(rows, f"{tmp_path}/out")
+    with pytest.raises(ValueError, match="fps"):
+        R.write_results(rows.withColumn("fps", rows.id), f"{tmp_path}/other")
+    flat = rows.select("id", "status", "score")
+    R.write_once(flat, f"{tmp_path}/once")
+    R.write_once(flat.repartition(3), f"{tmp_path}/once")
+    with pytest.raises(ValueError, match="other rows"):
+        R.write_once(flat.filter("id = 1"), f"{tmp_path}/once")
+    assert R.content_digest(flat, 1) != R.content_digest(flat.unionByName(flat), 1)
+    many = spark.range(3000).selectExpr("id", "id % 7 AS v")
+    assert R.content_digest(many, 1) == R.content_digest(many.repartition(5), 1) != R.content_digest(many.filter("id < 2999"), 1)
+    assert R.read_jsonl_or_empty(spark, f"{tmp_path}/none", "a int").count() == 0
+    flat.filter("id > 5").write.parquet(f"{tmp_path}/empty")
+    with pytest.raises(Exception, match="no rows"):
+        R.read_projected(spark, f"{tmp_path}/empty", ["id"]).collect()
