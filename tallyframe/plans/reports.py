@@ -205,9 +205,9 @@ def alias_closure(spark, d):  # I09: an alias leads to the end of its chain; a c
     return R.alias_closure(p.withColumn("target", target), "alias", "target")
 
 
-@query("""SELECT o_custkey, round(avg(o_totalprice / 100), 4) AS scaled FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, round(avg(o_totalprice / 100), 9) AS scaled FROM orders GROUP BY 1""")
 def scaled_means(spark, d):  # F05
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.avg(F.col("o_totalprice") / 100), 4).alias("scaled"))
+    return read(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.avg(F.col("o_totalprice") / 100), 9).alias("scaled"))
 
 
 @query("""SELECT l_orderkey, count(*) AS edited, count_if(l_returnflag <> 'N') AS present, count_if(l_returnflag = 'N') = count(*) AS occluded FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1""")
