@@ -690,6 +690,23 @@ def hourly_windows(spark, d):  # S: tumbling windows, the batch form of streamin
     return w.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, d):  # S: the batch form of streaming.windows
+    from tallyframe.streaming.windows import sessions
+
+    s = sessions(read(spark, d, "events"), "6 hours")
+    return s.select("user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "n")
+
+
+@query("""SELECT event_type, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
+def first_events(spark, d):  # S: the batch form of streaming.windows
+    from tallyframe.streaming.windows import first_by_key
+
+    return first_by_key(read(spark, d, "events", "ts", "event_id", "user_id", "event_type"), "event_type").select("event_type", "event_id", "user_id")
+
+
 PAIRED_SQL = """r AS (SELECT source, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS a, CASE WHEN doc_id % 11 <> 0 THEN length(replace(text, ' ', '')) END AS b FROM documents)"""
 
 

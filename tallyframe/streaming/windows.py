@@ -27,6 +27,10 @@ def sessions(events: DataFrame, gap: str, late: str = "2 hours") -> DataFrame:
 
 
 def first_by_key(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
-    """The first event of each key within the watermark, as upserts need it."""
+    """The first event of each key, as upserts need it: in a table by time, then by the other
+    columns; on a stream the first that arrives within the watermark."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else e.dropDuplicates([key])
+    if events.isStreaming:
+        return e.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    rest = [c for c in e.columns if c not in ("ts", key)]
+    return e.groupBy(key).agg(F.min(F.struct("ts", *rest)).alias("fk_first")).select(*(key if c == key else f"fk_first.{c}" for c in e.columns))
