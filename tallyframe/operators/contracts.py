@@ -66,3 +66,14 @@ def reviewed(rows: DataFrame, review: DataFrame, keys: list[str], fields: list[s
     for f in fields:
         same = same & F.col(f).eqNullSafe(F.col(f"rv_{f}"))
     return require(both, same, F.concat(F.lit("review of other content: "), F.to_json(F.struct(*keys)))).select(*rows.columns)
+
+
+def recomputed(published: DataFrame, fresh: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """The keys and values in which ``published`` is not what was computed anew: more
+    than ``tolerance`` apart, on one side only, or null on one side."""
+    a = published.select(*keys, *(F.col(v).cast("double").alias(f"p_{v}") for v in values), F.lit(1).alias("rc_p"))
+    b = fresh.select(*keys, *(F.col(v).cast("double").alias(f"f_{v}") for v in values), F.lit(1).alias("rc_f"))
+    both = a.join(b, keys, "full")
+    one = F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(f"p_{v}").alias("published"), F.col(f"f_{v}").alias("fresh")) for v in values)))
+    apart = ~F.coalesce(F.abs(F.col("x.published") - F.col("x.fresh")) <= tolerance, F.col("x.published").isNull() & F.col("x.fresh").isNull())
+    return both.select(*keys, (F.col("rc_p").isNull() | F.col("rc_f").isNull()).alias("alone"), one.alias("x")).filter(apart | F.col("alone")).select(*keys, "x.field", "x.published", "x.fresh")

@@ -78,3 +78,35 @@ def sharded_scores(spark, d):  # A15: only shards whose receipt counts their row
     li = read(spark, d, "lineitem", "l_suppkey", "l_quantity").select((F.col("l_suppkey") % 7).alias("shard"), "l_quantity")
     receipts = li.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", F.lit(True).alias("complete"), F.lit("v1").alias("protocol"), "n")
     return S.complete_shards(li, receipts, "v1").groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def json_arrays(spark, d):  # A08, A06: one array of all parts in a file, as metadata.json beside them
+    path = fresh(spark, "array")
+    p = read(spark, d, "part", "p_partkey", "p_name", "p_size")
+    # One array a folder of the source; here some thousand parts make each.
+    arrays = p.groupBy((F.col("p_partkey") % 8).alias("k")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("value"))
+    arrays.write.partitionBy("k").text(f"{path}/metadata.json")  # a row, so a file, a folder
+    return S.read_json_array(spark, S.find_metadata(spark, path), p.schema).drop("k")
+
+
+@query("""WITH j AS (SELECT o_custkey AS item, o_orderkey AS seq, o_totalprice AS spent FROM orders) SELECT item, max(seq) AS seq, round(max_by(spent, seq), 2) AS spent FROM j GROUP BY 1""")
+def journal_entries(spark, d):  # B03: three appends, then the last entry of each item
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("spent"))
+    path = fresh(spark, "journal")
+    for k in range(3):
+        S.append_journal(o.filter(F.col("seq") % 3 == k), path)
+    return S.latest_entries(S.read_jsonl(spark, path, o.schema), "item", "seq").select("item", "seq", F.round("spent", 2).alias("spent"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS priority, count(*) AS n, '[' || min(o_orderkey) || ',' || max(o_orderkey) || ']' AS ends FROM orders GROUP BY 1)
+SELECT 'csv' AS form, priority, n, ends FROM r UNION ALL SELECT 'md', priority, n, ends FROM r""")
+def report_files(spark, d):  # B07: read back from the CSV and from the Markdown
+    o = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.array(F.min("o_orderkey"), F.max("o_orderkey")).alias("ends"))
+    folder = fresh(spark, "report")
+    S.write_report(o, folder, ["priority"])
+    csv = S.read_csv(spark, f"{folder}/report.csv", "priority string, n long, ends string")
+    cell = lambda i: F.trim(F.get(F.split("value", r" \| "), F.lit(i)))
+    md = spark.read.text(f"{folder}/report.md").filter("value not like '| priority%' and value not like '| ---%'")
+    md = md.select(F.ltrim(cell(0), F.lit("| ")).alias("priority"), cell(1).cast("long").alias("n"), F.rtrim(cell(2), F.lit(" |")).alias("ends"))
+    return csv.select(F.lit("csv").alias("form"), "*").unionByName(md.select(F.lit("md").alias("form"), "*"))

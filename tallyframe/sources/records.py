@@ -183,3 +183,51 @@ def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str,
         counts = n if counts is None else counts.unionByName(n)
     counts.coalesce(1).write.json(f"{folder}/inventory")
     return counts
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The elements of the top-level array in each file; a file cut short fails the
+    query, what follows the array is not read. A file is read by one task, so large sources
+    should be many files."""
+    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+
+
+def find_metadata(spark: SparkSession, videos: str, explicit: str | None = None) -> str | None:
+    """The path given, which must exist, else ``metadata.json`` in the folder of the
+    videos, if it is there."""
+    if explicit is not None:
+        if not exists(spark, explicit):
+            raise FileNotFoundError(explicit)
+        return explicit
+    beside = f"{videos.rstrip('/')}/metadata.json"
+    return beside if exists(spark, beside) else None
+
+
+def append_journal(rows: DataFrame, path: str) -> None:
+    """Adds rows to a journal of JSON lines. Spark's commit makes either all of them or
+    none visible; earlier entries are never touched."""
+    canonical_json(rows).write.mode("append").text(path)
+
+
+def latest_entries(journal: DataFrame, key: str, order: str) -> DataFrame:
+    """The last entry of each key in a journal, by ``order``."""
+    return journal.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in journal.columns if c != key)), order).alias("x")).select(key, "x.*")
+
+
+def report_cells(report: DataFrame) -> DataFrame:
+    """A report with lists, maps and structs as JSON in one cell."""
+    flat = lambda c, kind: F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`")
+    return report.select(*(flat(c, kind) for c, kind in report.dtypes))
+
+
+def write_report(report: DataFrame, folder: str, order: list[str]) -> None:
+    """A report as report.csv and, as a table in Markdown, report.md, both in one file,
+    sorted by ``order``; nothing is written over. A report has a row a group of a design."""
+    cells = report_cells(report).orderBy(*order).coalesce(1)
+    cells.write.csv(f"{folder}/report.csv", header=True)
+    text = lambda c: F.coalesce(F.replace(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(text(c) for c in cells.columns)), F.lit(" |"))
+    head = [f"| {' | '.join(cells.columns)} |", f"| {' | '.join('---' for _ in cells.columns)} |"]
+    rows = cells.select(line.alias("value"))
+    top = report.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1)
+    top.unionByName(rows).coalesce(1).write.text(f"{folder}/report.md")
