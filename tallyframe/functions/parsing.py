@@ -55,13 +55,17 @@ def _between(text: Column, start: Column, end: Column) -> Column:
 
 def relation_target(prompt: Column) -> Column:
     """(subject, relation, object) around the first relation that the prompt names."""
-    low, out = F.lower(prompt), None
+    low, pick = F.lower(prompt), None
     for name, phrase in RELATION_PHRASES.items():
-        at = F.instr(low, phrase)
-        rest = F.element_at(F.split(low.substr(at + len(phrase), F.length(low)), ","), 1)
-        found = F.struct(T.canonical_entity(low.substr(F.lit(1), at - 1)).alias("subject"), F.lit(name).alias("relation"), T.canonical_entity(rest).alias("object"))
-        out = F.when(at > 0, found) if out is None else out.when(at > 0, found)
-    return out
+        here = F.struct(F.lit(name).alias("name"), F.instr(low, phrase).alias("at"), F.lit(len(phrase)).alias("n"))
+        pick = F.when(low.contains(phrase), here) if pick is None else pick.when(low.contains(phrase), here)
+
+    def sides(r: Column) -> Column:
+        rest = F.element_at(F.split(low.substr(r["at"] + r["n"], F.length(low)), ","), 1)
+        both = F.transform(F.array(low.substr(F.lit(1), r["at"] - 1), rest), T.canonical_entity)
+        return F.when(r.isNotNull(), F.struct(F.get(both, F.lit(0)).alias("subject"), r["name"].alias("relation"), F.get(both, F.lit(1)).alias("object")))
+
+    return _let(pick, sides)
 
 
 def entity_target(prompt: Column) -> Column:
