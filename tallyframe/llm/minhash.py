@@ -25,6 +25,8 @@ from tallyframe.llm.components import connected_components
 from tallyframe.llm.shingles import mix, shingle_set
 
 BANDS, ROWS = 40, 6
+#: Rows of one shingle that one task of the exact comparison holds against all of them.
+SHARE = 512
 _rng = np.random.default_rng(7)
 #: For each bin, the order in which it asks the others for a value.
 _ASKED = np.array([_rng.permutation(BANDS * ROWS) for _ in range(BANDS * ROWS)])
@@ -117,13 +119,16 @@ def _rest_pairs(texts: DataFrame, roots: DataFrame, k: int, percent: int) -> Dat
     # Of a set whose unshared shingles alone rule every partner out nothing is left.
     sets = sets.select("id", "root", n.alias("n"), shared.alias("c"), F.slice("s", 1, prefix).alias("s")).filter(F.lit(100) * F.col("c") >= F.lit(percent) * F.col("n"))
     heads = sets.select("id", "root", "n", "c", F.posexplode(F.filter("s", lambda x: x["f"] > 1)["h"]).alias("i", "h"))
-    mixed = heads.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("h")
-    heads = written(heads.join(mixed, "h", "left_semi"), "heads")
-    x, y = heads.alias("x"), heads.alias("y")
+    # A frequent shingle is dealt to shares of about SHARE heads; each meets all of them.
+    shares = F.ceil(F.count("id") / SHARE).cast("int").alias("shares")
+    mixed = heads.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), shares).filter("lo < hi").select("h", "shares")
+    heads = written(heads.join(mixed, "h"), "heads")
+    x = heads.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).alias("x")
+    y = heads.withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).alias("y")
     # With i shareable shingles of a set before the first common one, c - i can be common.
     left = F.least(F.col("x.c") - F.col("x.i"), F.col("y.c") - F.col("y.i"))
     enough = F.lit(100 + percent) * left >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & enough)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & enough)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
