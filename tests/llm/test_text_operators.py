@@ -53,8 +53,9 @@ def components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
-def test_near_duplicates_equal_brute_force(documents, k, percent):
+@pytest.mark.parametrize("k,percent,share", [(3, 85, 1), (5, 80, minhash.SHARE)])
+def test_near_duplicates_equal_brute_force(documents, monkeypatch, k, percent, share):
+    monkeypatch.setattr(minhash, "SHARE", share)
     rows = corpus()
     got = minhash.near_duplicates(documents(rows, root="r", key="k", first=1), k, percent).collect()
     assert len(got) == len(rows)
