@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import archives, bpe, minhash, mpeg, oracle, packing, quality, sharding, suffixes, token_files, toxicity
+from tallyframe.llm import archives, bpe, infill, interactions, minhash, mpeg, oracle, packing, quality, sharding, suffixes, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -71,4 +81,6 @@ SQL: dict[str, str] = {
     "op2_suffix_dedup": oracle.REPEATED_STRINGS,
     "op8_arc_to_warc": archives.query_sql(),
     "op10_quality_rules": quality.query_sql(),
+    "op11_filter_audit": interactions.QUERY_SQL,
+    "op13_fill_in_middle": infill.QUERY_SQL,
 }
