@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import archives, bpe, infill, interactions, minhash, mpeg, oracle, packing, quality, sharding, suffixes, token_files, toxicity
+from tallyframe.llm import archives, bpe, infill, interactions, minhash, mpeg, oracle, packing, quality, secret_tags, sharding, suffixes, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_tags.query(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.query(_table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op12_secret_crf": op12_secret_crf,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
