@@ -108,6 +108,13 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int, see
     return k.crossJoin(ends).select(F.col("k").alias("clusters"), F.round(F.col("ts") / F.col("tc"), 6).alias("estimate"), F.when(two, F.round("lo", 6)).alias("low"), F.when(two, F.round("hi", 6)).alias("high"))
 
 
+def top_mean(rows: DataFrame, by: str, value: str, order: str, count: Column, name: str) -> DataFrame:
+    """the mean of the ``count`` greatest values of a group (all, if there are fewer). A
+    fixed count is a limit by rank, which Spark applies before the shuffle too."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(value), order))
+    return rows.withColumn("tm_rank", rank).filter(F.col("tm_rank") <= count).groupBy(by).agg(F.avg(value).alias(name))
+
+
 def set_prf1(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
     """precision, recall and F1 of sets per row; two empty sets agree fully."""
     tp = F.size(F.array_intersect(predicted, gold))
