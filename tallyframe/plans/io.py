@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.plans.registry import query, read
+from tallyframe.sources import arrays as A
 from tallyframe.sources import records as S
 from tallyframe.sources.session import ensure_checkpoint_dir
 
@@ -81,13 +82,21 @@ def sharded_scores(spark, d):  # A15: only shards whose receipt counts their row
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
-def json_arrays(spark, d):  # A08, A06: one array of all parts in a file, as metadata.json beside them
+def json_arrays(spark, d):  # A08, A06: an array a task, in a folder metadata.json beside the videos
     path = fresh(spark, "array")
     p = read(spark, d, "part", "p_partkey", "p_name", "p_size")
-    # One array a folder of the source; here some thousand parts make each.
-    arrays = p.groupBy((F.col("p_partkey") % 8).alias("k")).agg(F.to_json(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("value"))
-    arrays.write.partitionBy("k").text(f"{path}/metadata.json")  # a row, so a file, a folder
-    return S.read_json_array(spark, S.find_metadata(spark, path), p.schema).drop("k")
+    A.write_json_arrays(p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey"), f"{path}/metadata.json")
+    return A.read_json_elements(spark, S.find_metadata(spark, path), p.schema).select("p_partkey", "p_name", "p_size")
+
+
+@query("""WITH l AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS k FROM part)
+SELECT k AS element, p_partkey, 'a "' || p_partkey || '", [' || repeat(p_partkey || ',', (p_partkey % 5)::INT) || '\\' AS note FROM l""")
+def one_array(spark, d):  # A08, H11: all parts as one array in one file, its order kept
+    path = fresh(spark, "one")
+    note = F.concat(F.lit('a "'), F.col("p_partkey"), F.lit('", ['), F.expr("repeat(concat(p_partkey, ','), int(p_partkey % 5))"), F.lit("\\"))
+    ordered = read(spark, d, "part", "p_partkey").select("p_partkey", note.alias("note")).orderBy("p_partkey").coalesce(1)  # one file is written by one task
+    A.write_json_arrays(ordered, path)
+    return A.read_json_elements(spark, path, "p_partkey long, note string").drop("file")
 
 
 @query("""WITH j AS (SELECT o_custkey AS item, o_orderkey AS seq, o_totalprice AS spent FROM orders) SELECT item, max(seq) AS seq, round(max_by(spent, seq), 2) AS spent FROM j GROUP BY 1""")

@@ -187,8 +187,8 @@ def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str,
 
 def read_json_array(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """The elements of the top-level array in each file; a file cut short fails the
-    query, what follows the array is not read. A file is read by one task, so large sources
-    should be many files."""
+    query, what follows the array is not read. A file is read by one task: for small files.
+    ``arrays.read_json_elements`` reads files of any size."""
     return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
 
 
