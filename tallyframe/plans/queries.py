@@ -830,4 +830,4 @@ def resampled_frames(spark, d):  # G16, G17
     return n.select("user_id", F.array_join(R.resample_indices(F.col("frames"), 24.0, 10.0), ",").alias("kept"), R.alternating_phase(F.col("frames"), 0).alias("phase"))
 
 
-from tallyframe.plans import construction, io, motion, parsing, reports, semantic  # noqa: E402, F401 - they register queries too, over tables made here
+from tallyframe.plans import construction, intervals, io, media, motion, parsing, reports, semantic  # noqa: E402, F401 - they register queries too, over tables made here
