@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyframe.functions.text import hash_int
+from tallyframe.operators.relational import cumulated
 
 
 def multiplicities(rows: DataFrame, cluster: str, draws: int, seed: int) -> DataFrame:
     """(b, cluster, m): how often a draw takes each cluster it takes at all."""
     keys = rows.select(F.col(cluster).alias("bs_cluster")).distinct()
-    numbered = keys.select((F.row_number().over(Window.orderBy("bs_cluster")) - 1).cast("long").alias("j"), "bs_cluster")  # one row a cluster
+    numbered = cumulated(keys.withColumn("bs_one", F.lit(1).cast("long")), ["bs_cluster"], {"bs_one": "j"})
     k = keys.agg(F.count(F.lit(1)).alias("k"))
     slots = rows.sparkSession.range(draws).select(F.col("id").alias("b")).crossJoin(F.broadcast(k)).select("b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("slot"))
     drawn = slots.groupBy("b", (hash_int(F.concat_ws(":", F.lit(str(seed)), "b", "slot")) % F.col("k")).alias("j")).agg(F.count(F.lit(1)).alias("m"))

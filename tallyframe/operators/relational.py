@@ -103,7 +103,8 @@ def group_split(rows: DataFrame, group: str, dev_percent: int, seed: int) -> Dat
     """Whole groups to dev or train, by the hash rank of the group."""
     groups = rows.select(group).distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256))
     total = groups.agg(F.count(F.lit(1)).alias("k"))
-    ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy("h", group))).crossJoin(F.broadcast(total))
+    before = cumulated(groups.withColumn("gs_one", F.lit(1).cast("long")), ["h", group], {"gs_one": "gs_before"})
+    ranked = before.withColumn("rank", F.col("gs_before") + 1).crossJoin(F.broadcast(total))  # one row
     dev = F.greatest(F.lit(1), F.round(F.col("k") * dev_percent / 100.0).cast("int"))
     sides = ranked.select(group, F.when(F.col("rank") <= dev, "dev").otherwise("train").alias("side"))
     return rows.join(sides, group)
@@ -250,6 +251,18 @@ def round_robin(rows: DataFrame, order: str, shards: int) -> DataFrame:
     return out.select(*rows.columns, (i % shards).cast("int").alias("shard"), F.floor(i / shards).alias("place"))
 
 
+def round_robin_take(rows: DataFrame, key: str, order: str, per_key: int | None = None, limit: int | None = None) -> DataFrame:
+    """``rows`` with ``place``, from 0: the first row of every key, the keys as they are
+    first seen in the order of a unique column, then the second of every key, and so on; at
+    most ``per_key`` rows of a key and ``limit`` of all. Null keys are one key."""
+    first = rows.groupBy(F.col(key).alias("rr_key")).agg(F.min(order).alias("rr_first"))
+    turn = rows.withColumn("rr_turn", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    turn = turn if per_key is None else turn.filter(F.col("rr_turn") <= per_key)
+    both = turn.join(first, F.col(key).eqNullSafe(F.col("rr_key"))).withColumn("rr_one", F.lit(1).cast("long"))
+    placed = cumulated(both, ["rr_turn", "rr_first"], {"rr_one": "place"})
+    return (placed if limit is None else placed.filter(F.col("place") < limit)).select(*rows.columns, "place")
+
+
 def alias_closure(rows: DataFrame, alias: str, target: str) -> DataFrame:
     """(alias, canonical) by following ``target`` until there is none. Each round
     doubles the steps, so chains of any length take logarithmic rounds; an alias that leads

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tallyframe.functions.scores import outcome
 from tallyframe.functions.text import hash_int
+from tallyframe.operators.concordance import tau_b as kendall_tau_b  # noqa: F401 - F25
 from tallyframe.operators.relational import cumulated
 
 
@@ -50,29 +51,6 @@ def win_ratios(pairs: DataFrame) -> DataFrame:
     return rows.filter("p is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("win_ratio"), F.round(F.avg("l"), 6).alias("label_ratio"))
 
 
-def kendall_tau_b(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """tau-b of a value against a label of few levels, from cumulated counts per value."""
-    by = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
-    totals = by.groupBy(y).agg(F.sum("n").alias("ny"))
-    # Levels are few, values many: compare per level through a merge on the value order.
-    levels = by.select(F.col(y).alias("lv")).distinct()
-    spread = by.select(x, y, "n").crossJoin(F.broadcast(levels)).filter(F.col(y) != F.col("lv"))
-    events = spread.select(F.col("lv"), F.col(y).alias("own"), F.col(x).alias("v"), F.col("n").alias("n"), F.lit(0).cast("long").alias("m"))
-    marks = by.crossJoin(F.broadcast(levels.withColumnRenamed("lv", "own"))).filter(F.col(y) != F.col("own")).select(F.col(y).alias("lv"), "own", F.col(x).alias("v"), F.lit(0).cast("long").alias("n"), F.col("n").alias("m"))
-    w = Window.partitionBy("own", "lv").orderBy("v")
-    merged = events.unionByName(marks).groupBy("own", "lv", "v").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    less = F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("m").over(Window.partitionBy("own", "lv"))
-    at = merged.select("own", "lv", "n", F.coalesce(less, F.lit(0)).alias("less"), (total - F.coalesce(less, F.lit(0)) - F.col("m")).alias("more"))
-    up = F.when(F.col("own") > F.col("lv"), F.col("less") - F.col("more")).otherwise(F.col("more") - F.col("less"))
-    s = at.agg(F.sum(F.col("n") * up).alias("s2"))
-    half = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    tx = by.groupBy(x).agg(F.sum("n").alias("k")).agg(half("k").alias("tx"), F.sum("k").alias("total"))
-    ty = totals.agg(half("ny").alias("ty"))
-    pairs = F.col("total") * (F.col("total") - 1) / 2
-    return s.crossJoin(tx).crossJoin(ty).select(F.round(F.col("s2") / 2 / F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty"))), 6).alias("tau_b"))
-
-
 def auc_half_ties(rows: DataFrame, positive: Column, value: str) -> DataFrame:
     """probability that a positive's value exceeds a negative's, ties half, from
     counts per distinct value."""
@@ -99,7 +77,7 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int, see
     w = weight if weight is not None else F.lit(1.0)
     sums = rows.filter(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("bs_cluster")).agg(F.sum(F.col(value).cast("double")).alias("bs_s"), F.sum(w.cast("double")).alias("bs_n"))
     k = sums.agg(F.count(F.lit(1)).alias("k"), F.sum("bs_s").alias("ts"), F.sum("bs_n").alias("tc"))
-    numbered = sums.select((F.row_number().over(Window.orderBy("bs_cluster")) - 1).cast("long").alias("j"), "bs_s", "bs_n")
+    numbered = cumulated(sums.withColumn("bs_one", F.lit(1).cast("long")), ["bs_cluster"], {"bs_one": "j"}).select("j", "bs_s", "bs_n")
     slots = rows.sparkSession.range(draws).select(F.col("id").alias("b")).crossJoin(F.broadcast(k)).select("b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("slot"))
     drawn = slots.select("b", (hash_int(F.concat_ws(":", F.lit(str(seed)), "b", "slot")) % F.col("k")).alias("j"))
     each = drawn.join(numbered, "j").groupBy("b").agg((F.sum("bs_s") / F.sum("bs_n")).alias("r"))
@@ -135,7 +113,7 @@ def paired_bootstrap(rows: DataFrame, cluster: str, a: str, b: str, draws: int,
     both = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     sums = both.groupBy(F.col(cluster).alias("bs_cluster")).agg(F.sum(F.col(a).cast("double")).alias("bs_a"), F.sum(F.col(b).cast("double")).alias("bs_b"), F.count(F.lit(1)).alias("bs_n"))
     k = sums.agg(F.count(F.lit(1)).alias("k"), F.sum("bs_a").alias("ta"), F.sum("bs_b").alias("tb"), F.sum("bs_n").alias("tn"))
-    numbered = sums.select((F.row_number().over(Window.orderBy("bs_cluster")) - 1).cast("long").alias("j"), "bs_a", "bs_b", "bs_n")  # one row a cluster
+    numbered = cumulated(sums.withColumn("bs_one", F.lit(1).cast("long")), ["bs_cluster"], {"bs_one": "j"}).select("j", "bs_a", "bs_b", "bs_n")
     slots = rows.sparkSession.range(draws).select(F.col("id").alias("b")).crossJoin(F.broadcast(k)).select("b", "k", F.explode(F.expr("sequence(0L, k - 1)")).alias("slot"))
     drawn = slots.select("b", (hash_int(F.concat_ws(":", F.lit(str(seed)), "b", "slot")) % F.col("k")).alias("j"))
     each = drawn.join(numbered, "j").groupBy("b").agg(((F.sum("bs_b") - F.sum("bs_a")) / F.sum("bs_n")).alias("r"))

@@ -16,6 +16,7 @@ from tallyframe.operators import contracts as C
 from tallyframe.operators import dataprep as D
 from tallyframe.operators import relational as R
 from tallyframe.operators import stats as K
+from tallyframe.operators.quantiles import exact_quantiles
 from tallyframe.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
 # ---- pairs: prompt = brand, model = line number mod 4 ------------------------------------
@@ -167,8 +168,10 @@ def grouping_report(spark, d):  # F22
 @query("""SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.05), 4) AS q05, round(quantile_cont(c_acctbal, 0.25), 4) AS q25, round(quantile_cont(c_acctbal, 0.5), 4) AS q50,
        round(quantile_cont(c_acctbal, 0.75), 4) AS q75, round(quantile_cont(c_acctbal, 0.95), 4) AS q95, max(c_acctbal) AS most FROM customer GROUP BY 1""")
 def quantile_report(spark, d):  # F21
-    q = {f"q{int(100 * x):02d}": F.round(F.percentile("c_acctbal", F.lit(x)), 4) for x in (0.05, 0.25, 0.5, 0.75, 0.95)}
-    return read(spark, d, "customer").groupBy("c_mktsegment").agg(*(c.alias(n) for n, c in q.items()), F.max("c_acctbal").alias("most"))
+    q = {f"q{int(100 * x):02d}": x for x in (0.05, 0.25, 0.5, 0.75, 0.95)}
+    c = read(spark, d, "customer", "c_mktsegment", "c_acctbal")
+    most = c.groupBy("c_mktsegment").agg(F.max("c_acctbal").alias("most"))
+    return exact_quantiles(c, ["c_mktsegment"], "c_acctbal", q).select("c_mktsegment", *(F.round(n, 4).alias(n) for n in q)).join(most, "c_mktsegment")
 
 
 # ---- paired designs: base = supplier, family = return flag, level = line number ------------
@@ -313,7 +316,9 @@ def top_fraction_mean(spark, d):  # F15
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 5) AS mean, round(median(value), 5) AS median, max(value) AS most FROM events GROUP BY 1""")
 def motion_statistics(spark, d):  # F16
-    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.round(F.median("value"), 5).alias("median"), F.max("value").alias("most"))
+    e = read(spark, d, "events", "event_type", "value")
+    rest = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.max("value").alias("most"))
+    return rest.join(exact_quantiles(e, ["event_type"], "value", {"median": 0.5}), "event_type").withColumn("median", F.round("median", 5))
 
 
 @query(f"""WITH {STEPS_SQL}, p AS (SELECT event_type, dt / 1e6 AS x, abs(dv) AS y FROM s WHERE dt > 0 AND abs(dv) > 0)
@@ -679,7 +684,15 @@ SELECT p_partkey, (row_number() OVER (ORDER BY k, p_brand))::INT AS place FROM r
 def round_robin_manifest(spark, d):  # A18: at most three of each brand, brands in turn
     k = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     r = read(spark, d, "part", "p_brand", "p_partkey").withColumn("k", k)
-    return r.filter("k <= 3").select("p_partkey", F.row_number().over(Window.orderBy("k", "p_brand")).alias("place"))
+    placed = R.cumulated(r.filter("k <= 3").withColumn("one", F.lit(1).cast("long")), ["k", "p_brand"], {"one": "before"})
+    return placed.select("p_partkey", (F.col("before") + 1).cast("int").alias("place"))
+
+
+@query("""WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS k, max(p_partkey) OVER (PARTITION BY p_brand) AS first_seen FROM part)
+SELECT p_partkey, place FROM (SELECT p_partkey, row_number() OVER (ORDER BY k, first_seen DESC) - 1 AS place FROM r WHERE k <= 5) WHERE place < 60""")
+def first_seen_turns(spark, d):  # A18: brands as the parts show them from the last on, five of each and sixty in all
+    p = read(spark, d, "part", "p_brand", "p_partkey").withColumn("o", -F.col("p_partkey"))
+    return R.round_robin_take(p, "p_brand", "o", 5, 60).select("p_partkey", "place")
 
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS hour_us, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2""")
@@ -830,4 +843,4 @@ def resampled_frames(spark, d):  # G16, G17
     return n.select("user_id", F.array_join(R.resample_indices(F.col("frames"), 24.0, 10.0), ",").alias("kept"), R.alternating_phase(F.col("frames"), 0).alias("phase"))
 
 
-from tallyframe.plans import construction, intervals, io, media, motion, parsing, reports, semantic  # noqa: E402, F401 - they register queries too, over tables made here
+from tallyframe.plans import construction, intervals, io, media, motion, parsing, reports, semantic, statistics  # noqa: E402, F401 - they register queries too, over tables made here
