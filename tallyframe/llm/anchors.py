@@ -17,6 +17,7 @@ GRAM = 48
 _POSITION = np.uint64((1 << 20) - 1)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_TURNED = mix(np.arange(1000, 1256, dtype=np.uint64) * _BASE)
 
 
 def _power(n: int) -> np.uint64:
@@ -102,8 +103,26 @@ def joined_segments(texts: list[bytes], length: int = 100) -> tuple[np.ndarray,
     return text, anchor, content, start - begins[text], count
 
 
+class _Cyclic(_Rolling):
+    """The same by rotation and exclusive or: no two strings for which the polynomial's
+    differences share a factor are the worse for it here."""
+
+    def __init__(self, data: np.ndarray):
+        self.by = {1: _TURNED[data]}
+
+    def of(self, n: int) -> np.ndarray:
+        if n not in self.by:
+            low = 1 << (n.bit_length() - 1)
+            left, right = (n // 2, n // 2) if low == n else (low, n - low)
+            a, b, turn = self.of(left), self.of(right), np.uint64(right % 64)
+            m = len(self.by[1]) - n + 1
+            a = a[:m]
+            a = a << turn | a >> (np.uint64(64) - turn) if turn else a
+            self.by[n] = a ^ b[left : left + m]
+        return self.by[n]
+
+
 def string_hashes(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of every string of ``length`` bytes."""
-    a = mix(_Rolling(data).of(length))
-    b = mix(_Rolling(data ^ np.uint8(0x5A)).of(length) + _BASE)
-    return a, b
+    """Two 64-bit hashes of every string of ``length`` bytes, of unlike constructions and
+    with tables of their own."""
+    return mix(_Rolling(data).of(length)), mix(_Cyclic(data).of(length))

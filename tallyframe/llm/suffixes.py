@@ -15,9 +15,11 @@ compared with another and the union is never sorted again.
 The segments of an anchor are dealt to shares of bounded size, and a share goes through
 one task. What is first in its share meets the other shares' firsts by a digest.
 
-Collisions: equal segments and equal strings of several shares are told by 128 bits of
-hashes (anchor and content; two hashes), whole texts by MD5. Two different strings among
-n are taken for one with a probability of at most n^2 / 2^129, under 1e-10 for 10^14.
+Collisions: whole texts are told by MD5. Segments of one anchor, whose anchor bytes are equal
+anyhow, are told by 64 bits of content: with k distinct segments on an anchor two are taken
+for one with a probability of about k^2 / 2^65, summed over the anchors (under 1e-7 for a
+million anchors of a thousand segments each). Strings of several shares are told by two
+hashes of 64 bits of unlike constructions.
 """
 
 from __future__ import annotations
@@ -378,8 +380,9 @@ def dedup_texts(docs: DataFrame, length: int = 100) -> DataFrame:
     out = without_repeats(docs, length, prefix=prefix)
     left = F.when(F.col("text").isNotNull(), F.col(f"{prefix}kept_text"))
     swap = {"text": left}
-    if "n_chars" in docs.columns:
-        swap["n_chars"] = F.when(F.col("text").isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    for c in docs.columns:
+        if c.lower() == "n_chars":
+            swap[c] = F.when(F.col("text").isNotNull(), F.length(left).cast(docs.schema[c].dataType)).otherwise(F.col(c))
     return out.withColumns(swap).select(*(f"`{c}`" for c in docs.columns))
 
 

@@ -276,3 +276,32 @@ def test_joined_segments_are_those_of_each_text():
     for k, t in enumerate(texts):
         each = anchors.segments(np.frombuffer(t, np.uint8))
         assert all(np.array_equal(x[text == k], y) for x, y in zip(joined, each, strict=True))
+
+
+def test_string_hashes_tell_alternating_texts_apart():
+    """Texts that swap two bytes after Thue and Morse, which polynomial hashes confuse, and
+    texts whose changes lie 64 bytes apart, which rotations confuse: both hashes together
+    tell every string of them apart, and equal strings are equal anywhere."""
+    morse = np.array([bin(i).count("1") % 2 for i in range(400)], np.uint8)
+    x, y = 97 + morse, 98 - morse
+    far = np.full(400, 97, np.uint8)
+    far[[100, 164]] = 98
+    a, b, c, d = (np.stack(anchors.string_hashes(t.astype(np.uint8)), axis=1) for t in (x, y, np.full(400, 97, np.uint8), far))
+    strings = {}
+    for text, hashes in ((x, a), (y, b), (np.full(400, 97, np.uint8), c), (far, d)):
+        for k, h in enumerate(hashes):
+            strings.setdefault(text[k : k + 100].tobytes(), set()).add(tuple(h.tolist()))
+    assert all(len(v) == 1 for v in strings.values())
+    every = [next(iter(v)) for v in strings.values()]
+    assert len(set(every)) == len(every)
+    for i in (0, 1):  # each half spreads over its 64 bits
+        bits = np.array([h[i] for h in every], np.uint64)
+        ones = [int((bits >> np.uint64(k) & np.uint64(1)).sum()) for k in range(64)]
+        assert min(ones) > 0.3 * len(every) and max(ones) < 0.7 * len(every)
+
+
+def test_counts_of_characters_follow_in_any_case(documents):
+    rows = [(1, "ab" * 100), (2, "ab" * 100 + "tail"), (3, None)]
+    df = documents(rows).withColumnRenamed("n_chars", "N_CHARS")
+    out = {r.doc_id: (r.N_CHARS, r.text) for r in suffixes.dedup_texts(df).collect()}
+    assert all(n == (None if t is None else len(t)) for n, t in out.values()) and out[2][0] < 204
