@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_arrow, text_or_empty
+from tallyframe.llm.common import bounded_arrow, fresh_path, text_or_empty
 
 # Fixed values of the format: kbit/s by (MPEG 1?, layer) and index, Hz by version.
 BITRATES = {
@@ -319,20 +319,44 @@ def feature(m: Media) -> str:
 
 
 def with_media(docs: DataFrame, media: str = "media") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as UTF-8 (null: empty), zero bytes up to a
-    positive multiple of 64 after it, as a stream in a binary column.
+    """(doc_id, n_bytes, media, seconds_num, seconds_den, offsets): each whole text as UTF-8
+    (null: empty), zero bytes up to a positive multiple of 64 after it, as a stream in a
+    binary column, with its exact duration and the places of its frames.
 
     Null, equal and repeated ids give a row each, equal texts equal streams, a text of any
     length one stream, an empty table an empty one; other columns are not carried."""
     bounded_arrow(docs.sparkSession)
+    names = ["doc_id", "n_bytes", media, "seconds_num", "seconds_den", "offsets"]
+    long = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column(1)]
             streams = [store(t.ljust(max(64, -(-len(t) // 64) * 64), b"\0")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(streams, pa.binary())], ["doc_id", "n_bytes", media])
+            found = [parse(s) for s in streams]
+            times = [m.duration for m in found]
+            columns = [pa.array([len(t) for t in texts], long), pa.array(streams, pa.binary()), pa.array([d.numerator for d in times], long), pa.array([d.denominator for d in times], long), pa.array([m.offsets for m in found], pa.list_(long))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, f"doc_id long, n_bytes long, {media} binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, f"doc_id long, n_bytes long, {media} binary, seconds_num long, seconds_den long, offsets array<long>")
+
+
+def write_media(docs: DataFrame, path: str) -> DataFrame:
+    """``with_media`` as a table at ``path``, read from there."""
+    table = with_media(docs)
+    table.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def seek(table: DataFrame, second: float, media: str = "media") -> DataFrame:
+    """``table`` of ``write_media`` with ``frame`` and ``bytes``: number and bytes of the
+    frame that sounds at ``second``, cut out by its stored place; null outside the stream."""
+    n = F.size("offsets")
+    at = F.floor(F.lit(float(second)) * F.col("seconds_den") * n / F.nullif(F.col("seconds_num"), F.lit(0))).cast("int")
+    frame = F.when((at >= 0) & (at < n), at)
+    begin, end = F.get("offsets", frame), F.get("offsets", frame + 1)
+    length = F.coalesce(end - begin, F.octet_length(media) - begin)
+    return table.withColumns({"frame": frame, "bytes": F.substring(F.col(media), (begin + 1).cast("int"), length.cast("int"))})
 
 
 def described(table: DataFrame, media: str = "media") -> DataFrame:
@@ -342,7 +366,7 @@ def described(table: DataFrame, media: str = "media") -> DataFrame:
     Other columns are carried through, whatever their names (one named mpeg is replaced).
     """
     bounded_arrow(table.sparkSession)
-    rest = [c for c in table.columns if c not in (media, "mpeg")]
+    rest = [c for c in table.columns if c.lower() not in (media.lower(), "mpeg")]
     kind = "struct<frames:bigint,seconds_num:bigint,seconds_den:bigint,offsets:array<bigint>,crc_ok:bigint,crc_bad:bigint,junk:bigint,media_bytes:bigint,media_sha256:string,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,feature:string>"
     out = table.select(*(f"`{c}`" for c in rest)).withColumn("mpeg", F.lit(None).cast(kind)).schema
 
@@ -368,5 +392,10 @@ def described(table: DataFrame, media: str = "media") -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Written as a table of media, read back, and described from the bytes that were read;
+    these have to have the frames and the duration that are stored beside them."""
     fields = "payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
-    return described(with_media(docs)).select("doc_id", "n_bytes", *(F.col("mpeg")[f].alias(f) for f in fields))
+    out, m = described(write_media(docs, fresh_path(docs.sparkSession, "media"))), F.col("mpeg")
+    same = (m["offsets"] == F.col("offsets")) & (m["seconds_num"] == F.col("seconds_num")) & (m["seconds_den"] == F.col("seconds_den"))
+    feature_ = F.when(same, m["feature"]).otherwise(F.raise_error(F.lit("stored frames and bytes differ")))
+    return out.select("doc_id", "n_bytes", *((feature_ if f == "feature" else m[f]).alias(f) for f in fields))

@@ -437,3 +437,27 @@ def test_hypergeometric_law(spark):
         sd = (draws * p * (1 - p) * (pool - draws) / max(1, pool - 1)) ** 0.5
         assert abs(x.mean() - draws * p) <= 5 * sd / 4000**0.5 + 1e-9 and abs(x.std() - sd) <= 0.1 * sd + 1e-9
         assert x.min() >= max(0, draws - (pool - good)) and x.max() <= min(good, draws)
+
+
+def test_media_tables_are_stored_and_sought(spark, documents, tmp_path):
+    texts = [None, "", "short", "é" * 5000, "short"]
+    table = mpeg.write_media(documents(list(enumerate(texts)), media="x", offsets=1), str(tmp_path / "media"))
+    rows = table.collect()
+    assert len(rows) == 5 and any(p.name.endswith(".zstd.parquet") for p in (tmp_path / "media").iterdir())
+    for r in rows:
+        m = mpeg.parse(r.media)
+        assert r.offsets == m.offsets and (r.seconds_num, r.seconds_den) == (m.duration.numerator, m.duration.denominator) and mpeg.stored(r.media, m).rstrip(b"\0").decode() == (texts[r.doc_id] or "")
+    for second in (0.0, 0.05, 1.0):
+        for r in mpeg.seek(table, second).collect():
+            n, whole = len(r.offsets), r.seconds_num / r.seconds_den
+            assert (r.frame is not None) == (second < whole)
+            if r.frame is not None:
+                assert r.frame == int(second * n / whole) and r.bytes == r.media[r.offsets[r.frame] :][: len(r.bytes)] and r.bytes[:1] == b"\xff"
+                assert r.frame == n - 1 or len(r.bytes) == r.offsets[r.frame + 1] - r.offsets[r.frame]
+
+
+def test_described_takes_names_of_any_case(spark):
+    stream = bytearray(mpeg.store(b"payload".ljust(64, b"\0")))
+    df = spark.createDataFrame([(1, "a", stream), (2, "b", None)], "id int, MPEG string, Media binary")
+    out = mpeg.described(df, "Media")
+    assert out.columns == ["id", "mpeg"] and {r.id: r.mpeg.payload_bytes for r in out.collect()} == {1: 64, 2: None}
