@@ -71,8 +71,11 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int,
 
 def packed(pieces: DataFrame, room: int, order: list[str], length: str = "length") -> DataFrame:
     """``pieces`` with sequence_id and offset (longs). ``order`` names columns that tell
-    pieces apart; wholly equal rows are interchangeable. Lengths run from 1 to ``room``."""
+    pieces apart; wholly equal rows are interchangeable. Lengths run from 1 to ``room``. Columns
+    named sequence_id, offset or pk_* are replaced; an empty table gives an empty one."""
     spark = pieces.sparkSession
+    own = {"sequence_id", "offset", "pk_length", "pk_rank", "pk_n", "pk_first", "pk_offset", "pk_from", "pk_k", "pk_place", "pk_own"}
+    pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in own))
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most `room` rows
     runs = plan(counts, room)
     schema = "pk_length long, pk_rank long, pk_n long, pk_first long, pk_offset long"

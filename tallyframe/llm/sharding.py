@@ -50,9 +50,10 @@ def hypergeometric(u: Column, pool: Column, good: Column, draws: Column) -> Colu
     """How many of ``draws`` rows, drawn without replacement from ``pool`` rows of which
     ``good`` count, are good: the inverse of the distribution at ``u`` (longs, null-free).
 
-    The search starts at the mode and takes one value above and one below at a time over
-    eight standard deviations and twelve values. What lies beyond them, 1e-15 of the mass
-    and so less than a double's rounding, counts as the last value reached.
+    The search starts at the mode and takes one value above and one below at a time, first
+    over eight standard deviations and twelve values, which hold all but 1e-15 of the mass,
+    and only where they do not hold the value over all the rest. What no value takes is the
+    sum's rounding and counts as the last one.
     """
 
     def search(v: Column) -> Column:
@@ -61,7 +62,7 @@ def hypergeometric(u: Column, pool: Column, good: Column, draws: Column) -> Colu
         most = F.least(k_, d_)
         mode = F.least(most, F.greatest(least, F.floor((d_ + 1) * (k_ + 1) / (n_ + 2)).cast("double")))
         spread = F.sqrt(F.greatest(F.lit(0.0), d_ * (k_ / n_) * (F.lit(1.0) - k_ / n_)))
-        return F.struct(v["u"].alias("u"), n_.alias("pool"), k_.alias("good"), d_.alias("draws"), least.alias("least"), most.alias("most"), mode.alias("mode"), F.least(most - least, F.ceil(spread * 8).cast("double") + 12).cast("int").alias("steps"))
+        return F.struct(v["u"].alias("u"), n_.alias("pool"), k_.alias("good"), d_.alias("draws"), least.alias("least"), most.alias("most"), mode.alias("mode"), F.least(most - least, F.ceil(spread * 8).cast("double") + 12).cast("int").alias("steps"), (most - least).cast("int").alias("all"))
 
     def walk(v: Column) -> Column:
         n_, k_, d_, mode = v["pool"], v["good"], v["draws"], v["mode"]
@@ -79,7 +80,9 @@ def hypergeometric(u: Column, pool: Column, good: Column, draws: Column) -> Colu
             return state(after - p_down, F.least(x + 1, v["most"]), p_up, F.greatest(y - 1, v["least"]), p_down, at)
 
         end = lambda s: F.when(s["at"] >= 0, s["at"]).otherwise(s["up"]).cast("long")
-        return F.aggregate(F.sequence(F.lit(0), v["steps"]), begin, step, end)
+        rest = lambda s: F.aggregate(F.sequence(v["steps"], v["all"]), s, step, end)
+        near = F.aggregate(F.sequence(F.lit(0), v["steps"]), begin, step)
+        return _let(near, lambda s: F.when((s["at"] >= 0) | (v["steps"] >= v["all"]), end(s)).otherwise(rest(s)))
 
     known = F.struct(u.alias("u"), pool.cast("double").alias("pool"), good.cast("double").alias("good"), draws.cast("double").alias("draws"))
     sure = F.when(pool <= 0, F.lit(0).cast("long")).when(good >= pool, draws).when(good <= 0, F.lit(0).cast("long"))

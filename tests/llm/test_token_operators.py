@@ -461,3 +461,31 @@ def test_described_takes_names_of_any_case(spark):
     df = spark.createDataFrame([(1, "a", stream), (2, "b", None)], "id int, MPEG string, Media binary")
     out = mpeg.described(df, "Media")
     assert out.columns == ["id", "mpeg"] and {r.id: r.mpeg.payload_bytes for r in out.collect()} == {1: 64, 2: None}
+
+
+def test_variates_far_from_the_mode(spark):
+    """A uniform number next to 1 leads past the near values, to the end of the support at
+    most; others give the distribution's inverse."""
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    pool, good, drawn = 4000, 1500, 900
+    total = comb(pool, drawn)
+    p = {k: comb(good, k) * comb(pool - good, drawn - k) / total for k in range(200, 500)}
+    us = [(i + 0.5) / 4000 for i in range(4000)] + [1 - 1e-16, 1.0, 1.5]
+    df = spark.createDataFrame([(u,) for u in us], "u double")
+    of = lambda n: F.lit(n).cast("long")
+    got = [r.x for r in df.select(sharding.hypergeometric(F.col("u"), of(pool), of(good), of(drawn)).alias("x")).collect()]
+    mean = drawn * good / pool
+    assert abs(sum(got[:4000]) / 4000 - mean) < 0.1 and got[-1] == min(good, drawn)
+    assert all(0 <= x <= min(good, drawn) for x in got)
+    for k in range(325, 350):
+        assert abs(sum(x == k for x in got[:4000]) / 4000 - p[k]) < 0.0006
+
+
+def test_packed_replaces_columns_of_its_own(spark):
+    df = spark.createDataFrame([(1, 5, "s", "o", 1), (2, 3, "s", "o", 2)], "id int, length int, SEQUENCE_ID string, offset string, pk_place int")
+    out = packing.packed(df, 8, ["id"])
+    rows = out.collect()
+    assert sorted(out.columns) == ["id", "length", "offset", "sequence_id"] and len({r.sequence_id for r in rows}) == 1 and sorted(r.offset for r in rows) == [0, 5]
