@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyframe.functions.text import hash_int
 
@@ -15,9 +16,12 @@ def merge_observations(rows: DataFrame, key: str, label: str, identity: str) ->
 
 
 def top_classes(rows: DataFrame, key: str, label: str, score: str, k: int = 5) -> DataFrame:
-    """The ``k`` best classes of each key, ties by label."""
-    order = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(label).alias("l"))))
-    return rows.groupBy(key).agg(F.slice(F.transform(order, lambda x: x["l"]), 1, k).alias("top"))
+    """The ``k`` best classes of each key, ties by label. The rank's limit applies before
+    the shuffle too, so no group is held whole."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), label))
+    best = rows.withColumn("tc_rank", rank).filter(F.col("tc_rank") <= k)
+    order = F.sort_array(F.collect_list(F.struct("tc_rank", F.col(label).alias("l"))))  # k rows
+    return best.groupBy(key).agg(F.transform(order, lambda x: x["l"]).alias("top"))
 
 
 def leakage_safe(rows: DataFrame, reserved: DataFrame, key: str, group: str, seed: int, one_in: int = 5) -> DataFrame:
@@ -39,7 +43,9 @@ def qualified_groups(rows: DataFrame, group: str, status: str, members: int) ->
 def arbitrate(passes: DataFrame, item: str, order: str, answer: str) -> DataFrame:
     """The first two passes if they agree, else the third if it agrees with either,
     else rejected."""
-    a = passes.groupBy(item).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, answer))), lambda x: x[answer]).alias("a"))
+    rank = F.row_number().over(Window.partitionBy(item).orderBy(order, answer))
+    first = passes.withColumn("ar_rank", rank).filter("ar_rank <= 3")
+    a = first.groupBy(item).agg(F.transform(F.sort_array(F.collect_list(F.struct("ar_rank", answer))), lambda x: x[answer]).alias("a"))  # three rows
     at = lambda i: F.get("a", F.lit(i))
     agreed = F.when(at(0) == at(1), at(0)).when((at(2) == at(0)) | (at(2) == at(1)), at(2))
     state = F.when(agreed.isNull(), "rejected").when(at(0) == at(1), "accepted").otherwise("arbitrated")

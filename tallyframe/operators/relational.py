@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +38,9 @@ def grid_gaps(rows: DataFrame, keys: list[str], axes: list[list[str]]) -> DataFr
     for axis in axes:
         values = rows.select(*axis).distinct()
         grid = values if grid is None else grid.crossJoin(F.broadcast(values))
-    return grid.join(rows.select(*keys).distinct(), keys, "left_anti")
+    there = rows.select(*(F.col(k).alias(f"gg_{k}") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"gg_{k}")) for k in keys]
+    return grid.join(there, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def forward_backward_fill(rows: DataFrame, partition: list[str], order: list[str], value: str, out: str = "filled") -> DataFrame:

@@ -18,6 +18,7 @@ from tallyframe.operators import relational as R
 from tallyframe.operators import stats as K
 from tallyframe.operators.quantiles import exact_quantiles
 from tallyframe.plans.registry import QUERIES, SQL, query, read  # noqa: F401
+from tallyframe.sources.session import ensure_checkpoint_dir
 
 # ---- pairs: prompt = brand, model = line number mod 4 ------------------------------------
 
@@ -58,7 +59,8 @@ SELECT split, count(*) AS total, count(score_a - score_b) AS valid,
        round(avg(CASE WHEN (CASE WHEN abs(score_a - score_b) <= margin THEN 0.5 WHEN score_a > score_b THEN 1.0 ELSE 0.0 END) = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM pairs, best GROUP BY split""")
 def pairs_accuracy(spark, d):  # K01, D12: the margin of the dev split on both splits
-    p = scored_pairs(spark, d)
+    ensure_checkpoint_dir(spark)
+    p = scored_pairs(spark, d).checkpoint()  # read for the margin, and again under it
     margin = K.tie_margin(p.filter("split = 'dev'")).select("margin")  # one row
     return K.pair_accuracy(p.crossJoin(F.broadcast(margin)), ["split"], F.col("margin"))
 
@@ -414,7 +416,8 @@ SELECT doc_id, words::INT AS words, length(text)::INT AS chars, len(regexp_extra
 def text_lengths(spark, d):  # C01, C03, C04, C05
     t = F.col("text")
     words = T.word_count(t)
-    return read(spark, d, "documents", "doc_id", "text").select("doc_id", words.alias("words"), T.char_count(t).alias("chars"), F.size(T.phrase_tokens(t)).alias("tokens"), T.length_bucket(words).alias("bucket"))
+    counted = read(spark, d, "documents", "doc_id", "text").select("doc_id", words.alias("words"), T.char_count(t).alias("chars"), F.size(T.phrase_tokens(t)).alias("tokens"))
+    return counted.withColumn("bucket", T.length_bucket(F.col("words")))
 
 
 def _quoted(words) -> str:
@@ -843,4 +846,4 @@ def resampled_frames(spark, d):  # G16, G17
     return n.select("user_id", F.array_join(R.resample_indices(F.col("frames"), 24.0, 10.0), ",").alias("kept"), R.alternating_phase(F.col("frames"), 0).alias("phase"))
 
 
-from tallyframe.plans import construction, intervals, io, masks, media, motion, parsing, reports, semantic, statistics, tracks  # noqa: E402, F401 - they register queries too, over tables made here
+from tallyframe.plans import construction, evaluators, intervals, io, masks, media, motion, parsing, reports, semantic, statistics, tracks  # noqa: E402, F401 - they register queries too, over tables made here

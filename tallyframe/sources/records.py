@@ -114,6 +114,30 @@ def complete_shards(scores: DataFrame, receipts: DataFrame, protocol: str) -> Da
     return scores.join(checked, "shard").filter("ok").drop("ok")
 
 
+def expected_shards(scores: DataFrame, receipts: DataFrame, protocol: str, expected: DataFrame, key: str) -> DataFrame:
+    """``complete_shards`` whose rows are, each once, the ids of ``expected``; one that is
+    missing, foreign or there twice fails the query."""
+    rows = complete_shards(scores, receipts, protocol)
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    both = expected.select(F.col(key), F.lit(1).alias("_in")).join(n, key, "full")
+    checked = both.select(key, F.when((F.col("_n") == 1) & F.col("_in").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("not scored exactly once: "), F.col(key).cast("string")))).alias("_ok"))
+    return rows.join(checked, key).filter("_ok").drop("_ok")
+
+
+def fixed_vocabulary(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """Lines of a label, a tab and its number, as (id, label), labels in lower case
+    without white space at the edges. Numbers that are not 0 to ``size`` - 1 (their own
+    count, if none is given), each once, fail the query."""
+    t = spark.read.text(path).filter("value <> ''")
+    cut = F.length("value") - F.locate("\t", F.reverse("value")) + 1
+    rows = t.select(F.expr("try_cast(substring_index(value, '\t', -1) AS int)").alias("id"), F.lower(F.trim(F.substring(F.col("value"), F.lit(1), cut - 1))).alias("label"))
+    n = rows.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("id").alias("_d"), F.min("id").alias("_a"), F.max("id").alias("_b"))
+    want = F.lit(size) if size is not None else F.col("_n")
+    good = (F.col("_n") == want) & (F.col("_d") == want) & (F.col("_a") == 0) & (F.col("_b") == want - 1)
+    ok = n.select(F.when(F.coalesce(good, F.lit(False)), True).otherwise(F.raise_error(F.lit(f"numbers of {path} are not 0 and on, each once"))).alias("_ok"))
+    return rows.join(F.broadcast(ok)).filter("_ok").drop("_ok")  # one row
+
+
 def canonical_json(rows: DataFrame) -> DataFrame:
     """Each row as compact JSON with its keys in order."""
     return rows.select(F.to_json(F.struct(*(f"`{c}`" for c in sorted(rows.columns)))).alias("value"))
@@ -178,7 +202,8 @@ def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str,
     within files by ``sample_id``, and the inventory (kind, task, n), which is written too."""
     counts = None
     for kind, rows in (("candidates", candidates), ("quarantine", quarantine)):
-        rows.repartition(task).sortWithinPartitions(task, "sample_id").write.partitionBy(task).json(f"{folder}/{kind}")
+        spread = F.pmod(F.xxhash64("sample_id"), F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        rows.repartition(task, spread).sortWithinPartitions(task, "sample_id").write.partitionBy(task).json(f"{folder}/{kind}")
         n = rows.groupBy(task).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), task, "n")
         counts = n if counts is None else counts.unionByName(n)
     counts.coalesce(1).write.json(f"{folder}/inventory")
