@@ -846,6 +846,6 @@ def resampled_frames(spark, d):  # G16, G17
     return n.select("user_id", F.array_join(R.resample_indices(F.col("frames"), 24.0, 10.0), ",").alias("kept"), R.alternating_phase(F.col("frames"), 0).alias("phase"))
 
 
-from tallyframe.plans import comparisons, construction, evaluators, intervals, io, masks, media, motion, parsing, reports, semantic, statistics, tracks  # noqa: E402, F401 - they register queries too, over tables made here
+from tallyframe.plans import comparisons, construction, dimensions, evaluators, intervals, io, masks, media, motion, parsing, reports, semantic, statistics, tracks  # noqa: E402, F401 - they register queries too, over tables made here
 
 query(comparisons.comparison_sql())(comparisons.method_comparison)  # over the pairs above
