@@ -83,6 +83,57 @@ def perturbed(frames: DataFrame, plan: DataFrame) -> DataFrame:
     return both.withColumn("x", x).select("clip", "variant", "index", "height", "width", "family", "amplitude", "seed", "x.*")
 
 
+def _areas(old: int, new: int) -> np.ndarray:
+    """(new, old) weights that make a line of ``new`` pixels of one of ``old``, each the mean of
+    what it covers."""
+    edges = np.arange(new + 1) * old / new
+    low, high = edges[:-1, None], edges[1:, None]
+    share = np.clip(np.minimum(high, np.arange(old) + 1) - np.maximum(low, np.arange(old)), 0, None)
+    return share / share.sum(axis=1, keepdims=True)
+
+
+def moving_card(image: np.ndarray, speed: int, frames: int, speeds: list[int], oscillating: bool = False) -> np.ndarray:
+    """(frames, height, width, 3): the image, halved to a square card with soft edges, moves
+    ``speed`` pixels a frame over its own blurred copy; every speed begins where the fastest of
+    ``speeds`` has room, and the card stays within the frame. Oscillating, it turns every four
+    frames."""
+    h, w = image.shape[:2]
+    size = min(h, w) // 2
+    card = np.einsum("ij,jkc,lk->ilc", _areas(h, size), image.astype(float), _areas(w, size))
+    ground = np.stack([blurred(image[..., c].astype(float), 5.0) for c in range(3)], axis=-1)
+    edge = np.ones((size, size))
+    edge[[0, -1], :] = edge[:, [0, -1]] = 0
+    soft = blurred(edge, 0.7)[..., None]
+    begin, y = (w - size) // 2 - (frames - 1) * max(speeds) / 2, (h - size) // 2
+    out = np.repeat(ground[None], frames, axis=0)
+    for t in range(frames):
+        x = int(round(begin + speed * (min(t % 8, 8 - t % 8) if oscillating else t)))
+        if x < 2 or x + size > w - 2:
+            raise ValueError("the card's path leaves the frame")
+        part = out[t, y : y + size, x : x + size]
+        out[t, y : y + size, x : x + size] = (1 - soft) * part + soft * card
+    return np.rint(out).clip(0, 255).astype(np.uint8)
+
+
+def card_frames(images: DataFrame, plan: DataFrame, frames: int, speeds: list[int]) -> DataFrame:
+    """Images (clip, height, width, pixels) under each row of ``plan`` (clip, variant, kind,
+    motion), a row a frame: static ones repeat the image, the others move its card."""
+    both = images.select("clip", "height", "width", "pixels").join(plan.select("clip", "variant", "kind", "motion"), "clip")
+
+    @F.arrow_udf("array<binary>")
+    def run(height: pa.Array, width: pa.Array, pixels: pa.Array, kind: pa.Array, motion: pa.Array) -> pa.Array:
+        out = []
+        for h, w, p, k, m in zip(*(c.to_pylist() for c in (height, width, pixels, kind, motion)), strict=True):
+            if k == "static":
+                out.append([p] * frames)
+            else:
+                out.append([f.tobytes() for f in moving_card(np.frombuffer(p, np.uint8).reshape(h, w, 3), m, frames, speeds, k == "oscillation")])
+        return pa.array(out, pa.list_(pa.binary()))
+
+    made = run("height", "width", "pixels", "kind", "motion")
+    return both.select("clip", "variant", "kind", "motion", "height", "width", F.posexplode(made).alias("index", "pixels"))
+
+
 def ladder_plan(sources: DataFrame, families: list[str], amplitudes: list[float], seeds: list[int], motions: list[int], strongest_only: bool = False) -> DataFrame:
     """``sources`` with each variant of the static ladder: (variant, kind, motion, family,
     amplitude, seed). A still clip and each motion under no and every perturbation (with

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -178,10 +180,16 @@ def write_once(rows: DataFrame, path: str) -> None:
         raise ValueError(f"{path} holds other rows")
 
 
-def write_results(rows: DataFrame, folder: str, first: tuple[str, ...] = ("id", "status", "score")) -> None:
+def _document(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON object in one file, keys in order."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+
+
+def write_results(rows: DataFrame, folder: str, first: tuple[str, ...] = ("id", "status", "score"), run: dict | None = None) -> None:
     """``rows`` with a struct ``metric`` spread into columns (a name that is there
     already raises ValueError), as results.jsonl with everything and results.csv with the
-    scalars, ``first`` leading, and summary.json. Nothing is written over."""
+    scalars, ``first`` leading, summary.json, and what ``run`` says of the run as run.json.
+    Nothing is written over."""
     out = rows
     if "metric" in rows.columns:
         inner = rows.schema["metric"].dataType.names
@@ -195,11 +203,14 @@ def write_results(rows: DataFrame, folder: str, first: tuple[str, ...] = ("id",
     n = F.count(F.lit(1))
     good = F.count_if(F.col("status") == "succeeded")
     out.agg(n.alias("requested"), good.alias("succeeded"), (n == good).alias("complete")).coalesce(1).write.json(f"{folder}/summary.json")
+    if run is not None:
+        _document(rows.sparkSession, run, f"{folder}/run.json")
 
 
-def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str, task: str) -> DataFrame:
+def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str, task: str, parameters: dict | None = None) -> DataFrame:
     """Candidates and quarantined rows of each ``task`` in folders of their own, sorted
-    within files by ``sample_id``, and the inventory (kind, task, n), which is written too."""
+    within files by ``sample_id``, and the inventory (kind, task, n), which is written too; with
+    ``parameters`` also a manifest of them and of all counts."""
     counts = None
     for kind, rows in (("candidates", candidates), ("quarantine", quarantine)):
         spread = F.pmod(F.xxhash64("sample_id"), F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -207,6 +218,9 @@ def write_partitioned(candidates: DataFrame, quarantine: DataFrame, folder: str,
         n = rows.groupBy(task).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), task, "n")
         counts = n if counts is None else counts.unionByName(n)
     counts.coalesce(1).write.json(f"{folder}/inventory")
+    if parameters is not None:  # a row a kind and task
+        found = {f"{r['kind']}/{r[task]}": r["n"] for r in counts.collect()}
+        _document(candidates.sparkSession, {"parameters": parameters, "counts": found, "total": sum(found.values())}, f"{folder}/manifest.json")
     return counts
 
 

@@ -129,3 +129,25 @@ def test_ladder_plans(spark):
     strong = P.ladder_plan(s, ["pixel_rgb", "global_random"], [2, 8], [1, 2], [0, 1, 3], True).collect()
     assert len(strong) == 9 + 3 * 5 + 2 * 2 and {r.amplitude for r in strong if r.kind == "translation"} == {0.0, 8.0}
     assert {(r.motion, r.family, r.amplitude, r.seed) for r in full if r.kind == "oscillation"} == {(m, *v) for m in (1, 3) for v in (("clean", 0.0, 0), ("pixel_rgb", 8.0, 1))}
+
+
+def test_cards_move_over_a_ground_that_stays(spark):
+    image = np.random.default_rng(4).integers(0, 256, (40, 120, 3), dtype=np.uint8)
+    one, three = (P.moving_card(image, s, 12, [0, 1, 3]) for s in (1, 3))
+    still = P.moving_card(image, 0, 12, [0, 1, 3])
+    assert (still == still[0]).all() and np.array_equal(one[0], three[0]) and np.array_equal(one[0], still[0])
+    x = (120 - 20) // 2 - 11 * 3 / 2
+    for t in range(12):
+        for f, s in ((one, 1), (three, 3)):
+            a, b = int(round(x)), int(round(x + s * t))
+            assert np.array_equal(f[t, 15:25, b + 5 : b + 15], f[0, 15:25, a + 5 : a + 15])  # the card inside its soft edge
+            assert np.array_equal(f[t, :10], f[0, :10]) and np.array_equal(f[t, 10:30, :a], f[0, 10:30, :a])
+    back = P.moving_card(image, 3, 12, [0, 1, 3], oscillating=True)
+    assert np.array_equal(back[8], back[0]) and np.array_equal(back[3], three[3]) and np.array_equal(back[5], three[3])
+    with pytest.raises(ValueError, match="leaves the frame"):
+        P.moving_card(image[:, :60], 3, 12, [3])
+    df = spark.createDataFrame([("a", 40, 120, bytearray(image.tobytes()))], "clip string, height int, width int, pixels binary")
+    plan = spark.createDataFrame([("a", 0, "static", 0), ("a", 1, "translation", 1), ("a", 2, "oscillation", 3)], "clip string, variant int, kind string, motion int")
+    got = {(r.variant, r["index"]): np.frombuffer(r.pixels, np.uint8).reshape(40, 120, 3) for r in P.card_frames(df, plan, 12, [0, 1, 3]).collect()}
+    assert len(got) == 36 and np.array_equal(got[0, 7], image) and np.array_equal(got[1, 5], one[5]) and np.array_equal(got[2, 9], back[9])
+    assert np.allclose(P._areas(7, 3).sum(axis=1), 1) and np.allclose(P._areas(6, 3) @ np.arange(6), [0.5, 2.5, 4.5])

@@ -80,3 +80,14 @@ def test_sinks_write_once(spark, tmp_path):
     flat.filter("id > 5").write.parquet(f"{tmp_path}/empty")
     with pytest.raises(Exception, match="no rows"):
         R.read_projected(spark, f"{tmp_path}/empty", ["id"]).collect()
+
+
+def test_documents_of_runs_and_builds(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "succeeded", 0.5)], "id int, status string, score double")
+    R.write_results(rows, f"{tmp_path}/out", run={"seed": 7, "metric": "colour"})
+    assert spark.read.text(f"{tmp_path}/out/run.json").first().value == '{"metric": "colour", "seed": 7}'
+    t = spark.createDataFrame([(i, "ab"[i % 2], "x") for i in range(20)], "sample_id int, task string, text string")
+    R.write_partitioned(t.filter("sample_id < 15"), t.filter("sample_id >= 15"), f"{tmp_path}/build", "task", {"seed": 1})
+    m = spark.read.json(f"{tmp_path}/build/manifest.json").first()
+    assert m.total == 20 and m.counts["candidates/a"] == 8 and m.parameters.seed == 1
+    assert spark.read.json(f"{tmp_path}/build/candidates").count() == 15
