@@ -145,7 +145,7 @@ def test_cards_move_over_a_ground_that_stays(spark):
     back = P.moving_card(image, 3, 12, [0, 1, 3], oscillating=True)
     assert np.array_equal(back[8], back[0]) and np.array_equal(back[3], three[3]) and np.array_equal(back[5], three[3])
     with pytest.raises(ValueError, match="leaves the frame"):
-        P.moving_card(image[:, :60], 3, 12, [3])
+        P.moving_card(image[:, :60], 6, 12, [6])
     df = spark.createDataFrame([("a", 40, 120, bytearray(image.tobytes()))], "clip string, height int, width int, pixels binary")
     plan = spark.createDataFrame([("a", 0, "static", 0), ("a", 1, "translation", 1), ("a", 2, "oscillation", 3)], "clip string, variant int, kind string, motion int")
     got = {(r.variant, r["index"]): np.frombuffer(r.pixels, np.uint8).reshape(40, 120, 3) for r in P.card_frames(df, plan, 12, [0, 1, 3]).collect()}
