@@ -75,7 +75,7 @@ h2 AS (SELECT * REPLACE ((xor(x::UBIGINT, x::UBIGINT >> 15)::HUGEINT * 222171303
 u AS (SELECT *, xor(x::UBIGINT, x::UBIGINT >> 16)::DOUBLE / 2147483648 - 1 AS u FROM h2),
 r AS (SELECT family, clip, i, q, v, v + amplitude * CASE family WHEN 'clean' THEN 0 WHEN 'global_alternating' THEN CASE WHEN (i + seed % 2) % 2 = 0 THEN 1 ELSE -1 END ELSE u END AS raw FROM u),
 o AS (SELECT *, least(255, greatest(0, round_even(raw, 0))) AS w FROM r)
-SELECT clip, family, count(DISTINCT i) AS frames, round(avg(abs(w - v)), 6) AS difference, round(avg((raw < 0 OR raw > 255)::INT), 6) AS clipped, sum(w * (q % 7 + 1))::BIGINT AS weighted FROM o GROUP BY 1, 2""")
+SELECT clip, family, count(DISTINCT i) AS frames, round(avg(abs(w - v)), 4) AS difference, round(avg((raw < 0 OR raw > 255)::INT), 4) AS clipped, sum(w * (q % 7 + 1))::BIGINT AS weighted FROM o GROUP BY 1, 2""")
 def perturbed_frames(spark, d):  # N05: four families of noise on every frame
     frames = _pixels(spark, d)
     families = F.array(*(F.struct(F.lit(f).alias("family"), F.lit(a).alias("amplitude"), F.lit(s).alias("seed")) for f, a, s in (("clean", 0.0, 0), ("pixel_rgb", 12.0, 5), ("global_alternating", 20.0, 5), ("global_random", 20.0, 6))))
@@ -86,7 +86,7 @@ def perturbed_frames(spark, d):  # N05: four families of noise on every frame
         return pa.array([int((np.frombuffer(p, np.uint8).astype(np.int64) * (np.arange(len(p)) % 7 + 1)).sum()) for p in pixels.to_pylist()], pa.int64())
 
     out = P.perturbed(frames, plan).withColumn("weighted", weighted("pixels"))
-    return out.groupBy("clip", "family").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("difference"), 6).alias("difference"), F.round(F.avg("clipped"), 6).alias("clipped"), F.sum("weighted").alias("weighted"))
+    return out.groupBy("clip", "family").agg(F.count(F.lit(1)).alias("frames"), F.round(F.avg("difference"), 4).alias("difference"), F.round(F.avg("clipped"), 4).alias("clipped"), F.sum("weighted").alias("weighted"))
 
 
 @query("""WITH fam AS (SELECT 'clean' AS family, 0.0::DOUBLE AS amplitude, 0 AS seed UNION ALL SELECT f, a, s FROM (SELECT unnest(['pixel_rgb', 'global_random']) AS f), (SELECT unnest([2.0::DOUBLE, 8.0::DOUBLE]) AS a), (SELECT unnest([1, 2]) AS s)),
