@@ -123,7 +123,7 @@ def test_tables_in_the_shared_folder_can_be_forgotten(spark):
 
 
 def test_queries_are_registered():
-    assert {k.split("_")[0] for k in entry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {k.split("_")[0] for k in entry.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert "pipeline" in __spark_entry__.queries()
 
 
