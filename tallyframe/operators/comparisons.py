@@ -84,6 +84,10 @@ def compared(first: DataFrame, second: DataFrame, keys: list[str], values: list[
     return both.select(*keys, *(c for v in values for c in (F.col(f"{names[0]}_{v}"), F.col(f"{names[1]}_{v}"), (F.col(f"{names[1]}_{v}") - F.col(f"{names[0]}_{v}")).alias(f"delta_{v}"))))
 
 
+#: Generators whose folder has another name. Fixed values.
+FOLDERS = {"videocraft": "videocrafter"}
+
+
 def annotated_pairs(rows: DataFrame, available: DataFrame, folder: Column) -> DataFrame:
     """Annotations (source_row, videos: generator to path, anno: generator to generator
     to label) as a row each two generators, by name: both labels, whether they add up to one,
@@ -94,7 +98,7 @@ def annotated_pairs(rows: DataFrame, available: DataFrame, folder: Column) -> Da
     checked = F.when(F.forall(F.map_values("videos"), safe), F.col("videos")).otherwise(F.raise_error(F.lit("unsafe source path")))
     r = rows.withColumn("videos", checked)
     paths = r.select("source_row", F.explode("videos").alias("generator", "path"))
-    home = F.when(F.col("generator") == "videocraft", "videocrafter").otherwise(F.col("generator"))
+    home = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in FOLDERS.items() for x in kv)), F.col("generator")), F.col("generator"))
     have = available.select("path").distinct().withColumn("there", F.lit(True))
     found = paths.join(have, "path", "left").withColumn("ok", F.coalesce("there", F.lit(False)) & (F.substring_index("path", "/", 1) == home))
     # A handful of generators an annotation.
