@@ -8,6 +8,8 @@ same anchor need be compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from tallyframe.llm.shingles import mix
@@ -71,10 +73,10 @@ def _segments(grams: np.ndarray, place: np.ndarray, whole: np.ndarray, at: np.nd
     return grams[place], content, start, count
 
 
-def segments(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, ...]:
+def pieces(data: np.ndarray, length: int = 100) -> Iterator[tuple[np.ndarray, ...]]:
     """(anchor, content, start, count) of each segment of the bytes ``data``: 64-bit hashes
-    of the anchor and of all bytes of the segment, first string, number of strings."""
-    out = []
+    of the anchor and of all bytes of the segment, first string, number of strings; about a
+    mebibyte of the bytes at a time."""
     step = (1 << 20) - 2 * length
     for at in range(0, max(1, len(data) - length + 1), step):
         part = data[at : at + step + length - 1]
@@ -82,7 +84,12 @@ def segments(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, ...]:
             break
         grams, place, whole = _strings(part, length)
         anchor, content, start, count = _segments(grams, place, whole, np.arange(len(place)))
-        out.append((anchor, content, start + at, count))
+        yield anchor, content, start + at, count
+
+
+def segments(data: np.ndarray, length: int = 100) -> tuple[np.ndarray, ...]:
+    """All ``pieces`` of ``data`` in one."""
+    out = [*pieces(data, length)]
     if not out:
         none = np.empty(0, np.int64)
         return none.view(np.uint64), none.view(np.uint64), none, none

@@ -20,6 +20,9 @@ anyhow, are told by 64 bits of content: with k distinct segments on an anchor tw
 for one with a probability of about k^2 / 2^65, summed over the anchors (under 1e-7 for a
 million anchors of a thousand segments each). Strings of several shares are told by two
 hashes of 64 bits of unlike constructions.
+
+What a text repeats of its own is put together before the shuffle, a mebibyte at a time: a
+text of one short period has a segment for each byte, all with one anchor and content.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.anchors import joined_segments, segments, string_hashes
+from tallyframe.llm.anchors import joined_segments, pieces, string_hashes
 from tallyframe.llm.common import bounded_arrow, free_name, partitions, text_or_empty, written
+from tallyframe.llm.shingles import mix
 
 #: A byte that UTF-8 never has ends each segment.
 END = 0xFF
@@ -183,7 +187,31 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(doc[cut].tolist(), start[cut].tolist(), (start[stop] - start[cut] + 1).tolist(), strict=True)
 
 
+def _own_repeats(a: np.ndarray, s: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments (a, s, doc, p) without those that stand earlier in the same document;
+    these are put together to runs, a row each, with the number of strings as ``s`` and
+    ``-1 - start`` as ``p``."""
+    key = mix(s.view(np.uint64) + mix(doc.view(np.uint64)))
+    order = np.lexsort((p, key))
+    x, y, d, place = a[order], s[order], doc[order], p[order]
+    fresh = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (d[1:] != d[:-1]))
+    again = order[place != place[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))]]
+    if not len(again):
+        return a, s, doc, p
+    keep = np.ones(len(a), bool)
+    keep[again] = False
+    again = again[np.lexsort((p[again], doc[again]))]
+    start, count = np.divmod(p[again], 256)
+    d = doc[again]
+    cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (start[1:] != start[:-1] + count[:-1])))
+    runs = a[again[cut]], np.add.reduceat(count, cut), d[cut], -1 - start[cut]
+    return tuple(np.concatenate([c[keep], r]) for c, r in zip((a, s, doc, p), runs, strict=True))
+
+
 def _anchored(length: int):
+    """(a, s, doc, p): anchor, content and place (256 * start + strings) of the segments, and
+    what a document repeats of its own, as ``_own_repeats`` puts it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         for batch in batches:
@@ -198,19 +226,20 @@ def _anchored(length: int):
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen[digest] = doc
-                if len(data) >= JOINED:
-                    out.append(_columns(np.int64(doc), *segments(np.frombuffer(data, np.uint8), length)))
-                    rows += len(out[-1][0])
-                else:
+                if len(data) < JOINED:
                     held.append((doc, data))
                     size += len(data)
-                    if size >= JOINED:
-                        out.append(_joined(held))
-                        rows += len(out[-1][0])
-                        held, size = [], 0
-                if rows > 100_000:
-                    yield _rows(out)
-                    out, rows = [], 0
+                    if size < JOINED:
+                        continue
+                    parts, held, size = [_joined(held)], [], 0
+                else:
+                    parts = (_columns(np.int64(doc), *x) for x in pieces(np.frombuffer(data, np.uint8), length))
+                for part in parts:
+                    out.append(part)
+                    rows += len(part[0])
+                    if rows > 100_000:
+                        yield _rows(out)
+                        out, rows = [], 0
             if held:
                 out.append(_joined(held))
             if out:
@@ -222,7 +251,7 @@ def _anchored(length: int):
         return _columns(np.array(docs, np.int64)[text], *rest)
 
     def _columns(doc: np.ndarray, anchor: np.ndarray, content: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-        return anchor.view(np.int64), content.view(np.int64), np.broadcast_to(doc, start.shape), start * 256 + count
+        return _own_repeats(anchor.view(np.int64), content.view(np.int64), np.full(start.shape, doc), start * 256 + count)
 
     def _rows(out: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "s", "doc", "p"])
@@ -293,6 +322,8 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     strings = docs.mapInArrow(_anchored(length), "a long, s long, doc long, p long")
     often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a")
     shared = written(strings.join(written(often, "anchors"), "a"), "shared")
+    own = shared.filter("p < 0").select("doc", (-1 - F.col("p")).alias("start"), F.col("s").alias("count"))
+    shared = shared.filter("p >= 0")
     firsts = written(shared.groupBy("a", "s").agg(F.min(F.struct("doc", "p")).alias("f"), F.count(F.lit(1)).alias("m")), "firsts")
     again = firsts.filter("m > 1").select("a", "s", "f")
     later = shared.join(again, ["a", "s"]).filter(F.struct("doc", "p") != F.col("f"))
@@ -310,7 +341,7 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     across = merged.filter("x is not null")
     heads = across.groupBy("x", "y").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     outer = across.join(heads, ["x", "y"]).filter(F.struct("doc", "start") != F.col("f")).select("doc", "start", "count")
-    return whole.unionByName(later).unionByName(inner).unionByName(outer)
+    return whole.unionByName(own).unionByName(later).unionByName(inner).unionByName(outer)
 
 
 def removed_ranges(runs: list[tuple[int, int]], n: int, length: int) -> list[tuple[int, int]]:

@@ -106,6 +106,30 @@ def test_repeated_strings_equal_brute_force(documents):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeated(rows, 100)
 
 
+def test_what_a_text_repeats_of_its_own(documents):
+    """Short periods, a period over several segments, periods that other texts share, rows of
+    one id; a text of two steps of the anchors."""
+    passage = prose(40)
+    rows = [(1, "a" * 3000), (2, passage * 5), (3, prose(30) + "a" * 400 + prose(30)), (4, passage + "xyz" * 200 + passage), (5, "xyz" * 300), (6, "a" * 3000), (7, passage * 2 + "b" * 99)]
+    got = suffixes.query(documents([*rows, (2, passage * 5)])).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == repeated(rows, 100)
+    n = (1 << 21) + 5
+    long = suffixes.query(documents([(8, "q" * n)])).collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in long] == [(n, n - 1, 1)]
+
+
+def test_own_repeats_are_few_rows():
+    """Of a text of one period a segment a period and one run are left to be shuffled."""
+    data = np.frombuffer(b"abcd" * 5000, np.uint8)
+    a, s, start, count = anchors.segments(data)
+    parts = suffixes._own_repeats(a.view(np.int64), s.view(np.int64), np.full(len(a), 9), start * 256 + count)
+    runs = parts[3] < 0
+    assert len(a) > 4000 and len(runs) < 12
+    strings = {(-1 - p) + k for s, p in zip(parts[1][runs].tolist(), parts[3][runs].tolist(), strict=True) for k in range(s)}
+    kept = {p // 256 + k for p in parts[3][~runs].tolist() for k in range(p % 256)}
+    assert strings | kept == set(range(20_000 - 99)) and not strings & kept
+
+
 def test_anchors_of_many_segments_are_dealt_to_shares(documents, monkeypatch):
     monkeypatch.setattr(suffixes, "SHARE", 2)
     monkeypatch.setattr(suffixes, "MERGED", 300)
