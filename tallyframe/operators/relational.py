@@ -33,11 +33,12 @@ def to_baseline(rows: DataFrame, keys: list[str], arm: str, baseline, value: str
 
 def grid_gaps(rows: DataFrame, keys: list[str], axes: list[list[str]]) -> DataFrame:
     """What is missing from the full grid of the distinct values of ``axes``.
-    The grid is a product of small domains, by design of the experiment."""
+    The grid is a product of small domains, by design of the experiment; a side is broadcast
+    where Spark knows it for small enough, and else the product is made in partitions."""
     grid = None
     for axis in axes:
         values = rows.select(*axis).distinct()
-        grid = values if grid is None else grid.crossJoin(F.broadcast(values))
+        grid = values if grid is None else grid.crossJoin(values)
     there = rows.select(*(F.col(k).alias(f"gg_{k}") for k in keys)).distinct()
     same = [F.col(k).eqNullSafe(F.col(f"gg_{k}")) for k in keys]
     return grid.join(there, reduce(lambda a, b: a & b, same), "left_anti")
