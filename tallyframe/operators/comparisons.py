@@ -66,8 +66,8 @@ def method_metrics(pairs: DataFrame) -> DataFrame:
     of = lambda s, x: F.avg(F.when(F.col("split") == s, x))
     margin = K.tie_margin(both.filter("split = 'dev'")).select("margin")
     one = both.join(F.broadcast(margin)).agg(of("dev", hit(0.0)).alias("dev_acc0"), of("test", hit(0.0)).alias("test_acc0"), F.first("margin").alias("tie_margin"), of("test", hit(F.col("margin"))).alias("test_tie_aware_acc"), F.count(F.lit(1)).alias("valid_pairs"))  # one row
-    tau = tau_b(both.filter("split = 'test'").select(d.alias("x"), F.col("label").alias("y")), "x", "y").withColumnRenamed("tau_b", "kendall_tau_b")
-    pearson = K.win_ratios(both).agg(F.corr("win_ratio", "label_ratio").alias("pearson"))
+    tau = tau_b(both.filter("split = 'test'").select(d.alias("x"), F.col("label").alias("y")), "x", "y", flat=float("nan")).withColumnRenamed("tau_b", "kendall_tau_b")
+    pearson = K.win_ratios(both).agg(K.pearson("win_ratio", "label_ratio").alias("pearson"))
     total = pairs.agg(F.count(F.lit(1)).alias("total_pairs"))
     out = one.join(tau).join(pearson).join(total).withColumn("coverage", F.col("valid_pairs") / F.col("total_pairs"))  # tables of one row
     known = F.col("dev_acc0").isNotNull() & F.col("test_acc0").isNotNull()

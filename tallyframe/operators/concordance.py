@@ -77,9 +77,9 @@ def _located(counts: DataFrame, axis: str, ranges: int) -> DataFrame:
     return counts.withColumn(f"{axis}r", range_of(axis))
 
 
-def tau_b(rows: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFrame:
-    """One row: ``tau_b``, null where a column has fewer than two values. Rows with a null or
-    no number in either column go."""
+def tau_b(rows: DataFrame, x: str, y: str, ranges: int | None = None, flat: float | None = None) -> DataFrame:
+    """One row: ``tau_b``, null for fewer than two rows and ``flat`` where a column does not
+    vary. Rows with a null or no number in either column go."""
     ensure_checkpoint_dir(rows.sparkSession)
     ranges = ranges or min(RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
@@ -96,4 +96,6 @@ def tau_b(rows: DataFrame, x: str, y: str, ranges: int | None = None) -> DataFra
     tied = lambda c: counts.groupBy(c).agg(F.sum("n").alias("k")).agg(pairs("k").alias(f"t{c}"), F.sum("k").cast("double").alias(f"n{c}"))
     one = s.agg(F.sum("s").alias("s")).join(tied("x")).join(tied("y"))  # three tables of one row
     every = F.col("nx") * (F.col("nx") - 1) / 2
-    return one.select(F.round(F.try_divide(F.col("s"), F.sqrt((every - F.col("tx")) * (every - F.col("ty")))), 6).alias("tau_b"))
+    spread = F.sqrt((every - F.col("tx")) * (every - F.col("ty")))
+    tau = F.when(F.col("nx") >= 2, F.coalesce(F.try_divide(F.col("s"), spread), F.lit(flat).cast("double")))
+    return one.select(F.round(tau, 6).alias("tau_b"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -137,3 +138,45 @@ def test_paired_bootstrap_leaves_rows_without_both(spark):
     rows = [("a", 1.0, 2.0), ("a", None, 9.0), ("b", 2.0, 3.0), ("c", 0.0, 1.0)]
     got = K.paired_bootstrap(spark.createDataFrame(rows, "c string, a double, b double"), "c", "a", "b", 30, 1).first()
     assert tuple(got) == (3, 3, 1.0, 1.0, 1.0)
+
+
+def test_correlation_of_what_does_not_vary(spark):
+    rows = spark.createDataFrame([(0.5, 1.0), (0.5, 2.0), (0.5, 4.0)], "x double, y double")
+    got = lambda df, a, b: df.agg(K.pearson(a, b).alias("r")).first().r
+    assert math.isnan(got(rows, "x", "y")) and math.isnan(got(rows.limit(1), "x", "y")) and got(rows.limit(0), "x", "y") is None
+    assert got(rows, "y", "y") == pytest.approx(1.0)
+
+
+def test_methods_whose_labels_all_tie_match_sql(spark, tmp_path):
+    """Labels that do not vary have no correlation, and no query fails over them."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(5)
+    part = [(p, f"Brand#{p % 6}") for p in range(24)]
+    items = [(rng.randrange(24), n % 7 + 1, rng.randrange(11) / 100, 0.03) for n in range(400)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(items, "l_partkey long, l_linenumber int, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    db = duckdb.connect()
+    for t in ("part", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("pairs_model_pearson", "pairs_kendall", "method_comparison"):
+        got, want = tuple(entry.queries()[name](spark, str(tmp_path)).first()), db.execute(entry.oracle_sql()[name]).fetchall()[0]
+        assert got == pytest.approx(want, nan_ok=True, abs=1e-9), name
+
+
+@pytest.mark.parametrize("clips", [1, 3])
+def test_tracks_do_not_depend_on_batches(spark, clips):
+    rng = random.Random(clips)
+    rows = [(c, f, d, [x, y, x + rng.randrange(1, 9), y + rng.randrange(1, 9)]) for c in range(clips) for f in range(60) for d in range(rng.randrange(5)) for x, y in [(rng.randrange(6) + 0.5, rng.randrange(6) + 0.25)]]
+    df = spark.createDataFrame(rows, "clip long, frame int, det int, box array<double>")
+    want = {(r.clip, r.frame, r.det): r.track for r in R.track_boxes(df).collect()}
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        small = R.track_boxes(df)
+        assert "FlatMapGroups" not in small._jdf.queryExecution().toString()  # no call a clip
+        assert {(r.clip, r.frame, r.det): r.track for r in small.collect()} == want and len(want) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
