@@ -41,11 +41,6 @@ PLAIN_COLORS = "white red pink blue silver purple orange green gray yellow black
 _U = "(?iU)"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _between(text: Column, start: Column, end: Column) -> Column:
     return text.substr(start + 1, end - start)
 
@@ -65,15 +60,15 @@ def relation_target(prompt: Column) -> Column:
         both = F.transform(F.array(low.substr(F.lit(1), r["at"] - 1), rest), T.canonical_entity)
         return F.when(r.isNotNull(), F.struct(F.get(both, F.lit(0)).alias("subject"), r["name"].alias("relation"), F.get(both, F.lit(1)).alias("object")))
 
-    return _let(pick, sides)
+    return T.let(pick, sides)
 
 
 def entity_target(prompt: Column) -> Column:
     """The names joined by "and" before the first comma; none if fewer than two or one
     of them is blank."""
     first = F.regexp_replace(F.element_at(F.split(F.lower(prompt), ","), 1), r"\.+$", "")
-    names = F.transform(F.split(first, " and "), T.canonical_entity)
-    return F.when((F.size(names) >= 2) & F.forall(names, lambda n: n != ""), names).otherwise(F.lit([]).cast("array<string>"))
+    all_of = lambda names: F.when((F.size(names) >= 2) & F.forall(names, lambda n: n != ""), names).otherwise(F.lit([]).cast("array<string>"))
+    return T.let(F.transform(F.split(first, " and "), T.canonical_entity), all_of)
 
 
 def gerund_label(label: Column) -> Column:
@@ -114,7 +109,7 @@ def four_directions(prompt: Column, relations: Column) -> Column:
     mapped = F.transform(relations, lambda r: F.struct(r["subject"].alias("subject"), direction(r).alias("relation"), r["object"].alias("object"), r["relation"].alias("was")))
     known = lambda r: r["relation"].isin(*RELATION_TEMPLATES)
     of = lambda keep, name: F.transform(keep, lambda r: F.struct(r["subject"].alias("subject"), r[name].alias("relation"), r["object"].alias("object")))
-    return _let(mapped, lambda m: F.struct(F.array_distinct(of(F.filter(m, known), "relation")).alias("relationships"), of(F.filter(m, lambda r: ~known(r)), "was").alias("omitted")))
+    return T.let(mapped, lambda m: F.struct(F.array_distinct(of(F.filter(m, known), "relation")).alias("relationships"), of(F.filter(m, lambda r: ~known(r)), "was").alias("omitted")))
 
 
 # ---- objects and their colours ------------------------------------------------------------
@@ -142,7 +137,7 @@ def compile_prompt(prompt: Column, things: Column, colors: Column, color_names:
         bound = F.array_distinct(F.flatten(F.transform(objs, lambda o: F.transform(F.filter(colors, lambda c: binds(prompt, c, o)), lambda c: c["label"]))))
         return F.struct(obj.alias("object"), F.when(obj.isNotNull() & (F.size(bound) == 1), F.get(bound, F.lit(0))).alias("color"))
 
-    return _let(real, body)
+    return T.let(real, body)
 
 
 def color_support(caption: Column, color: Column, target: Column, things: Column, colors: Column) -> Column:
@@ -159,7 +154,7 @@ def color_support(caption: Column, color: Column, target: Column, things: Column
         reason = F.when(count("bound") > 0, "supported").when(count("negated") > 0, "negated_color").otherwise("insufficient_color_evidence")
         return F.struct((count("bound") > 0).alias("supported"), count("negated").alias("negated"), count("unbound").alias("unbound"), reason.alias("reason"))
 
-    return _let(states, body)
+    return T.let(states, body)
 
 
 # ---- classes of actions -------------------------------------------------------------------
@@ -224,13 +219,18 @@ def lexicon(vocabulary: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def _labels(phrase: Column) -> Column:
     """Classes of a phrase: those of its exact form, else of its relaxed one, else null."""
-    return F.coalesce(F.try_element_at(F.col("exact"), T.normalize_phrase(phrase)), F.try_element_at(F.col("relaxed"), T.relaxed_key(phrase)))
+    return T.let(T.normalize_phrase(phrase), lambda p: F.coalesce(F.try_element_at(F.col("exact"), p), F.try_element_at(F.col("relaxed"), T.relaxed(p))))
+
+
+def _looked_up(phrase: Column, more: dict[str, Column]) -> Column:
+    return T.let(phrase, lambda p: F.struct(p.alias("text"), _labels(p).alias("labels"), *(c.alias(n) for n, c in more.items())))
 
 
-def _slot(phrase: Column) -> Column:
-    n = F.coalesce(F.size(_labels(phrase)), F.lit(0))
-    label = F.when(n == 1, F.get(_labels(phrase), F.lit(0)))
-    return F.struct(phrase.alias("text"), label.alias("label"), (n > 1).alias("ambiguous"), (label.isNull() & phrase.rlike("(?U)" + NOT_ASSERTED)).alias("blocked"))
+def _slot(x: Column) -> Column:
+    """A part that is looked up, as a slot."""
+    n = F.coalesce(F.size(x["labels"]), F.lit(0))
+    label = F.when(n == 1, F.get(x["labels"], F.lit(0)))
+    return F.struct(x["text"].alias("text"), label.alias("label"), (n > 1).alias("ambiguous"), (label.isNull() & x["text"].rlike("(?U)" + NOT_ASSERTED)).alias("blocked"))
 
 
 def action_slots(prompt: Column) -> Column:
@@ -244,15 +244,18 @@ def action_slots(prompt: Column) -> Column:
 
         def step(s: Column, i: Column) -> Column:
             ends = F.sequence(F.least(F.size(pieces), i + F.col("longest")), i + 1, F.lit(-1))
-            end = F.coalesce(F.get(F.filter(ends, lambda e: _labels(join(i, e)).isNotNull()), F.lit(0)), i + 1)
-            took = _let(end, lambda e: F.struct(e.cast("int").alias("next"), F.array_append(s["slots"], _slot(join(i, e))).cast(f"array<{slot}>").alias("slots")))
+            found = F.transform(ends, lambda e: _looked_up(join(i, e), {"end": e.cast("int")}))
+            # The last is one part alone.
+            best = T.let(found, lambda f: F.coalesce(F.get(F.filter(f, lambda x: x["labels"].isNotNull()), F.lit(0)), F.element_at(f, -1)))
+            took = T.let(best, lambda x: F.struct(x["end"].alias("next"), F.array_append(s["slots"], _slot(x)).cast(f"array<{slot}>").alias("slots")))
             return F.when(s["next"] == i, took).otherwise(s)
 
         start = F.struct(F.lit(0).alias("next"), F.lit([]).cast(f"array<{slot}>").alias("slots"))
         return F.aggregate(F.sequence(F.lit(0), F.size(pieces) - 1), start, step, lambda s: s["slots"])
 
-    whole = F.when(phrase == "", F.lit([]).cast(f"array<{slot}>")).when(_labels(phrase).isNotNull(), F.array(_slot(phrase)).cast(f"array<{slot}>"))
-    return F.coalesce(whole, _let(F.split(phrase, r"\s+and\s+"), slots))
+    none = F.lit([]).cast(f"array<{slot}>")
+    whole = lambda x: F.when(x["text"] == "", none).when(x["labels"].isNotNull(), F.array(_slot(x)).cast(f"array<{slot}>")).otherwise(T.let(F.split(x["text"], r"\s+and\s+"), slots))
+    return T.let(_looked_up(phrase, {}), whole)
 
 
 def compile_actions(rows: DataFrame, vocabulary: DataFrame, aliases: DataFrame, guard: bool = True) -> DataFrame:
@@ -268,9 +271,10 @@ def compile_actions(rows: DataFrame, vocabulary: DataFrame, aliases: DataFrame,
     classes = resolve_classes(said, "said", vocabulary, aliases)
     lex = lexicon(vocabulary, aliases)  # one row
     read = said.join(classes, "key", "left").crossJoin(F.broadcast(lex))
-    n = F.coalesce(F.size(_labels(F.col("said"))), F.lit(0))
+    read = read.withColumn("labels", _labels(F.col("said")))
+    n = F.coalesce(F.size("labels"), F.lit(0))
     open_text = (n == 0) & ~F.col("key").rlike("(?U)" + NOT_ASSERTED)
-    label = F.coalesce(F.when(n == 1, F.get(_labels(F.col("said")), F.lit(0))).when(open_text, F.col("class")), F.lit("other"))
+    label = F.coalesce(F.when(n == 1, F.get("labels", F.lit(0))).when(open_text, F.col("class")), F.lit("other"))
     read = read.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", label.alias("label")))).alias("r")).select("id", F.array_distinct(F.transform("r", lambda x: x["label"])).alias("read"))
     out = rows.join(read, "id", "left").crossJoin(F.broadcast(lex)).withColumn("slots", action_slots(F.col("prompt")))
     valid = F.col("actions").isNotNull() & F.forall("actions", lambda a: F.coalesce(T.normalize_space(a) != "", F.lit(False)))

@@ -12,13 +12,13 @@ from tallyframe.functions import parsing as P
 from tallyframe.functions import text as T
 from tallyframe.operators import color as L
 from tallyframe.plans.queries import _quoted, stem_sql
-from tallyframe.plans.registry import query, read
+from tallyframe.plans.registry import query, read, spread
 
 
 def _filled(spark: SparkSession, d: str, patterns: tuple[str, ...]) -> DataFrame:
     """(p_partkey, k, q): every pattern with the part's name in it."""
     made = F.array(*(F.replace(F.lit(n), F.lit("%s"), F.col("p_name")) for n in patterns))
-    return read(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.posexplode(made).alias("k", "q"))
+    return spread(read(spark, d, "part", "p_partkey", "p_name"), "p_partkey").select("p_partkey", F.posexplode(made).alias("k", "q"))
 
 
 def _filled_sql(patterns: tuple[str, ...]) -> str:

@@ -17,7 +17,7 @@ from tallyframe.operators import dataprep as D
 from tallyframe.operators import relational as R
 from tallyframe.operators import stats as K
 from tallyframe.operators.quantiles import exact_quantiles
-from tallyframe.plans.registry import QUERIES, SQL, query, read  # noqa: F401
+from tallyframe.plans.registry import QUERIES, SQL, query, read, spread  # noqa: F401
 from tallyframe.sources.session import ensure_checkpoint_dir
 
 # ---- pairs: prompt = brand, model = line number mod 4 ------------------------------------
@@ -459,7 +459,7 @@ support AS (SELECT *, CASE WHEN qn = '' THEN 'none' WHEN regexp_matches(' ' || p
 {SPAN_SQL}
 SELECT p_partkey, k::INT AS k, support FROM support""")
 def span_support(spark, d):  # C07: the ladder of several phrases in a part's type and name
-    p = read(spark, d, "part", "p_partkey", "p_name", "p_type")
+    p = spread(read(spark, d, "part", "p_partkey", "p_name", "p_type"), "p_partkey")
     name, kind = F.col("p_name"), F.col("p_type")
     phrases = F.array(name, F.concat(kind, F.lit("s")), F.concat_ws(" ", name, kind), F.concat(F.lit("big "), kind, F.lit("s and "), name), F.concat(F.lit("("), F.substring(name, 1, 3), F.lit(")")))
     rows = p.select("p_partkey", F.concat_ws(" and the ", kind, name).alias("prompt"), F.posexplode(phrases).alias("k", "phrase"))
@@ -475,7 +475,7 @@ h AS (SELECT *, ws[1:greatest(1, coalesce(list_min(list_filter([CASE WHEN ws[i]
 SELECT p_partkey, k::INT AS k, CASE WHEN ws = [''] THEN q ELSE array_to_string(list_append(ws[1:-2], {stem_sql('ws[-1]')}), ' ') END AS entity,
        CASE WHEN ws = [''] THEN q ELSE array_to_string(list_append(hs[1:-2], {stem_sql('hs[-1]')}), ' ') END AS head FROM h""")
 def entity_names(spark, d):  # C08, C09
-    p = read(spark, d, "part", "p_partkey", "p_name").select("p_partkey", F.posexplode(F.array(*(F.replace(F.lit(n), F.lit("%s"), F.col("p_name")) for n in NAMES))).alias("k", "q"))
+    p = spread(read(spark, d, "part", "p_partkey", "p_name"), "p_partkey").select("p_partkey", F.posexplode(F.array(*(F.replace(F.lit(n), F.lit("%s"), F.col("p_name")) for n in NAMES))).alias("k", "q"))
     return p.select("p_partkey", "k", T.canonical_entity(F.col("q")).alias("entity"), T.head_noun(F.col("q")).alias("head"))
 
 

@@ -23,3 +23,9 @@ def query(sql: str | None = None):
 def read(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/{name}.parquet")
     return t.select(*columns) if columns else t
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt to all tasks: of tables with few bytes and much work a row, which a scan
+    leaves in one task or a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

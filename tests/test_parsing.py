@@ -83,3 +83,15 @@ def test_actions(spark):
     assert got == {i: c[2:] for i, c in enumerate(cases)}
     loose = {r.id: (r.target, r.reasons) for r in P.compile_actions(rows, v, a, guard=False).collect()}
     assert loose[5] == (["riding a bike"], []) and loose[6][0] == []
+
+
+def test_names_are_normalised_once_and_dealt_to_tasks(spark, tmp_path):
+    """The plans of names grow with their rules, not with how often a value stands in them."""
+    df = spark.createDataFrame([("the Red Boxes",)], "q string")
+    for rule, most in ((T.canonical_entity, 1), (T.head_noun, 1), (P.entity_target, 1), (lambda c: T.span_support(c, c), 2)):
+        plan = df.select(rule(F.col("q")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"(?U)[\s\x1c-\x1f]+") <= most, rule
+    spark.range(50).selectExpr("id AS p_partkey", "concat('small ring ', id) AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    from tallyframe.plans.parsing import entity_targets
+
+    assert entity_targets(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
