@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyframe.operators import tracks as T
-from tallyframe.plans.registry import query, read
+from tallyframe.plans.registry import query, read, spread
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, (p_size % 7 - 3)::DOUBLE AS tx, (p_partkey % 5 - 2)::DOUBLE AS ty, 4.0::DOUBLE + p_partkey % 3 AS own FROM part)
 SELECT id, round(tx, 4) AS tx, round(ty, 4) AS ty, round(sqrt(tx * tx + ty * ty), 4) AS camera_mean, own AS object_top, round(sqrt(tx * tx + ty * ty) * 240 / 256 + sqrt((tx + own) * (tx + own) + ty * ty) * 16 / 256, 4) AS apparent_mean, round(240 / 256, 6) AS inlier_ratio, 'geometric_inlier_residual_consistent_border_band_prior' AS strategy FROM p""")
 def camera_motion(spark, d):  # N01: a camera's shift over 16 x 16 pixels and an object of 4 x 4 that moves on its own
-    p = read(spark, d, "part", "p_partkey", "p_size").repartition("p_partkey")  # few bytes in, much work after
+    p = spread(read(spark, d, "part", "p_partkey", "p_size"), "p_partkey")
     tx, ty, own = F.col("p_size") % 7 - 3, F.col("p_partkey") % 5 - 2, 4 + F.col("p_partkey") % 3
     inside = lambda k: (F.floor(k / 16).between(6, 9)) & ((k % 16).between(6, 9))
     pixel = lambda k: F.array((tx + F.when(inside(k), own).otherwise(0)).cast("double"), ty.cast("double"))
