@@ -25,7 +25,7 @@ def _run(start: Column, length: Column) -> Column:
 
 def joined_runs(runs: Column) -> Column:
     """Runs in any order and over each other as those of one mask."""
-    empty = F.filter(runs, lambda r: F.lit(False))
+    empty = F.array().cast(RUNS)  # not made from ``runs``, which would be computed twice
 
     def add(done: Column, r: Column) -> Column:
         last = F.element_at(done, -1)

@@ -151,3 +151,10 @@ def test_cards_move_over_a_ground_that_stays(spark):
     got = {(r.variant, r["index"]): np.frombuffer(r.pixels, np.uint8).reshape(40, 120, 3) for r in P.card_frames(df, plan, 12, [0, 1, 3]).collect()}
     assert len(got) == 36 and np.array_equal(got[0, 7], image) and np.array_equal(got[1, 5], one[5]) and np.array_equal(got[2, 9], back[9])
     assert np.allclose(P._areas(7, 3).sum(axis=1), 1) and np.allclose(P._areas(6, 3) @ np.arange(6), [0.5, 2.5, 4.5])
+
+
+def test_runs_to_join_are_computed_once(spark):
+    df = spark.createDataFrame([([(5, 2), (0, 3), (2, 3), (9, 1), (9, 0)],), ([],), (None,)], f"r {M.RUNS}")
+    out = df.select(M.joined_runs(F.reverse("r")).alias("r"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert [None if x.r is None else [tuple(y) for y in x.r] for x in out.collect()] == [[(0, 7), (9, 1)], [], None]
