@@ -137,10 +137,9 @@ SELECT id, frames, failures, successes, conditional, ambiguous, insufficient, ab
        CASE WHEN failures = 0 AND plain_successes > 0 THEN 1.0::DOUBLE END AS plain_score FROM a""")
 def color_scores(spark, d):  # F08, C22: all three denominators
     frames, pairs, targets = color_frames(spark, d)
-    score = lambda variant: L.color_scores(frames, pairs, targets, THINGS, COLORS, variant)
-    full = score("repair").withColumn("score", F.round("score", 6))
-    lexical = score("binding_lexical").select("id", F.col("status").alias("lexical_status"), F.round("score", 6).alias("lexical_score"))
-    return full.drop("conditional_rate", "lower_bound").join(lexical, "id").join(score("binding").select("id", F.col("score").alias("plain_score")), "id")
+    both = L.color_variants(frames, pairs, targets, THINGS, COLORS)
+    full = both.select("id", "repair.*", F.col("binding_lexical.status").alias("lexical_status"), F.round("binding_lexical.score", 6).alias("lexical_score"), F.col("binding.score").alias("plain_score"))
+    return full.withColumn("score", F.round("score", 6)).drop("conditional_rate", "lower_bound")
 
 
 # ---- classes of actions -------------------------------------------------------------------

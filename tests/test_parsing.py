@@ -53,6 +53,22 @@ def test_color_scores(spark):
         run("other")
 
 
+def test_color_variants_share_one_pass(spark, tmp_path):
+    """All three variants equal the single ones, and the query reads its table no more often than one variant does."""
+    spark.range(400).selectExpr("id DIV 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "id * 7 % 23 AS l_partkey", "id * 5 % 17 AS l_suppkey", "cast(id % 14 AS double) AS l_quantity").write.parquet(str(tmp_path / "lineitem.parquet"))
+    from tallyframe.operators.color import VARIANTS, color_variants
+    from tallyframe.plans import parsing
+
+    tables = parsing.color_frames(spark, str(tmp_path))
+    every = {r.id: r for r in color_variants(*tables, parsing.THINGS, parsing.COLORS).collect()}
+    one = {v: color_scores(*tables, parsing.THINGS, parsing.COLORS, v) for v in VARIANTS}
+    assert len(every) == 100 and len({r.repair.status for r in every.values()} | {r.binding_lexical.status for r in every.values()}) > 2
+    for v, df in one.items():
+        assert {r.id: tuple(r)[1:] for r in df.collect()} == {i: tuple(r[v]) for i, r in every.items()}
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert 0 < scans(parsing.color_scores(spark, str(tmp_path))) <= scans(one["repair"])
+
+
 def test_relations_and_captions(spark):
     row = spark.range(1).select(
         P.relation_target(F.lit("A dog on the left of two cars, at night.")).alias("t"),
