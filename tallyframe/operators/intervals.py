@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyframe.sources.session import ensure_checkpoint_dir
 
 #: Rows of one side that meet in one share of a bin.
 SHARE = 50_000
@@ -69,6 +72,52 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
     return both.filter(met & once).drop("iv_level", "iv_bin", "iv_sa", "iv_sb", *n.values())
 
 
+def _running(rows: DataFrame, keys: list[str], at: str, sums: list[str], most: list[str]) -> DataFrame:
+    """``rows``, one for each of ``keys`` and ``at``, with the sums and greatest values up to
+    and with each row, as ``iv_to_`` and the name. No task sees more of a key than a range
+    of the order: what is before a range is added up apart, one row a range and key."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, as a second run could cut the ranges elsewhere.
+    ranged = rows.repartitionByRange(n, *keys, at).withColumn("iv_part", F.spark_partition_id()).checkpoint()
+    parts = ranged.groupBy(*keys, "iv_part").agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in most))
+    earlier = Window.partitionBy(*keys).orderBy("iv_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "iv_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"iv_b_{c}") for c in sums), *(F.max(c).over(earlier).alias(f"iv_b_{c}") for c in most))
+    own = Window.partitionBy(*keys, "iv_part").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({f"iv_to_{c}": F.sum(c).over(own) for c in sums} | {f"iv_to_{c}": F.max(c).over(own) for c in most})
+    both = local.join(parts, [*keys, "iv_part"])
+    total = {f"iv_to_{c}": F.col(f"iv_to_{c}") + F.col(f"iv_b_{c}") for c in sums} | {f"iv_to_{c}": F.greatest(f"iv_to_{c}", f"iv_b_{c}") for c in most}
+    return both.withColumns(total).drop("iv_part", *(f"iv_b_{c}" for c in [*sums, *most]))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, keys: list[str], value: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Of the pairs that ``overlap_join`` lists, for each of ``keys`` that has any: how many
+    there are (``pairs``), the sums over them of either side's whole numbers ``value``
+    (``l_sum``, ``r_sum``), and the longest stretch that a pair shares (``longest``).
+
+    No pair is listed. A left interval overlaps the right ones that start before it ends,
+    without those that end by its start; and after any time the longest stretch of pairs
+    begun by then ends with the earlier of both sides' latest ends. So running sums over
+    the times of a key suffice, and the work grows with the rows, not the pairs.
+    """
+    sides = []
+    for s, df in (("l", left), ("r", right)):
+        kept = df.filter(F.col(end) > F.col(start)).dropna(subset=keys)
+        ends = F.array(*(F.struct(F.col(c).alias("iv_at"), F.lit(f"{s}_{c2}").alias("iv_kind")) for c, c2 in ((start, "opens"), (end, "closes"))))
+        sides.append(kept.select(*keys, F.col(value).cast("long").alias("iv_value"), F.col(end).alias("iv_until"), F.explode(ends).alias("iv_x")).select(*keys, "iv_value", "iv_until", "iv_x.*"))
+    kind = F.col("iv_kind")
+    kinds = [f"{s}_{c}" for s in "lr" for c in ("opens", "closes")]
+    wide = lambda c: c.cast("decimal(20,0)")  # noqa: E731  # products of sums pass 64 bits where their difference does not
+    sums = {f"{k}_n": wide(F.count_if(kind == k)) for k in kinds} | {f"{k}_v": wide(F.coalesce(F.sum(F.when(kind == k, F.col("iv_value"))), F.lit(0))) for k in kinds}
+    until = {f"{s}_until": F.max(F.when(kind == f"{s}_opens", F.col("iv_until"))) for s in "lr"}
+    points = sides[0].unionByName(sides[1]).groupBy(*keys, "iv_at").agg(*(x.alias(k) for k, x in (sums | until).items()))
+    t = _running(points, keys, "iv_at", ["r_opens_n", "r_opens_v", "r_closes_n", "r_closes_v"], ["l_until", "r_until"])
+    begun = {x: F.col(f"iv_to_r_opens_{x}") - F.col(f"r_opens_{x}") for x in "nv"}  # before this time
+    over = lambda mine, theirs: F.sum(F.col(f"l_closes_{mine}") * begun[theirs] - F.col(f"l_opens_{mine}") * F.col(f"iv_to_r_closes_{theirs}")).cast("long")
+    shared = F.when(F.col("iv_to_l_until").isNotNull() & F.col("iv_to_r_until").isNotNull(), F.least("iv_to_l_until", "iv_to_r_until") - F.col("iv_at"))
+    return t.groupBy(*keys).agg(over("n", "n").alias("pairs"), over("v", "n").alias("l_sum"), over("n", "v").alias("r_sum"), F.max(shared).alias("longest")).filter("pairs > 0")
+
+
 def longest_first(spans: Column) -> Column:
     """Of an array of structs with ``start`` and ``end``: the longest, of equals the earliest,
     then the next that overlaps none of those taken, and so on; by place."""

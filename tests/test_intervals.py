@@ -27,6 +27,29 @@ def test_overlaps_equal_every_pair(spark, share):
     assert set(got[0].asDict()) == {"k", "l_id", "l_start", "l_end", "r_id", "r_start", "r_end"}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_totals_equal_the_sums_of_every_pair(spark, seed):
+    rng = random.Random(seed)
+    schema = "k string, id int, start double, end double"
+    left, right = (spark.createDataFrame(drawn(rng, n), schema) for n in (250, 180))
+    right = right.withColumn("k", F.when(F.col("k") == "b", "c").otherwise(F.col("k"))).unionByName(right.filter("id % 3 = 0"))
+    got = {r.k: (r.pairs, r.l_sum, r.r_sum, r.longest) for r in I.overlap_totals(left, right, ["k"], "id").collect()}
+    listed = I.overlap_join(left, right, ["k"]).groupBy("k")
+    shared = F.max(F.least("l_end", "r_end") - F.greatest("l_start", "r_start"))
+    want = {r[0]: tuple(r)[1:] for r in listed.agg(F.count(F.lit(1)), F.sum("l_id"), F.sum("r_id"), shared).collect()}
+    assert got == want and set(want) == {"a", "b"}
+
+
+def test_totals_of_more_pairs_than_can_be_listed(spark):
+    """9e10 pairs under one key: the totals' work grows with rows."""
+    rows = spark.range(300_000).selectExpr("1 AS k", "id", "id % 3 AS start", "id % 3 + 10 AS end")
+    one = I.overlap_totals(rows, rows, ["k"], "id").collect()
+    n = 300_000
+    assert [tuple(r) for r in one] == [(1, n * n, n * sum(range(n)), n * sum(range(n)), 10)]
+    apart = I.overlap_totals(rows, rows.selectExpr("k", "id", "start + 12 AS start", "end + 12 AS end"), ["k"], "id")
+    assert apart.count() == 0 and I.overlap_totals(rows.limit(0), rows, ["k"], "id").count() == 0
+
+
 def test_one_hot_bin_and_empty_sides(spark):
     rows = spark.range(400).selectExpr("1 AS k", "id", "id % 7 AS start", "id % 7 + 5 AS end")
     one = I.overlap_join(rows, rows.filter("id < 20"), ["k"], share=10)
