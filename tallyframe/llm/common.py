@@ -54,6 +54,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that moves both its sides and broadcasts neither. For tables that grow
+    with the input: Spark judges them by the bytes of their files, of which rows in memory
+    may take many times as many, and those of an ``explode`` any number."""
+    return df.hint("merge")
+
+
 def bounded_arrow(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session by bytes, not only by rows. The setting stays:
     it is read when a query runs, and that is after the operator has returned."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import written
+from tallyframe.llm.common import shuffled, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -28,8 +28,8 @@ def connected_components(links: DataFrame) -> DataFrame:
             roots = moved.withColumnRenamed("to", "root")
         else:
             step = moved.select(F.col("id").alias("root"), "to")
-            roots = written(roots.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
+            roots = written(roots.join(shuffled(step), "root", "left").select("id", F.coalesce("to", "root").alias("root")), "roots")
         ends = moved.select(F.col("id").alias("a"), F.col("to").alias("ta")), moved.select(F.col("id").alias("b"), F.col("to").alias("tb"))
-        left = left.join(ends[0], "a").join(ends[1], "b").filter("ta <> tb")
+        left = left.join(shuffled(ends[0]), "a").join(shuffled(ends[1]), "b").filter("ta <> tb")
         left = written(left.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "links")
     return roots if roots is not None else left.select(F.col("a").alias("id"), F.col("b").alias("root"))

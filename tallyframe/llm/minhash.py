@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import bounded_arrow, free_name, written
+from tallyframe.llm.common import bounded_arrow, free_name, shuffled, written
 from tallyframe.llm.components import connected_components
 from tallyframe.llm.shingles import mix, shingle_set
 
@@ -89,7 +89,7 @@ def _confirmed(k: int, percent: int):
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose full sets are similar enough."""
     one, two = (texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-    full = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
+    full = pairs.join(shuffled(two), "b").join(shuffled(one), "a").select("a", "b", "ta", "tb")
     return written(full.mapInArrow(_confirmed(k, percent), "a long, b long"), "linked")
 
 
@@ -109,10 +109,10 @@ def _exploded(k: int):
 def _rest_pairs(texts: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of ``texts`` in different components that may be similar enough; no
     pair that is, is missing."""
-    known = texts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text")
+    known = texts.join(shuffled(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text")
     each = known.mapInArrow(_exploded(k), "id long, root long, h long")
     often = each.groupBy("h").agg(F.count("id").alias("f"))
-    sets = each.join(often, "h").groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
+    sets = each.join(shuffled(often), "h").groupBy("id", "root").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("s"))
     n = F.size("s")
     prefix = n - F.ceil(n * percent / F.lit(100.0)).cast("int") + 1
     shared = F.size(F.filter("s", lambda x: x["f"] > 1))
@@ -122,13 +122,13 @@ def _rest_pairs(texts: DataFrame, roots: DataFrame, k: int, percent: int) -> Dat
     # A frequent shingle is dealt to shares of about SHARE heads; each meets all of them.
     shares = F.ceil(F.count("id") / SHARE).cast("int").alias("shares")
     mixed = heads.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), shares).filter("lo < hi").select("h", "shares")
-    heads = written(heads.join(mixed, "h"), "heads")
+    heads = written(heads.join(shuffled(mixed), "h"), "heads")
     x = heads.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).alias("x")
     y = heads.withColumn("share", F.explode(F.expr("sequence(0, shares - 1)"))).alias("y")
     # With i shareable shingles of a set before the first common one, c - i can be common.
     left = F.least(F.col("x.c") - F.col("x.i"), F.col("y.c") - F.col("y.i"))
     enough = F.lit(100 + percent) * left >= F.lit(percent) * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & enough)
+    pairs = x.join(shuffled(y), (F.col("x.h") == F.col("y.h")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & enough)
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
@@ -149,34 +149,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     usable = signed.filter("n > 0 and id is not null")
     copies = written(usable.groupBy("digest").agg(F.min("id").alias("first"), F.count("id").alias("m")).filter("m > 1").drop("m"), "copies")
     first = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("first", "id")).otherwise(F.col("id"))
-    classed = signed.join(copies, "digest", "left").select("id", "n", "keys", first.alias("first"))
+    classed = signed.join(shuffled(copies), "digest", "left").select("id", "n", "keys", first.alias("first"))
 
     bands = classed.filter("keys is not null and id = first").select("id", "n", F.explode("keys").alias("key"))
     sizes = written(bands.groupBy("key").agg(F.count("id").alias("m")).filter("m > 1"), "sizes")
-    shared = written(bands.join(sizes, "key"), "shared")
+    shared = written(bands.join(shuffled(sizes), "key"), "shared")
     # The centre of a bucket is its member that meets most others in all its buckets: of
     # copies with changes of their own, the one with the fewest.
     met = shared.groupBy("id").agg(F.sum("m").alias("met"))
-    placed = shared.join(met, "id")
+    placed = shared.join(shuffled(met), "id")
     centres = placed.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("id"), "n")).alias("c")).select("key", (-F.col("c.id")).alias("a"), F.col("c.n").alias("na"))
-    members = written(shared.join(centres, "key"), "members")
+    members = written(shared.join(shuffled(centres), "key"), "members")
     like = F.lit(100) * F.least("n", "na") >= F.lit(percent) * F.greatest("n", "na")  # no similarity exceeds the ratio of sizes
     pairs = members.filter((F.col("id") != F.col("a")) & like).select("a", F.col("id").alias("b")).distinct()
     # The texts of all members are taken out once; the joins below move these alone.
-    texts = written(rows.join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = written(rows.join(shuffled(members.select("id").distinct()), "id", "left_semi"), "texts")
     links = _links(pairs, texts, k, percent)
     roots = connected_components(links)
 
-    of = members.filter("m > 2").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    of = members.filter("m > 2").join(shuffled(roots), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     loose = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rest = members.filter("m > 2").join(loose, "key", "left_semi").select("id").distinct()
-    rest_texts = written(texts.join(rest, "id", "left_semi"), "rest")
+    rest = members.filter("m > 2").join(shuffled(loose), "key", "left_semi").select("id").distinct()
+    rest_texts = written(texts.join(shuffled(rest), "id", "left_semi"), "rest")
     found = _links(_rest_pairs(rest_texts, roots, k, percent), rest_texts, k, percent)
     if not found.isEmpty():
         roots = connected_components(links.unionByName(found))
     lowest = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    mapped = roots.join(lowest, "root").select(F.col("id").alias("first"), "component_id")
-    return classed.join(mapped, "first", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
+    mapped = roots.join(shuffled(lowest), "root").select(F.col("id").alias("first"), "component_id")
+    return classed.join(shuffled(mapped), "first", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "first").alias("component_id"))
 
 
 def dedup_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -184,7 +184,7 @@ def dedup_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ``docs`` stay; rows that share the smallest id with equal sets are kept together."""
     c, i = (free_name(docs.columns, x) for x in ("nd_component", "nd_id"))
     gone = near_duplicates(docs, k, percent).filter("id <> component_id").select(F.col("id").alias(i)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(i), "left_anti")
+    return docs.join(shuffled(gone), F.col("doc_id") == F.col(i), "left_anti")
 
 
 def query(docs: DataFrame) -> DataFrame:

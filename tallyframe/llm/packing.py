@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.chunks import library_encoder, vocabulary_path
-from tallyframe.llm.common import bounded_arrow, ranked, written
+from tallyframe.llm.common import bounded_arrow, ranked, shuffled, written
 
 #: About how many pieces of one length a task numbers.
 BUCKET = 50_000
@@ -87,7 +87,7 @@ def packed(pieces: DataFrame, room: int, order: list[str], length: str = "length
     spread = F.xxhash64(*order)
     buckets = max(64, -(-max(counts.values(), default=0) // BUCKET))
     numbered = ranked(pieces, [length], [spread, *(F.col(c) for c in order)], F.shiftright(spread, 24), buckets, "pk_own")
-    return numbered.join(slots, (F.col(length) == F.col("pk_length")) & (F.col("pk_own") == F.col("pk_place"))).drop("pk_own", "pk_length", "pk_place")
+    return numbered.join(shuffled(slots), (F.col(length) == F.col("pk_length")) & (F.col("pk_own") == F.col("pk_place"))).drop("pk_own", "pk_length", "pk_place")
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.anchors import joined_segments, pieces, string_hashes
-from tallyframe.llm.common import bounded_arrow, free_name, partitions, text_or_empty, written
+from tallyframe.llm.common import bounded_arrow, free_name, partitions, shuffled, text_or_empty, written
 from tallyframe.llm.shingles import mix
 
 #: A byte that UTF-8 never has ends each segment.
@@ -317,30 +317,30 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     bounded_arrow(spark)
     digests = docs.select("doc", F.md5(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").alias("n")).filter(F.col("n") >= length)
     copies = written(digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "copies")
-    whole = digests.join(copies, "digest").filter("doc <> first").select("doc", F.lit(0).cast("long").alias("start"), (F.col("n") - (length - 1)).cast("long").alias("count"))
+    whole = digests.join(shuffled(copies), "digest").filter("doc <> first").select("doc", F.lit(0).cast("long").alias("start"), (F.col("n") - (length - 1)).cast("long").alias("count"))
 
     strings = docs.mapInArrow(_anchored(length), "a long, s long, doc long, p long")
     often = strings.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a")
-    shared = written(strings.join(written(often, "anchors"), "a"), "shared")
+    shared = written(strings.join(shuffled(written(often, "anchors")), "a"), "shared")
     own = shared.filter("p < 0").select("doc", (-1 - F.col("p")).alias("start"), F.col("s").alias("count"))
     shared = shared.filter("p >= 0")
     firsts = written(shared.groupBy("a", "s").agg(F.min(F.struct("doc", "p")).alias("f"), F.count(F.lit(1)).alias("m")), "firsts")
     again = firsts.filter("m > 1").select("a", "s", "f")
-    later = shared.join(again, ["a", "s"]).filter(F.struct("doc", "p") != F.col("f"))
+    later = shared.join(shuffled(again), ["a", "s"]).filter(F.struct("doc", "p") != F.col("f"))
     later = later.select("doc", F.expr("p div 256").alias("start"), F.expr("p % 256").alias("count"))
 
     groups = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     shares = F.ceil(F.col("k") / F.lit(SHARE))
-    wanted = firsts.join(groups, "a").select(F.col("f.doc").alias("doc"), "a", F.col("f.p").alias("p"), F.pmod(F.xxhash64("f"), shares).alias("share"), (shares > 1).alias("shared"))
+    wanted = firsts.join(shuffled(groups), "a").select(F.col("f.doc").alias("doc"), "a", F.col("f.p").alias("p"), F.pmod(F.xxhash64("f"), shares).alias("share"), (shares > 1).alias("shared"))
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("a", "share", "shared", "p")).alias("wanted"))  # no more than a text has segments
-    pieces = docs.join(lists, "doc").select("doc", "text", "wanted").mapInArrow(_cut_out(length), "a long, share long, shared boolean, doc long, start long, piece binary")
+    pieces = docs.join(shuffled(lists), "doc").select("doc", "text", "wanted").mapInArrow(_cut_out(length), "a long, share long, shared boolean, doc long, start long, piece binary")
     dealt = pieces.repartition(partitions(spark), "a", "share").sortWithinPartitions("a", "share", "doc", "start")
     merged = written(dealt.mapInArrow(_merged(length), "doc long, start long, count long, x long, y long"), "runs")
     inner = merged.filter("x is null").select("doc", "start", "count")
     # The shares of one anchor have each string once by now, so no string has many rows here.
     across = merged.filter("x is not null")
     heads = across.groupBy("x", "y").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    outer = across.join(heads, ["x", "y"]).filter(F.struct("doc", "start") != F.col("f")).select("doc", "start", "count")
+    outer = across.join(shuffled(heads), ["x", "y"]).filter(F.struct("doc", "start") != F.col("f")).select("doc", "start", "count")
     return whole.unionByName(own).unionByName(later).unionByName(inner).unionByName(outer)
 
 
@@ -395,7 +395,7 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: bool = True, prefi
     keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), text: text_or_empty()})
     rows = keyed.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     found = repeated_strings(rows, length).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias(runs)).withColumnRenamed("doc", f"{doc}_r")
-    joined = keyed.join(found, F.col(doc) == F.col(f"{doc}_r"), "left").select(*(f"`{c}`" for c in names), text, runs)
+    joined = keyed.join(shuffled(found), F.col(doc) == F.col(f"{doc}_r"), "left").select(*(f"`{c}`" for c in names), text, runs)
     kinds = [F.lit(0).cast("long")] * 3 + [F.lit("")] * (1 + keep)
     schema = docs.select(*(f"`{c}`" for c in names), *(k.alias(x) for k, x in zip(kinds, new, strict=True))).schema
     return joined.mapInArrow(_kept(length, [*names, *new], keep), schema)

@@ -115,6 +115,35 @@ def test_stages_on_empty_tables(spark, documents):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
 
 
+def test_no_table_that_grows_is_broadcast(spark, documents, monkeypatch):
+    """Spark judges a table by its files. Of near copies these are small while the rows, those
+    dealt to shares above all, are many: broadcast, they filled the driver's memory."""
+    from test_text_operators import prose
+
+    from tallyframe.llm import components, minhash, packing, suffixes
+
+    plans = []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.written(df, name)
+
+    for module in (minhash, components, suffixes):
+        monkeypatch.setattr(module, "written", noted)
+    text = prose(60)
+    docs = documents([(i, f"copy{i} {text} end{i}" if i % 2 else prose(40)) for i in range(12)])
+    for name, stage in (("near", minhash.dedup_filter), ("repeats", suffixes.dedup_texts)):
+        out = stage(docs)
+        plans.append((name, out._jdf.queryExecution().executedPlan().toString()))
+        assert out.count() == (7 if name == "near" else 12)
+    assert {"linked", "heads", "links", "runs", "near", "repeats"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
+    out = packing.best_fit(docs)
+    assert out.count() == len(out.collect())
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "pk_place" in x]
+    assert joins and not any("Broadcast" in x for x in joins)
+
+
 def test_tables_in_the_shared_folder_can_be_forgotten(spark):
     made = common.written(spark.range(3), "some")
     assert made.count() == 3
