@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +93,9 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         return self.chunks.encode(text)
 
+    def encode_many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        return self.chunks.encode_many(texts)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids.tolist()))
 
@@ -123,8 +126,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> Dat
         c = codec(path, pattern)
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids = c.encode(text.as_py()).astype("<u4")
+            for ids in c.encode_many(t.as_py() for t in batch.column(1)):
+                ids = ids.astype("<u4")
                 flat, back = ids.tobytes(), c.decode(ids)
                 rows.append((len(ids), hashlib.sha256(flat).hexdigest(), hashlib.sha256(back).hexdigest(), *((flat, back) if keep else ())))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]

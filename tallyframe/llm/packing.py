@@ -100,8 +100,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, room: int) -> DataFr
         encoder = library_encoder(tokenizer)
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+            texts = (t.as_py() for t in batch.column(1))
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 start, end = 0, (len(ids) - 1) % room + 1
                 k = 0
                 while start < len(ids):

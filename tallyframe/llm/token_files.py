@@ -158,8 +158,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str, files:
         at = f"{path}/part-{part:06d}-{uuid.uuid4().hex}.tok"
         for batch in batches:
             out = out or TokenWriter(at, Tokenizer.from_file(tokenizer).get_vocab_size())
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out.add(name, np.append(encoder.encode(text.as_py()), np.uint32(end_id)))
+            texts = (t.as_py() for t in batch.column(1))
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(texts), strict=True):
+                out.add(name, np.append(ids, np.uint32(end_id)))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [part], "path": [at], "n_docs": [len(out.names)], "n_tokens": [out.n]})

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.llm import archives, bpe, mpeg, packing, sharding, token_files
-from tallyframe.llm.chunks import library_encoder, vocabulary_path
+from tallyframe.llm.chunks import ChunkEncoder, library_encoder, vocabulary_path
 
 TEXTS = ["", "a", "The quick brown fox.", "  two  spaces \n\n lines\t x", "it's WE'LL don't!!\r\n", "日本語 テキスト é ΑΣ Σ", "c² ²3 ½ x_y 12ab", "café  x　y \x1cz İs", "<|endoftext|> <|startoftext|>", "a <|endoftext|> b", "<|ENDOFTEXT|>x", "İstanbul", "é" * 700 + "x" * 300, "a" * 3000, "word " * 2000, " ", "퟿\U0001f600 ok"]
 
@@ -59,6 +59,49 @@ def test_a_very_long_text_without_white_space_encodes_as_the_library(unit):
         assert max(map(len, encoder.known)) <= 256
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("span, block", [(1, 1), (3, 40), (64, 1000), (1 << 20, 1 << 22)])
+def test_many_texts_encode_as_each_alone(name, span, block, monkeypatch):
+    monkeypatch.setattr("tallyframe.llm.chunks.SPAN", span)
+    monkeypatch.setattr("tallyframe.llm.chunks.BLOCK", block)
+    texts = ["", None, *TEXTS, "", "!!ab..cd's", " 's", "\t\n", None, *TEXTS[::-1], "x" * 300 + " y", ""]
+    whole = plain_tokenizer(vocabulary_path(name))
+    encoder = library_encoder(vocabulary_path(name))
+    for known in (encoder.known.clear(), None):  # nothing is known, then all
+        got = [x.tolist() for x in encoder.encode_many(iter(texts))]
+        assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(encoder.encode_many([])) == []
+
+
+def test_a_worker_that_forgets_chunks_encodes_as_one_that_does_not():
+    encoder = library_encoder(vocabulary_path("byte_bpe_50k.json"))
+    small = ChunkEncoder(encoder.encode_all, encoder.whole, encoder.apart, cached=5)
+    for t in TEXTS:
+        assert small.encode(t).tolist() == encoder.encode(t).tolist()
+        assert len(small.known) <= max(5, len(t))
+
+
+def test_each_distinct_chunk_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    encoder = library_encoder(vocabulary_path("byte_bpe_50k.json"))
+    before, encoder.known = encoder.known, Counted()
+    try:
+        encoder.encode("the cat, " * 10_000)
+        assert encoder.known.asked <= 10
+    finally:
+        encoder.known = before
+
+
 @pytest.fixture(scope="module")
 def reference_bpe():
     import public_tokenizers as P
