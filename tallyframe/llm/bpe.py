@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from tallyframe.llm.chunks import ChunkEncoder, vocabulary_path
 from tallyframe.llm.common import bounded_arrow
 
+#: Distinct chunks whose ids a worker keeps: more than elsewhere, as they are merged in Python here.
+CACHED_CHUNKS = 900_000
+
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece; every single byte must have a rank."""
@@ -83,7 +86,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.vocabulary = {r: b for b, r in ranks.items()}
-        self.chunks = ChunkEncoder(lambda texts: [self._pieces(t) for t in texts])
+        self.chunks = ChunkEncoder(lambda texts: [self._pieces(t) for t in texts], cached=CACHED_CHUNKS)
 
     def _pieces(self, text: str) -> list[int]:
         if text[:1] == " " and text[1:].isalpha() or text.isalpha():  # letters are one match

@@ -25,10 +25,11 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 
-#: Distinct chunks whose ids a worker keeps, and the characters of the longest of them.
-CACHED_CHUNKS, LONGEST = 900_000, 256
+#: Distinct chunks whose ids a worker keeps, and the characters of the longest of them. A
+#: worker outlives its task, and what it keeps then counts beside whatever runs next.
+CACHED_CHUNKS, LONGEST = 300_000, 256
 #: Characters of a text that are split at a time, and about those of several short texts.
-SPAN, BLOCK = 1 << 20, 1 << 22
+SPAN, BLOCK = 1 << 20, 1 << 20
 
 _BREAK = re.compile(r"(?<=[^ \t-\r])[ \t-\r]")
 #: White space beyond ASCII, separators that only some libraries count as such, the letter
@@ -65,19 +66,25 @@ class ChunkEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list], whole: Callable[[list[str]], list] | None = None, apart: Callable[[str], bool] = lambda text: False, cached: int = CACHED_CHUNKS):
         self.encode_all, self.whole, self.apart, self.cached = encode, whole or encode, apart, cached
+        # Once `known` has half of what may be kept it is the older half, whose chunks go unless met again.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks, as bytes."""
         found = list(map(self.known.get, chunks))
-        new = [k for k, ids in enumerate(found) if ids is None]
+        missed = [k for k, ids in enumerate(found) if ids is None]
+        for k in missed:
+            found[k] = self.older.get(chunks[k])
+        new = [k for k in missed if found[k] is None]
         if new:
-            if len(self.known) + len(new) > self.cached:
-                self.known.clear()
             for k, ids in zip(new, self.encode_all([chunks[k] for k in new]), strict=True):
                 found[k] = array("I", ids).tobytes()
-                if len(chunks[k]) <= LONGEST:
-                    self.known[chunks[k]] = found[k]
+        for k in missed:
+            if len(chunks[k]) <= LONGEST:
+                if len(self.known) >= self.cached // 2:
+                    self.known, self.older = {}, self.known
+                self.known[chunks[k]] = found[k]
         return found
 
     def _split(self, spans: list[str]) -> list[np.ndarray]:
@@ -123,6 +130,7 @@ class ChunkEncoder:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
+        pa.default_memory_pool().release_unused()
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one text."""

@@ -78,10 +78,11 @@ def packed(pieces: DataFrame, room: int, order: list[str], length: str = "length
     pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in own))
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # at most `room` rows
     runs = plan(counts, room)
-    schema = "pk_length long, pk_rank long, pk_n long, pk_first long, pk_offset long"
+    names = "pk_length pk_rank pk_n pk_first pk_offset".split()
+    planned = pa.Table.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*runs, strict=True)) or [()] * 5], names)
     step = 1 << 16
     at = F.explode(F.expr(f"sequence(0, pk_n - 1, {step})"))
-    table = spark.createDataFrame(runs, schema).select("*", at.alias("pk_from")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = spark.createDataFrame(planned).select("*", at.alias("pk_from")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     slots = table.select("*", F.explode(F.expr(f"sequence(pk_from, least(pk_from + {step - 1}, pk_n - 1))")).alias("pk_k"))
     slots = slots.select("pk_length", (F.col("pk_rank") + F.col("pk_k")).alias("pk_place"), (F.col("pk_first") + F.col("pk_k")).alias("sequence_id"), F.col("pk_offset").alias("offset"))
     spread = F.xxhash64(*order)

@@ -81,6 +81,50 @@ def test_a_worker_that_forgets_chunks_encodes_as_one_that_does_not():
         assert len(small.known) <= max(5, len(t))
 
 
+def test_a_worker_keeps_a_bounded_number_of_chunks_and_the_usual_ones_among_them():
+    encoder, asked = library_encoder(vocabulary_path("byte_bpe_50k.json")), []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return encoder.encode_all(chunks)
+
+    small = ChunkEncoder(encode, encoder.whole, encoder.apart, cached=100)
+    for k in range(40):
+        rare = [f"{k}x{i}" for i in range(20)]
+        text = " the cat" + "".join(f" the {x}" for x in rare)
+        assert small.encode(text).tolist() == encoder.encode(text).tolist()
+        assert len(small.known) + len(small.older) <= 100
+    assert asked.count(" the") == asked.count(" cat") == 1
+    small.encode(" ".join(f"y{i}" for i in range(1000)))  # one text has more than are kept
+    assert len(small.known) + len(small.older) <= 100
+
+
+def test_a_worker_that_is_done_holds_little_memory():
+    """It stays, idle, beside the stages that follow; the pipeline failed by that."""
+    import subprocess
+    import sys
+
+    code = """
+import re
+from tallyframe.llm.chunks import library_encoder, vocabulary_path
+
+def held():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+
+encoder = library_encoder(vocabulary_path("byte_bpe_50k.json"))
+encoder.encode("one text")
+before = held()
+rare = iter(range(10**9))
+for _ in range(2):
+    texts = (" ".join(f"w{next(rare) * 7919 % 10**9:x}" for _ in range(500)) for _ in range(800))
+    for ids in encoder.encode_many(texts):
+        pass
+print(held() - before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.getcwd())
+    assert int(done.stdout) < 220
+
+
 def test_each_distinct_chunk_is_looked_up_once():
     class Counted(dict):
         asked = 0
