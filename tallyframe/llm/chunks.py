@@ -27,7 +27,7 @@ import pyarrow as pa
 
 #: Distinct chunks whose ids a worker keeps, and the characters of the longest of them. A
 #: worker outlives its task, and what it keeps then counts beside whatever runs next.
-CACHED_CHUNKS, LONGEST = 300_000, 256
+CACHED_CHUNKS, LONGEST = 600_000, 256
 #: Characters of a text that are split at a time, and about those of several short texts.
 SPAN, BLOCK = 1 << 20, 1 << 20
 
